@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm import decontaminate, packing, sharding
+from learnlake.llm import decontaminate, ngram_join, packing, sharding
 from learnlake.llm.common import read
 
 
@@ -37,10 +37,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
     "op8_decontamination": op8_decontamination,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
