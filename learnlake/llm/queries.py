@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm import decontaminate, ngram_join, packing, sharding
+from learnlake.llm import decontaminate, ngram_join, packing, sharding, toxicity
 from learnlake.llm.common import read
 
 
@@ -24,6 +24,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     items = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
@@ -44,6 +51,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
