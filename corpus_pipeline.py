@@ -9,12 +9,29 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from learnlake.llm import decontaminate, packing
+from learnlake.llm import decontaminate, ngram_join, packing, quality, toxicity
 from learnlake.llm.common import read, shared_dir
 from learnlake.llm.queries import tokenizer_path
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.accepted_documents(docs, model, F.col("source"), F.col("lang"))
+
+
+def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return ngram_join.without_near_copies(docs, size=5, percent=80)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
@@ -26,6 +43,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", good_quality),
+    ("toxicity", harmless),
+    ("n-gram Jaccard join", deduplicated),
     ("benchmark decontamination", decontaminated),
     ("best-fit packing", packed),
 ]

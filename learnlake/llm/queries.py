@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm import decontaminate, ngram_join, packing, sharding, toxicity
+from learnlake.llm import decontaminate, ngram_join, packing, quality, sharding, toxicity
 from learnlake.llm.common import read
 
 
@@ -44,6 +44,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no address: source stands for the host and language for the path below it."""
+    docs = read(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, read(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -53,6 +59,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
