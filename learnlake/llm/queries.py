@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm import decontaminate, ngram_join, packing, quality, sharding, toxicity
+from learnlake.llm import ann, decontaminate, ngram_join, packing, quality, sharding, toxicity
 from learnlake.llm.common import read
 
 
@@ -15,6 +15,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(read(spark, sf_dir, "documents"), shards=16, seed=4)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -55,6 +60,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nearest_vectors": op1_nearest_vectors,
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
