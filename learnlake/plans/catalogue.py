@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from learnlake.plans import analytics, elt, lists, relations, scalars, scanner
+from learnlake.plans.registry import ORACLE_SQL, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
+GROUPS = (lists, relations, analytics, scanner, scalars, elt)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
