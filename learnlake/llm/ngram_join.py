@@ -41,7 +41,8 @@ BLOCK_ROWS = 256
 #: Cells of a dense column chunk.
 CHUNK_CELLS = 8_000_000
 
-_ROW = "batch string, p int, kind int, grams binary, docs binary, counts binary"
+_ROW = "batch string, p int, kind int, grams binary, more binary, docs binary, counts binary"
+_ROW_COLUMNS = ["batch", "p", "kind", "grams", "more", "docs", "counts"]
 _DOC = "doc_id long, n_shingles long, k binary, grams binary, prefix array<long>"
 
 
@@ -92,6 +93,23 @@ def incidence(texts: list[str | None], size: int, known: WordHashes) -> tuple[np
     return gram[new], doc[new]
 
 
+def pack_sorted(grams: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as their lower six bytes and, for each upper half, how many have it."""
+    top = grams >> np.uint64(48)
+    lo = int(top[0]) if len(top) else 0
+    counts = np.bincount((top - np.uint64(lo)).astype(np.int64)).astype("<u4") if len(top) else np.empty(0, "<u4")
+    low = grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return np.array([len(grams), lo, len(counts)], "<u4").tobytes() + counts.tobytes() + low.tobytes()
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    n, lo, tops = np.frombuffer(raw, "<u4", 3).tolist()
+    counts = np.frombuffer(raw, "<u4", tops, 12)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 12 + 4 * tops).reshape(n, 6)
+    return out.reshape(-1).view("<u8") + (np.repeat(np.arange(tops, dtype=np.uint64) + np.uint64(lo), counts) << np.uint64(48))
+
+
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         chars = frame["text"].str.len().fillna(0).to_numpy().cumsum()
@@ -124,16 +142,17 @@ def _requests(size: int, parts: int):
             has_id = ids.notna().to_numpy()
             of_many = np.repeat(many > 1, many)
             head = np.concatenate([[n_docs], has_id.astype(np.int64), ids.fillna(0).astype(np.int64).to_numpy(), n]).astype(np.int64)
-            rows = [(name, number % parts, 0, gram[first[many > 1]].tobytes(), doc[of_many].astype(np.uint16).tobytes(), many[many > 1].astype(np.uint16).tobytes())]
-            rows.append((name, number % parts, 1, sums.tobytes(), head.tobytes(), b""))
-            one, several = first[many == 1], first[many > 1]
-            one_at = np.searchsorted(gram[one], bounds)
-            several_at = np.searchsorted(gram[several], bounds)
-            for p, (a, b) in enumerate(zip(np.split(one, one_at), np.split(several, several_at))):
-                if len(a) or len(b):
-                    # single entries first, then the shared ones with their counts
-                    rows.append((name, p, 2, np.concatenate([gram[a], gram[b]]).tobytes(), doc[a].astype(np.uint16).tobytes(), many[many > 1][several_at[p - 1] if p else 0 :][: len(b)].astype(np.uint16).tobytes()))
-            yield pd.DataFrame(rows, columns=["batch", "p", "kind", "grams", "docs", "counts"])
+            one, several, shared_by = first[many == 1], first[many > 1], many[many > 1].astype(np.uint16)
+            rows = [
+                (name, number % parts, 0, pack_sorted(gram[several]), b"", doc[of_many].astype(np.uint16).tobytes(), shared_by.tobytes()),
+                (name, number % parts, 1, sums.tobytes(), b"", head.tobytes(), b""),
+            ]
+            one_at, several_at = [0, *np.searchsorted(gram[one], bounds), len(one)], [0, *np.searchsorted(gram[several], bounds), len(several)]
+            for p in range(parts):
+                a, b = one[one_at[p] : one_at[p + 1]], slice(several_at[p], several_at[p + 1])
+                if len(a) or b.start < b.stop:
+                    rows.append((name, p, 2, pack_sorted(gram[a]), pack_sorted(gram[several[b]]), doc[a].astype(np.uint16).tobytes(), shared_by[b].tobytes()))
+            yield pd.DataFrame(rows, columns=_ROW_COLUMNS)
 
     return run
 
@@ -145,47 +164,42 @@ def _count_columns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = frame["kind"] < 2
         if own.any():
             yield frame[own]
-        asked += list(frame.loc[~own, ["batch", "p", "grams", "docs", "counts"]].itertuples(index=False, name=None))
+        asked += list(frame.loc[~own, ["batch", "p", "grams", "more", "docs", "counts"]].itertuples(index=False, name=None))
     if not asked:
         return
-    grams = [np.frombuffer(g, np.uint64) for _, _, g, _, _ in asked]
-    counts = [np.concatenate([np.ones(len(d) // 2, np.int64), np.frombuffer(c, np.uint16)]) for *_, d, c in asked]
+    grams, counts = [], []
+    for _, _, one, more, docs, times in asked:
+        grams += [unpack_sorted(one), unpack_sorted(more)]
+        counts += [np.ones(len(docs) // 2, np.uint16), np.frombuffer(times, np.uint16)]
+    sizes = [len(g) for g in grams]
     _, at = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-    lo = 0
-    for (name, p, _, d, _), g in zip(asked, grams):
-        found = np.minimum(total[at[lo : lo + len(g)]], 2**31 - 1).astype(np.uint32)
-        lo += len(g)
-        doc = np.frombuffer(d, np.uint16)
-        shared = found[: len(doc)] > 1
-        yield pd.DataFrame(
-            [
-                (name, p, 2, g[: len(doc)][shared].tobytes(), doc[shared].tobytes(), found[: len(doc)][shared].tobytes()),
-                (name, p, 3, g[len(doc) :].tobytes(), b"", found[len(doc) :].tobytes()),
-            ],
-            columns=["batch", "p", "kind", "grams", "docs", "counts"],
-        )
+    total = np.bincount(at, weights=np.concatenate(counts))
+    found = np.split(np.minimum(total, 65_535).astype(np.uint16)[at], np.cumsum(sizes)[:-1])
+    for k, (name, p, _, _, docs, _) in enumerate(asked):
+        one, more = found[2 * k], found[2 * k + 1]
+        shared = one > 1
+        rows = [(name, p, 2, pack_sorted(grams[2 * k][shared]), b"", np.frombuffer(docs, np.uint16)[shared].tobytes(), one[shared].tobytes())]
+        if len(more):
+            rows.append((name, p, 3, b"", b"", b"", more.tobytes()))
+        yield pd.DataFrame(rows, columns=_ROW_COLUMNS)
 
 
 def _assemble(percent: int):
     """The documents of a batch; those that can link keep their shared columns, by rising count."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kinds = {k: f for k, f in frame.groupby("kind")}
+        kinds = {k: f for k, f in frame.sort_values("p").groupby("kind")}
         head = np.frombuffer(kinds[1]["docs"].iloc[0], np.int64)
         sums = np.frombuffer(kinds[1]["grams"].iloc[0], np.uint64).reshape(2, -1)
         n_docs = int(head[0])
         has_id, ids, n = head[1 : 1 + n_docs].astype(bool), head[1 + n_docs : 1 + 2 * n_docs], head[1 + 2 * n_docs :]
         join = lambda k, c, t: np.frombuffer(b"".join(kinds[k][c]), t) if k in kinds else np.empty(0, t)
-        gram, doc, count = join(2, "grams", np.uint64), join(2, "docs", np.uint16), join(2, "counts", np.uint32)
-        several, answer = join(3, "grams", np.uint64), join(3, "counts", np.uint32)
-        own = np.frombuffer(kinds[0]["grams"].iloc[0], np.uint64)
+        # the ranges of the hash rise with p, so the answers stand in the order of what the batch holds
+        own = unpack_sorted(kinds[0]["grams"].iloc[0])
         many = np.frombuffer(kinds[0]["counts"].iloc[0], np.uint16).astype(np.int64)
-        order = np.argsort(several)
-        of_own = answer[order][np.searchsorted(several[order], own)] if len(own) else np.empty(0, np.uint32)
-        gram = np.concatenate([gram, np.repeat(own, many)])
-        doc = np.concatenate([doc, np.frombuffer(kinds[0]["docs"].iloc[0], np.uint16)]).astype(np.int64)
-        count = np.concatenate([count, np.repeat(of_own, many)])
+        gram = np.concatenate([*map(unpack_sorted, kinds[2]["grams"] if 2 in kinds else []), np.repeat(own, many)])
+        doc = np.concatenate([join(2, "docs", np.uint16), np.frombuffer(kinds[0]["docs"].iloc[0], np.uint16)]).astype(np.int64)
+        count = np.concatenate([join(2, "counts", np.uint16), np.repeat(join(3, "counts", np.uint16), many)])
         m = np.bincount(doc, minlength=n_docs)
         stays = (n > 0) & (100 * m >= percent * n)
         keep = stays[doc]
@@ -357,7 +371,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     classes = rows.filter("grams is not null").groupBy("k").agg(
         F.first("n_shingles").alias("n"), F.first("grams").alias("grams"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies")
     )
-    label = components(class_links(materialize(classes), percent))
+    classes = materialize(classes)
+    label = components(class_links(classes, percent))
     smallest = rows.filter("k is not null").groupBy("k").agg(F.min("doc_id").alias("least")).join(label, "k", "left")
     smallest = smallest.withColumn("comp", F.coalesce("comp", "k"))
     by_comp = smallest.groupBy("comp").agg(F.min("least").alias("component_id"))
