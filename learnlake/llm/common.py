@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has shuffle files removed that lie behind a cut lineage.
+
+    Spark's cleaner does so once the driver has collected the objects that
+    stand for them, which on an idle driver may be never; on the executors'
+    disks those files would stand beside the next phase's.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused_name(df: DataFrame, stem: str) -> str:
     """A column name that clashes with none of df's, whatever its case."""
     taken = {c.lower() for c in df.columns}

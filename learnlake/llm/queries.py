@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm import ann, decontaminate, ngram_join, packing, quality, sharding, toxicity
+from learnlake.llm import ann, decontaminate, lm_scoring, ngram_join, packing, quality, sharding, toxicity, url_graph, warc
 from learnlake.llm.common import read
 
 
@@ -20,11 +20,36 @@ def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+#: (verdict, host, path), longest first to win.
+URL_RULES = [
+    url_graph.Rule("allow", "com", "/"),
+    url_graph.Rule("block", "example.com", "/en/"),
+    url_graph.Rule("allow", "www.example.com", "/en/"),
+    url_graph.Rule("block", "net", "/es/"),
+    url_graph.Rule("block", "net", "/fr/"),
+]
+
+
+def op2_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_graph.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score_documents(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(read(spark, sf_dir, "documents"), shards=16, seed=4)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.page_derivatives(read(spark, sf_dir, "pages"))
+    return records.select(*[c for c in warc.COLUMNS if c != "record"], F.crc32("record").alias("record_crc32"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -61,7 +86,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_nearest_vectors": op1_nearest_vectors,
+    "op2_url_trust": op2_url_trust,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_sharding": op4_sharding,
+    "op5_warc_derivatives": op5_warc_derivatives,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
