@@ -1 +1,177 @@
-"""."""
+"""Queries on scanner punches, and integrity checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from learnlake.functions import sessions
+from learnlake.operators import punches as machine
+from learnlake.operators import relational as rel
+from learnlake.plans.registry import query
+from learnlake.sources import roles
+from learnlake.sources.roles import TODAY_EVENTS, with_roles
+
+
+@query(with_roles("SELECT fingerprint, min(punch_id) AS punch_id, count(*) AS copies FROM (SELECT punch_id, concat_ws('|', 'D1', CAST(student_id AS VARCHAR), strftime(punch_time, '%Y-%m-%d %H:%M:%S'), coalesce(status, '')) AS fingerprint FROM punches UNION ALL SELECT punch_id + 1000000, concat_ws('|', 'D1', CAST(student_id AS VARCHAR), strftime(punch_time, '%Y-%m-%d %H:%M:%S'), coalesce(status, '')) FROM punches WHERE punch_id % 3 = 0) GROUP BY 1", "punches"))
+def punch_fingerprint_dedup(spark, sf_dir):
+    """One ledger row a punch whatever way it came; the first source stays."""
+    p = roles.punches(spark, sf_dir)
+    both = p.unionByName(p.filter("punch_id % 3 = 0").withColumn("punch_id", F.col("punch_id") + 1000000))
+    both = both.withColumn("fingerprint", sessions.fingerprint(F.lit("D1"), F.col("student_id"), F.col("punch_time"), F.col("status")))
+    return both.groupBy("fingerprint").agg(F.min("punch_id").alias("punch_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query(with_roles("SELECT punch_id, coalesce(gap BETWEEN 0 AND 1, false) AS debounced FROM (SELECT *, m - lag(m) OVER (PARTITION BY student_id, day ORDER BY punch_time, punch_id) AS gap FROM (SELECT *, CAST(punch_time AS DATE) AS day, CAST(hour(punch_time) * 60 + minute(punch_time) AS INTEGER) AS m FROM punches))", "punches"))
+def punch_debounce(spark, sf_dir):
+    """Punches that follow another within a minute."""
+    return machine.with_gaps(roles.punches(spark, sf_dir)).select("punch_id", machine.debounced().alias("debounced"))
+
+
+@query(with_roles("SELECT * FROM pairs", "pairs"))
+def punch_pairs(spark, sf_dir):
+    """Debounced punches alternate between arrival and departure."""
+    return machine.pairs(roles.punches(spark, sf_dir))
+
+
+@query(with_roles("SELECT * FROM sessions", "sessions"))
+def attendance_sessions(spark, sf_dir):
+    """The last pair of each session of a student's day."""
+    return machine.attendance(roles.punches(spark, sf_dir))
+
+
+@query(with_roles("SELECT state, count(*) AS n FROM (SELECT CASE WHEN s.student_id IS NULL THEN 'unknown_student' WHEN k.punch_id IS NULL THEN 'debounced' ELSE 'applied' END AS state FROM punches p LEFT JOIN (SELECT student_id FROM students WHERE student_id % 7 <> 0) s USING (student_id) LEFT JOIN (SELECT punch_id FROM kept) k USING (punch_id)) GROUP BY 1", "students", "kept"))
+def punch_state_counts(spark, sf_dir):
+    """Outcomes of a run; punches of people that nobody knows are kept and counted."""
+    known = roles.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student_id")).filter("student_id % 7 <> 0").withColumn("known", F.lit(True))
+    p = machine.with_gaps(roles.punches(spark, sf_dir)).join(known, "student_id", "left")
+    state = F.when(F.col("known").isNull(), "unknown_student").when(machine.debounced(), "debounced").otherwise("applied")
+    return p.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_roles("SELECT student_id, date, session, m_in, CASE WHEN date < DATE '2024-01-30' THEN 1439 END AS m_out FROM (SELECT student_id, day AS date, CASE WHEN m_in >= 780 THEN 'Afternoon' ELSE 'Morning' END AS session, m_in FROM pairs WHERE m_out IS NULL) w WHERE NOT EXISTS (SELECT 1 FROM sessions s WHERE s.student_id = w.student_id AND s.date = w.date AND s.session = w.session)", "sessions"))
+def open_sessions_stale_close(spark, sf_dir):
+    """Open rows of past days close at 23:59, or go beside a closed row of the session."""
+    return machine.open_rows(roles.punches(spark, sf_dir), TODAY_EVENTS)
+
+
+@query(with_roles("SELECT punch_id FROM punches WHERE NOT (punch_id % 5 <> 0 AND CAST(punch_time AS DATE) < DATE '2024-01-30' AND punch_time < TIMESTAMP '2024-01-15')", "punches"))
+def ledger_prune(spark, sf_dir):
+    """Settled rows older than the buffer go; what waits stays."""
+    p = roles.punches(spark, sf_dir).withColumn("state", F.when(F.col("punch_id") % 5 == 0, "pending").otherwise("applied"))
+    return machine.prune(p, TODAY_EVENTS, "2024-01-15 00:00:00").select("punch_id")
+
+
+@query(with_roles("SELECT punch_id, student_id FROM punches WHERE punch_id % 11 = 0", "punches"))
+def verify_buffer(spark, sf_dir):
+    """Pulled records without a ledger row."""
+    p = roles.punches(spark, sf_dir)
+    mark = lambda df: df.withColumn("fp", sessions.fingerprint(F.lit("D1"), F.col("student_id"), F.col("punch_time"), F.concat_ws(":", "status", "punch_id")))
+    return mark(p).join(mark(p.filter("punch_id % 11 <> 0")).select("fp"), "fp", "left_anti").select("punch_id", "student_id")
+
+
+@query(with_roles("SELECT CAST(punch_time AS DATE) AS day, count(*) AS n, min(punch_time) AS first, max(punch_time) AS last, round(count(*) * 100.0 / 400, 2) AS fill, CASE WHEN count(*) * 100.0 / 400 >= 95 THEN 'clear' WHEN count(*) * 100.0 / 400 >= 80 THEN 'alert' ELSE 'ok' END AS band FROM punches GROUP BY 1", "punches"))
+def archive_days(spark, sf_dir):
+    """What a day's archive holds, and how full a buffer of 400 records it makes."""
+    fill = F.count(F.lit(1)) * 100.0 / 400
+    p = roles.punches(spark, sf_dir).groupBy(F.to_date("punch_time").alias("day"))
+    return p.agg(F.count(F.lit(1)).alias("n"), F.min("punch_time").alias("first"), F.max("punch_time").alias("last"), F.round(fill, 2).alias("fill"), F.when(fill >= 95, "clear").when(fill >= 80, "alert").otherwise("ok").alias("band"))
+
+
+@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO' AND p_partkey % 50 <> 0)")
+def fk_orphans(spark, sf_dir):
+    """V1: rows whose parent is gone."""
+    parent = roles.table(spark, sf_dir, "part").filter("p_type <> 'PROMO' and p_partkey % 50 <> 0")
+    return rel.orphans(roles.table(spark, sf_dir, "lineitem"), parent, "l_partkey", "p_partkey").select("l_orderkey", "l_partkey")
+
+
+@query(with_roles("SELECT exam_id, o_orderkey, marks, small_max FROM marks JOIN exams USING (exam_id) WHERE marks > small_max OR marks < 0", "marks", "exams"))
+def mark_over_max(spark, sf_dir):
+    """V2: marks above their exam's maximum or below zero."""
+    m = roles.marks(spark, sf_dir).join(roles.exams(spark, sf_dir).select("exam_id", "small_max"), "exam_id")
+    return m.filter("marks > small_max or marks < 0").select("exam_id", "o_orderkey", "marks", "small_max")
+
+
+@query(with_roles("SELECT student_id, date, count(*) AS n FROM usage GROUP BY ALL HAVING count(*) > 1", "usage"))
+def unique_violations(spark, sf_dir):
+    """V3, V4: keys that should be unique and are not."""
+    return rel.duplicates(roles.usage(spark, sf_dir), "student_id", "date")
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _TABLES))
+def table_counts(spark, sf_dir):
+    """Rows of each table; Parquet footers answer it."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), [roles.table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n")) for t in _TABLES])
+
+
+@query()
+def table_fingerprint(spark, sf_dir):
+    """An order-free fingerprint of each table."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), [rel.fingerprint(roles.table(spark, sf_dir, t)).withColumn("name", F.lit(t)) for t in _TABLES])
+
+
+@query("SELECT severity, problem, n FROM (SELECT 'FATAL' AS severity, 'orphan line' AS problem, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'FATAL', 'negative quantity', count(*) FROM lineitem WHERE l_quantity < 0 UNION ALL SELECT 'WARN', 'duplicate line', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'WARN', 'order outside 1995-2000', count(*) FROM orders WHERE CAST(o_orderdate AS DATE) NOT BETWEEN DATE '1995-01-01' AND DATE '2000-12-31')")
+def validation_report(spark, sf_dir):
+    """V1-V8: all checks as one table of severity, problem and count."""
+    from learnlake.operators import quality
+
+    t = lambda n: roles.table(spark, sf_dir, n)
+    return quality.report(
+        quality.Check("FATAL", "orphan line", rel.orphans(t("lineitem"), t("orders"), "l_orderkey", "o_orderkey")),
+        quality.Check("FATAL", "negative quantity", t("lineitem").filter("l_quantity < 0")),
+        quality.Check("WARN", "duplicate line", rel.duplicates(t("lineitem"), "l_orderkey", "l_linenumber")),
+        quality.Check("WARN", "order outside 1995-2000", t("orders").filter(~F.to_date("o_orderdate").between("1995-01-01", "2000-12-31"))),
+    )
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT o_orderkey + 100000000, 'N' FROM orders WHERE o_orderkey % 100 = 0")
+def upsert_orders(spark, sf_dir):
+    """Changed rows replace, new ones join."""
+    o = roles.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    new = o.filter("o_orderkey % 4 = 0").withColumn("o_orderstatus", F.lit("X"))
+    new = new.unionByName(o.filter("o_orderkey % 100 = 0").select((F.col("o_orderkey") + 100000000).alias("o_orderkey"), F.lit("N").alias("o_orderstatus")))
+    return rel.upsert(o, new, "o_orderkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'changed' ELSE o_orderpriority END AS o_orderpriority, o_orderstatus FROM orders")
+def partial_update(spark, sf_dir):
+    """Only allowed, given fields change."""
+    o = roles.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    changes = o.filter("o_orderkey % 10 = 0").select("o_orderkey", F.lit("changed").alias("o_orderpriority"), F.lit("Z").alias("o_orderstatus"))
+    return rel.overlay(o, changes, ["o_orderkey"], ["o_orderpriority"])
+
+
+@query("SELECT s_suppkey, 'kept' AS outcome FROM supplier WHERE NOT (s_suppkey % 2 = 0 AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)) UNION ALL SELECT s_suppkey, 'refused' FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+def delete_restrict(spark, sf_dir):
+    """Rows that something refers to are not deleted."""
+    s = roles.table(spark, sf_dir, "supplier").select("s_suppkey")
+    child = roles.table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
+    left, refused = rel.delete_restricted(s, s.filter("s_suppkey % 2 = 0"), "s_suppkey", child)
+    return left.withColumn("outcome", F.lit("kept")).unionByName(refused.withColumn("outcome", F.lit("refused")))
+
+
+@query("SELECT problem, n, sample FROM (SELECT problem, count(*) OVER (PARTITION BY problem) AS n, o_orderkey AS sample, row_number() OVER (PARTITION BY problem ORDER BY o_orderkey) AS r FROM (SELECT o_orderkey, 'priority ''...'' unknown' AS problem FROM orders WHERE o_orderpriority LIKE '5%' UNION ALL SELECT o_orderkey, 'status ''...''' FROM orders WHERE o_orderstatus = 'P')) WHERE r <= 8")
+def review_histogram(spark, sf_dir):
+    """Problems by template, eight samples each; counts come from an aggregate, not a window."""
+    from learnlake.functions.text import template_key
+
+    o = roles.table(spark, sf_dir, "orders")
+    rows = o.filter("o_orderpriority like '5%'").select("o_orderkey", F.format_string("priority '%s' unknown", "o_orderpriority").alias("message"))
+    rows = rows.unionByName(o.filter("o_orderstatus = 'P'").select("o_orderkey", F.format_string("status '%s'", "o_orderstatus").alias("message")))
+    rows = rows.withColumn("problem", template_key(F.col("message")))
+    counts = rows.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    return rel.at_most(rows, ["problem"], 8, F.col("o_orderkey")).join(counts, "problem").select("problem", "n", F.col("o_orderkey").alias("sample"))
+
+
+@query()
+def punch_stream(spark, sf_dir):
+    """The scanner's stream through the state machine, drained once."""
+    from learnlake.streaming import punches
+
+    return punches.drained_attendance(spark, f"{sf_dir}/events.parquet")
