@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 
 def osa(a: str, b: str) -> int:
@@ -36,17 +37,17 @@ def sound(word: str) -> str:
     return (w[:1] + re.sub(r"[AEIOUWY]", "", w[1:])) if w else ""
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks, as the standard library's difflib defines it."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def sound_key(s: pd.Series) -> pd.Series:
     return s.map(lambda x: " ".join(filter(None, map(sound, x.split()))), na_action="ignore")

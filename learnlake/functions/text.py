@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def blank_to_null(c: Column) -> Column:
@@ -30,7 +31,7 @@ def slugify(c: Column) -> Column:
     return F.when(core == "", F.lit("unknown")).otherwise(core)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC, for which Spark has no expression."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
@@ -160,7 +161,7 @@ def gender_from_markers(male: Column, female: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """The trimmed, non-empty items of a comma-joined cell."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def pad_with_last(a: Column, size: Column) -> Column:

@@ -121,7 +121,7 @@ def weekday_occurrence(spark, sf_dir):
     return d.select("date", dates.is_weekly_closure(c).alias("closed"), dates.monday(c).alias("monday"), dates.sunday(c).alias("sunday"), (-dates.days_until(c, F.lit(roles.TODAY_ORDERS))).alias("ago"))
 
 
-_BIGRAMS = "list_distinct(list_transform(generate_series(1, length({0}) - 1), i -> substring({0}, CAST(i AS BIGINT), 2)))"
+_BIGRAMS = "list_distinct(list_transform(generate_series(1, length({0}) - 1), lambda i: substring({0}, CAST(i AS BIGINT), 2)))"
 
 
 @query(f"SELECT a, b, round(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 6) AS dice FROM (SELECT a.p_type AS a, b.p_type AS b, {_BIGRAMS.format('a.p_type')} AS x, {_BIGRAMS.format('b.p_type')} AS y FROM (SELECT DISTINCT p_type FROM part) a JOIN (SELECT DISTINCT p_type FROM part) b ON substring(a.p_type, 1, 1) = substring(b.p_type, 1, 1) AND a.p_type <= b.p_type)")
@@ -145,7 +145,7 @@ def duration_labels(spark, sf_dir):
     return roles.usage(spark, sf_dir).select(F.col("usage_id").alias("o_orderkey"), times.duration_label(m).alias("label"), times.percentage(m, F.lit(239)).alias("percent"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'P-' || CAST(s_suppkey AS VARCHAR) ELSE 'B' || CAST(s_suppkey AS VARCHAR) END AS canonical, CAST(s_suppkey AS BIGINT) AS digits, CASE WHEN s_suppkey % 3 = 0 THEN 'P' ELSE 'B' END AS prefix, CAST(s_suppkey AS VARCHAR) AS rest FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'P-' || CAST(s_suppkey AS VARCHAR) ELSE 'B' || CAST(s_suppkey AS VARCHAR) END AS canonical, CAST(s_suppkey AS BIGINT) AS digits, CASE WHEN s_suppkey % 3 = 0 THEN 'P' ELSE 'B' END AS prefix, ltrim(CAST(s_suppkey AS VARCHAR), '0') AS rest FROM supplier")
 def catalogue_ids(spark, sf_dir):
     """identifiers of periodicals and books, their letters and numbers."""
     k = F.col("s_suppkey").cast("string")

@@ -2,7 +2,7 @@
 
 Punches are deduplicated by fingerprint within the ledger's retention, keyed by
 student and day, and paired as they come. State is a few numbers a student and
-day and expires after ``TTL_DAYS``. Each batch emits the sessions it changed;
+day and expires once the watermark is ``TTL_DAYS`` past the day. Each batch emits the sessions it changed;
 the sink keeps the newest version of a session, so an older pair that a newer
 one replaces disappears there.
 """
@@ -58,8 +58,9 @@ def _step(window: int) -> Callable:
         before = tuple(state.get) if state.exists else (-1, -1, 0, 0)
         out, after = fold_day(rows["m"].astype(int).tolist(), before, window)
         state.update(tuple(int(x) for x in after))
-        state.setTimeoutDuration(TTL_DAYS * 86_400_000)
         student, day = key
+        end = int(pd.Timestamp(day).timestamp() * 1000) + (TTL_DAYS + 1) * 86_400_000
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             [(student, day, p, a, b, p) for p, a, b in out],
             columns=["student_id", "date", "pair", "m_in", "m_out", "seq"],
@@ -73,7 +74,7 @@ def pair_stream(punches: DataFrame, window: int = 1) -> DataFrame:
     named = punches.withColumn("fingerprint", sessions.fingerprint(F.lit("D1"), F.col("student_id"), F.col("punch_time"), F.concat_ws(":", "status", "punch_id")))
     once = named.withWatermark("punch_time", f"{TTL_DAYS} days").dropDuplicatesWithinWatermark(["fingerprint"])
     keyed = once.withColumn("day", F.to_date("punch_time")).withColumn("m", times.minute_of(F.col("punch_time")))
-    return keyed.groupBy("student_id", "day").applyInPandasWithState(_step(window), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy("student_id", "day").applyInPandasWithState(_step(window), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def newest_sessions(pairs: DataFrame) -> DataFrame:
