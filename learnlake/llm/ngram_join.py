@@ -16,8 +16,10 @@ formed whole:
 4. Blocks of a few hundred rows are multiplied, column chunk by column chunk,
    and give at most one link a row. A second deal with other blocks joins what
    the first left apart.
-5. All pairs that meet and are still in different components, and whose sizes
-   allow the overlap, are multiplied row by row. After that no link is missing.
+5. Where rows of different components still meet, those outside the list's main
+   component are multiplied, block by block, with all rows of the lists of that
+   main component; sizes that rule a link out are skipped. After that no link
+   is missing.
 
 Dense groups of near copies thus cost a few passes over their rows, while the
 components are exactly those of all links.
@@ -25,6 +27,7 @@ components are exactly those of all links.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm.common import lower_words, materialize, mix64
+from learnlake.llm.common import lower_words, materialize, mix64, release
 
 #: Documents and characters that are hashed together.
 BATCH_DOCS, BATCH_CHARS = 2_000, 4_000_000
@@ -142,10 +145,11 @@ def _requests(size: int, parts: int):
             has_id = ids.notna().to_numpy()
             of_many = np.repeat(many > 1, many)
             head = np.concatenate([[n_docs], has_id.astype(np.int64), ids.fillna(0).astype(np.int64).to_numpy(), n]).astype(np.int64)
+            home = zlib.crc32(name.encode()) % parts
             one, several, shared_by = first[many == 1], first[many > 1], many[many > 1].astype(np.uint16)
             rows = [
-                (name, number % parts, 0, pack_sorted(gram[several]), b"", doc[of_many].astype(np.uint16).tobytes(), shared_by.tobytes()),
-                (name, number % parts, 1, sums.tobytes(), b"", head.tobytes(), b""),
+                (name, home, 0, pack_sorted(gram[several]), b"", doc[of_many].astype(np.uint16).tobytes(), shared_by.tobytes()),
+                (name, home, 1, sums.tobytes(), b"", head.tobytes(), b""),
             ]
             one_at, several_at = [0, *np.searchsorted(gram[one], bounds), len(one)], [0, *np.searchsorted(gram[several], bounds), len(several)]
             for p in range(parts):
@@ -228,8 +232,8 @@ def incidence_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return counted.groupBy("batch").applyInPandas(_assemble(percent), _DOC)
 
 
-def block_links(grams: list[np.ndarray], n: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a block's rows."""
+def overlaps(grams: list[np.ndarray]) -> np.ndarray:
+    """The product of a block's rows with themselves, accumulated over column chunks."""
     rows = len(grams)
     overlap = np.zeros((rows, rows), np.float32)
     row = np.repeat(np.arange(rows), [len(g) for g in grams])
@@ -244,6 +248,12 @@ def block_links(grams: list[np.ndarray], n: np.ndarray, percent: int) -> list[tu
         chunk = np.zeros((rows, min(width, int(col[b - 1]) - lo + 1)), np.float32)
         chunk[row[a:b], col[a:b] - lo] = 1
         overlap += chunk @ chunk.T
+    return overlap
+
+
+def block_links(grams: list[np.ndarray], n: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among a block's rows."""
+    rows, overlap = len(grams), overlaps(grams)
     link = 100 * overlap.astype(np.int64) >= percent * (n[:, None] + n[None, :] - overlap.astype(np.int64))
     np.fill_diagonal(link, False)
     seen, forest = np.zeros(rows, bool), []
@@ -260,32 +270,67 @@ def block_links(grams: list[np.ndarray], n: np.ndarray, percent: int) -> list[tu
     return forest
 
 
-def _multiply(percent: int):
-    """Blocks, each a run of rows with one (token, block), to links."""
-
-    def links(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        if len(rows) < 2:
-            return []
-        grams = [np.frombuffer(r[4], np.uint64) for r in rows]
-        return [(rows[a][2], rows[b][2]) for a, b in block_links(grams, np.array([r[3] for r in rows]), percent)]
+def cross_links(grams: list[np.ndarray], n: np.ndarray, comp: list[bytes], is_x: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """For each x row one link to each other component that it links with."""
+    m = np.array([len(g) for g in grams])
+    least = np.minimum(m[:, None], m[None, :])
+    code = np.unique(np.array(comp, dtype=object).astype("S"), return_inverse=True)[1]
+    may = is_x[:, None] & (code[:, None] != code[None, :]) & (100 * least >= percent * (n[:, None] + n[None, :] - least))
+    use = np.flatnonzero(may.any(0) | may.any(1))
+    if not len(use):
+        return []
+    both = overlaps([grams[i] for i in use]).astype(np.int64)
+    n, may, code = n[use], may[np.ix_(use, use)], code[use]
+    link = may & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+    out = []
+    for x in np.flatnonzero(link.any(1)):
+        near = np.flatnonzero(link[x])
+        out += [(int(use[x]), int(use[y])) for y in near[np.unique(code[near], return_index=True)[1]]]
+    return out
+
+
+def _grouped(columns: list[str], links):
+    """Runs of rows with one (token, x, y) to links; a run may go over the edge of a frame."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         for frame in frames:
             out = []
-            for row in frame[["token", "block", "k", "n", "grams"]].itertuples(index=False, name=None):
-                if held and held[0][:2] != row[:2]:
+            for row in frame[["token", "x", "y", *columns]].itertuples(index=False, name=None):
+                if held and held[0][:3] != row[:3]:
                     out += links(held)
                     held = []
                 held.append(row)
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
-        if out := links(held):
+        if held and (out := links(held)):
             yield pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
 
+def _multiply(percent: int):
+    def links(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        if len(rows) < 2:
+            return []
+        grams = [np.frombuffer(r[5], np.uint64) for r in rows]
+        return [(rows[a][3], rows[b][3]) for a, b in block_links(grams, np.array([r[4] for r in rows]), percent)]
+
+    return _grouped(["k", "n", "grams"], links)
+
+
+def _cross_multiply(percent: int):
+    def links(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        is_x = np.array([r[5] for r in rows])
+        if not is_x.any() or len(rows) < 2:
+            return []
+        grams = [np.frombuffer(r[7], np.uint64) for r in rows]
+        found = cross_links(grams, np.array([r[4] for r in rows]), [bytes(r[6]).hex().encode() for r in rows], is_x, percent)
+        return [(rows[a][3], rows[b][3]) for a, b in found]
+
+    return _grouped(["k", "n", "is_x", "comp", "grams"], links)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(k, comp) of every end of an edge (a, b): comp is the smallest k of its component.
 
@@ -305,55 +350,42 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _overlaps(percent: int):
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        out = []
-        for x, y, p, q in zip(a, b, na, nb):
-            both = np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).size
-            out.append(100 * both >= percent * (p + q - both))
-        return pd.Series(out)
-
-    return linked
-
-
 def class_links(classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among distinct rows (k, n, grams, prefix) that yield the components of all links."""
-    m = (F.octet_length("grams") / 8).cast("long")
-    met = classes.select("k", "n", m.alias("m"), F.explode("prefix").alias("token"))
+    met = classes.select("k", F.explode("prefix").alias("token"))
     lists = met.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = materialize(met.join(lists, "token"))
     sets = classes.select("k", "n", "grams")
 
     def multiplied(chosen: DataFrame, seed: int) -> DataFrame:
         block = F.pmod(F.xxhash64("k", F.lit(seed)), F.ceil(F.col("size") / BLOCK_ROWS))
-        dealt = chosen.withColumn("block", block).join(sets, "k").select("token", "block", "k", "n", "grams")
-        dealt = dealt.repartition("token", "block").sortWithinPartitions("token", "block")
+        dealt = chosen.withColumn("x", block).withColumn("y", F.lit(0)).join(sets, "k").select("token", "x", "y", "k", "n", "grams")
+        dealt = dealt.repartition("token", "x").sortWithinPartitions("token", "x")
         return dealt.mapInPandas(_multiply(percent), "a binary, b binary")
 
     largest = met.groupBy("k").agg(F.max(F.struct("size", "token")).alias("x")).select("k", "x.size", "x.token")
     first = multiplied(largest, 1)
     again = multiplied(largest.filter(F.col("size") > BLOCK_ROWS), 2)
     links = materialize(first.union(again))
+    release(classes.sparkSession)
     label = components(links)
     at = met.join(label, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     per_comp = at.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = per_comp.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("x"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    at = at.join(main.select("token", F.col("x.comp").alias("main")), "token")
-    x, y = at.filter("comp <> main").alias("x"), at.alias("y")
-    least = F.least("x.m", "y.m")
-    pairs = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.k") < F.col("y.k")))
-        & (100 * least >= percent * (F.col("x.n") + F.col("y.n") - least)),
-    )
-    pairs = pairs.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
-    left = sets.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    rest = pairs.join(left, "a").join(right, "b").filter(_overlaps(percent)("ga", "gb", "na", "nb")).select("a", "b")
-    return links.union(rest)
+    at = at.join(main.select("token", F.col("x.comp").alias("zone")), "token").select("zone", "k", "comp").distinct()
+    at = materialize(at.withColumn("out", F.col("comp") != F.col("zone")))
+    count = at.groupBy("zone").agg(F.count(F.lit(1)).alias("ny"), F.count_if("out").alias("nx"))
+    count = count.select("zone", F.ceil(F.col("nx") / BLOCK_ROWS).cast("int").alias("bx"), F.ceil(F.col("ny") / BLOCK_ROWS).cast("int").alias("by"))
+    at = at.join(count, "zone")
+    own = lambda blocks, seed: F.pmod(F.xxhash64("k", F.lit(seed)), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    x = at.filter("out").withColumn("x", own("bx", 3)).withColumn("y", every("by")).withColumn("is_x", F.lit(True))
+    y = at.withColumn("y", own("by", 4)).withColumn("x", every("bx")).withColumn("is_x", F.lit(False))
+    # a row that is in both roles of one task goes there once
+    dealt = x.unionByName(y).groupBy(F.col("zone").alias("token"), "x", "y", "k", "comp").agg(F.max("is_x").alias("is_x"))
+    dealt = dealt.join(sets, "k").select("token", "x", "y", "k", "n", "is_x", "comp", "grams")
+    dealt = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    return links.union(dealt.mapInPandas(_cross_multiply(percent), "a binary, b binary"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -367,11 +399,14 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     give the same rows in the same order when a lost task is run again, as any
     stored table does.
     """
+    spark = docs.sparkSession
     rows = materialize(incidence_rows(docs, size, percent))
+    release(spark)
     classes = rows.filter("grams is not null").groupBy("k").agg(
         F.first("n_shingles").alias("n"), F.first("grams").alias("grams"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies")
     )
     classes = materialize(classes)
+    release(spark)
     label = components(class_links(classes, percent))
     smallest = rows.filter("k is not null").groupBy("k").agg(F.min("doc_id").alias("least")).join(label, "k", "left")
     smallest = smallest.withColumn("comp", F.coalesce("comp", "k"))
