@@ -24,10 +24,11 @@ from learnlake.llm.common import ALNUM_LOWER, lower_words, materialize
 from learnlake.llm.sampling import held_out, pick
 
 #: Bounds of the training sample: confirmed toxic documents, unlabelled documents, distinct words of one.
-POSITIVES, UNLABELLED, WORDS = 3_000, 9_000, 20_000
+POSITIVES, UNLABELLED, WORDS = 2_000, 6_000, 20_000
 FEATURES = 1_024
 #: Lengths of beginnings, in bytes.
 STEMS = range(4, 9)
+BUCKETS = 1 << 22
 #: Least share of toxic ones, by the prior, among the documents that have a feature.
 PURITY = 0.5
 #: Toxic documents that a feature must have, and by how many standard errors it must be commoner in them.
@@ -120,38 +121,39 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float) -> Toxic
     if not positive or not unlabelled:
         return ToxicityModel({}, float(np.log(prior / (1 - prior))), prior)
     features = lambda doc: {f for w in doc.split() for f in word_features(w)}
-    pos, in_p = [features(d) for d in positive], Counter()
-    for d in pos:
-        in_p.update(d)
-    least = max(LEAST_DOCUMENTS, len(pos) // 200)
-    in_p = Counter({f: n for f, n in in_p.items() if n >= least})
-    pos = [d & in_p.keys() for d in pos]
-    unl = [features(d) & in_p.keys() for d in unlabelled]
-    in_u = Counter(f for d in unl for f in d)
-
-    def purity(f: bytes) -> float:
-        return prior * (in_p[f] / len(pos)) / ((in_u[f] + 1) / len(unl))
-
-    def deviation(f: bytes) -> float:
-        a, b = in_p[f] / len(pos), (in_u[f] + 1) / (len(unl) + 1)
-        return (a - b) / np.sqrt(b * (1 - b) / len(pos) + 1e-12)
-
+    least = max(LEAST_DOCUMENTS, len(positive) // 200)
+    # A fixed table of hashed counts first: most features are rare and needn't be held by name.
+    rough = np.zeros(BUCKETS, np.int32)
+    for d in positive:
+        np.add.at(rough, [hash(f) % BUCKETS for f in features(d)], 1)
+    in_p: Counter = Counter()
+    for d in positive:
+        in_p.update(f for f in features(d) if rough[hash(f) % BUCKETS] >= least)
+    names = sorted(f for f, n in in_p.items() if n >= least)
+    number = {f: i for i, f in enumerate(names)}
+    code = lambda docs: [np.array(sorted(number[f] for f in features(d) if f in number), np.int32) for d in docs]
+    pos, unl = code(positive), code(unlabelled)
+    in_pos, in_unl = (np.bincount(np.concatenate(x), minlength=len(names)) if names else np.zeros(0) for x in (pos, unl))
+    share, usual = in_pos / len(pos), (in_unl + 1) / (len(unl) + 1)
+    purity = prior * share / ((in_unl + 1) / len(unl))
+    deviation = (share - usual) / np.sqrt(usual * (1 - usual) / len(pos) + 1e-12)
     # of features that the same documents have, as far as counts tell, the shortest says it all
-    alike: dict[tuple[int, int, bytes], bytes] = {}
-    for f in sorted((f for f in in_p if purity(f) >= PURITY and deviation(f) >= LEAST_DEVIATION), key=len):
-        alike.setdefault((in_p[f], in_u[f], f[:4]), f)
-    strong = sorted(alike.values(), key=lambda f: (-in_p[f], f))[:FEATURES]
-    index = {f: i for i, f in enumerate(strong)}
-    code = lambda docs: [sorted(index[f] for f in d if f in index) for d in docs]
-    w, b = fit_nnpu(code(pos), code(unl), len(index), prior)
-    return ToxicityModel({k: float(w[i]) for k, i in index.items()}, b, prior)
+    alike: dict[tuple[int, int, bytes], int] = {}
+    for i in sorted(np.flatnonzero((purity >= PURITY) & (deviation >= LEAST_DEVIATION)).tolist(), key=lambda i: (len(names[i]), names[i])):
+        alike.setdefault((int(in_pos[i]), int(in_unl[i]), names[i][:4]), i)
+    strong = sorted(alike.values(), key=lambda i: (-in_pos[i], names[i]))[:FEATURES]
+    place = np.full(len(names), -1)
+    place[strong] = np.arange(len(strong))
+    chosen = lambda docs: [[int(k) for k in place[d] if k >= 0] for d in docs]
+    w, b = fit_nnpu(chosen(pos), chosen(unl), len(strong), prior)
+    return ToxicityModel({names[i]: float(w[k]) for k, i in enumerate(strong)}, b, prior)
 
 
 def _distinct_words(docs: DataFrame) -> list[bytes]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [sorted(set(lower_words(t, ALNUM_LOWER))) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "words": [b" ".join(w) for w in found if len(w) <= WORDS] if all(len(w) <= WORDS for w in found) else [b" ".join(w) if len(w) <= WORDS else None for w in found]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "words": [b" ".join(w) if len(w) <= WORDS else None for w in found]})
 
     rows = docs.mapInPandas(run, "doc_id long, words binary").filter("words is not null").collect()
     return [bytes(r["words"]) for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["words"])))]
