@@ -32,7 +32,7 @@ RECORD = "page_id long, warc_type string, record_id string, refers_to string, ta
 COLUMNS = [x.split()[0] for x in RECORD.split(", ")]
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|aside|blockquote|pre|title|form|dd|dt)\b[^>]*+>", re.I)
+_BREAK = re.compile(r"""</?(?:p|div|br|hr|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|aside|blockquote|pre|title|form|dd|dt)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", re.I)
 _TAG = re.compile(r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[a-zA-Z/!?][^>]*+>""")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
 _LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.I)
