@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm import ann, decontaminate, lm_scoring, ngram_join, packing, quality, sharding, toxicity, url_graph, warc
+from learnlake.llm import ann, decontaminate, lm_scoring, ngram_join, oracles, packing, quality, sharding, toxicity, url_graph, warc
 from learnlake.llm.common import read
 
 
@@ -97,4 +97,10 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others are permutations by hash, trained models, packings and digests in base 32, which are tested otherwise.
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_trust": oracles.url_trust(URL_RULES, url_graph.DAMPING, url_graph.ITERATIONS, url_graph.EXCESS),
+    "op3_lm_scoring": oracles.lm_scoring(lm_scoring.BACKOFF, lm_scoring.UNSEEN),
+    "op8_decontamination": oracles.decontamination(decontaminate.WINDOW),
+    "op10_ngram_jaccard": oracles.ngram_jaccard(4, 85),
+}
