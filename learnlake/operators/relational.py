@@ -121,7 +121,8 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def at_most(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
     """The first n rows of each group, which the planner limits before it shuffles."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= n)
+    ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= n)
+    return ranked.withColumn("place", F.col("place").cast("long"))
 
 
 def carried_down(value: Column, order: Window) -> Column:

@@ -206,4 +206,4 @@ def rank_ids(spark, sf_dir):
     """Ranks and shares of a small distinct table."""
     n = roles.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("title")).agg(F.count(F.lit(1)).alias("n"))
     total = n.agg(F.sum("n").alias("all"))
-    return n.crossJoin(F.broadcast(total)).select("title", "n", F.round(F.col("n") / F.col("all"), 4).alias("share"), F.row_number().over(Window.orderBy(F.desc("n"), "title")).alias("place"))
+    return n.crossJoin(F.broadcast(total)).select("title", "n", F.round(F.col("n") / F.col("all"), 4).alias("share"), F.row_number().over(Window.orderBy(F.desc("n"), "title")).cast("long").alias("place"))
