@@ -113,6 +113,14 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_features:
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (1 - t / (epochs + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
+    # Where the correction held the risk at zero, the intercept is left too high. The one at which the
+    # mean score of unlabelled text is the prior errs low instead, as strong scores use the prior up.
+    # Their mean, in log odds, is taken.
+    f, low, high = out(u, w, 0.0), -30.0, 30.0
+    for _ in range(60):
+        matched = (low + high) / 2
+        low, high = (matched, high) if _sigmoid(f + matched).mean() < prior else (low, matched)
+    b = (b + matched) / 2
     return w, float(b)
 
 
