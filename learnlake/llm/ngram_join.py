@@ -1,6 +1,6 @@
 """N-gram Jaccard self join as a blocked sparse matrix product.
 
-A document is a sparse row over its distinct word n-grams (64-bit hashes). The
+A document is a sparse row over its distinct word n-grams (hashes of HASH_BITS). The
 product of that matrix with its transpose holds the overlap of every pair, and
 a pair links when ``100 * overlap >= percent * union``. The product is never
 formed whole:
@@ -39,6 +39,9 @@ from learnlake.llm.common import lower_words, materialize, mix64, release
 
 #: Documents and characters that are hashed together.
 BATCH_DOCS, BATCH_CHARS = 2_000, 4_000_000
+#: Bits of an n-gram's hash, of which the lower bytes travel in full. Two different n-grams of one pair of
+#: documents with 1,000 each meet with a chance of 1 in 10^10.
+HASH_BITS, LOW_BYTES = 56, 5
 #: Rows of a block of the product.
 BLOCK_ROWS = 256
 #: Cells of a dense column chunk.
@@ -89,6 +92,7 @@ def incidence(texts: list[str | None], size: int, known: WordHashes) -> tuple[np
         words += map(known.__getitem__, lower_words(text))
         start.append(len(words))
     doc, gram = shingle_hashes(np.array(words, np.uint64), np.array(start), size)
+    gram = gram >> np.uint64(64 - HASH_BITS)
     order = np.lexsort((doc, gram))
     doc, gram = doc[order], gram[order]
     new = np.ones(len(doc), bool)
@@ -96,21 +100,22 @@ def incidence(texts: list[str | None], size: int, known: WordHashes) -> tuple[np
     return gram[new], doc[new]
 
 
-def pack_sorted(grams: np.ndarray) -> bytes:
-    """Rising 64-bit numbers as their lower six bytes and, for each upper half, how many have it."""
-    top = grams >> np.uint64(48)
+def pack_sorted(grams: np.ndarray, low_bytes: int = 6) -> bytes:
+    """Rising numbers as their lower bytes and, for each upper part, how many have it."""
+    top = grams >> np.uint64(8 * low_bytes)
     lo = int(top[0]) if len(top) else 0
     counts = np.bincount((top - np.uint64(lo)).astype(np.int64)).astype("<u4") if len(top) else np.empty(0, "<u4")
-    low = grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return np.array([len(grams), lo, len(counts)], "<u4").tobytes() + counts.tobytes() + low.tobytes()
+    low = grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low_bytes]
+    return np.array([len(grams), lo, len(counts), low_bytes], "<u4").tobytes() + counts.tobytes() + low.tobytes()
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
-    n, lo, tops = np.frombuffer(raw, "<u4", 3).tolist()
-    counts = np.frombuffer(raw, "<u4", tops, 12)
+    n, lo, tops, low_bytes = np.frombuffer(raw, "<u4", 4).tolist()
+    counts = np.frombuffer(raw, "<u4", tops, 16)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 12 + 4 * tops).reshape(n, 6)
-    return out.reshape(-1).view("<u8") + (np.repeat(np.arange(tops, dtype=np.uint64) + np.uint64(lo), counts) << np.uint64(48))
+    out[:, :low_bytes] = np.frombuffer(raw, np.uint8, low_bytes * n, 16 + 4 * tops).reshape(n, low_bytes)
+    top = np.repeat(np.arange(tops, dtype=np.uint64) + np.uint64(lo), counts)
+    return out.reshape(-1).view("<u8") + (top << np.uint64(8 * low_bytes))
 
 
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +134,7 @@ def _requests(size: int, parts: int):
         from pyspark import TaskContext
 
         task, known = TaskContext.get().partitionId(), WordHashes()
-        bounds = np.array([-(-(p << 64) // parts) for p in range(1, parts)], dtype=np.uint64)
+        bounds = np.array([-(-(p << HASH_BITS) // parts) for p in range(1, parts)], dtype=np.uint64)
         for number, frame in enumerate(_batches(frames)):
             name = f"{task}-{number}"
             gram, doc = incidence(frame["text"].tolist(), size, known)
@@ -148,14 +153,14 @@ def _requests(size: int, parts: int):
             home = zlib.crc32(name.encode()) % parts
             one, several, shared_by = first[many == 1], first[many > 1], many[many > 1].astype(np.uint16)
             rows = [
-                (name, home, 0, pack_sorted(gram[several]), b"", doc[of_many].astype(np.uint16).tobytes(), shared_by.tobytes()),
+                (name, home, 0, pack_sorted(gram[several], LOW_BYTES), b"", doc[of_many].astype(np.uint16).tobytes(), shared_by.tobytes()),
                 (name, home, 1, sums.tobytes(), b"", head.tobytes(), b""),
             ]
             one_at, several_at = [0, *np.searchsorted(gram[one], bounds), len(one)], [0, *np.searchsorted(gram[several], bounds), len(several)]
             for p in range(parts):
                 a, b = one[one_at[p] : one_at[p + 1]], slice(several_at[p], several_at[p + 1])
                 if len(a) or b.start < b.stop:
-                    rows.append((name, p, 2, pack_sorted(gram[a]), pack_sorted(gram[several[b]]), doc[a].astype(np.uint16).tobytes(), shared_by[b].tobytes()))
+                    rows.append((name, p, 2, pack_sorted(gram[a], LOW_BYTES), pack_sorted(gram[several[b]], LOW_BYTES), doc[a].astype(np.uint16).tobytes(), shared_by[b].tobytes()))
             yield pd.DataFrame(rows, columns=_ROW_COLUMNS)
 
     return run
@@ -182,7 +187,7 @@ def _count_columns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for k, (name, p, _, _, docs, _) in enumerate(asked):
         one, more = found[2 * k], found[2 * k + 1]
         shared = one > 1
-        rows = [(name, p, 2, pack_sorted(grams[2 * k][shared]), b"", np.frombuffer(docs, np.uint16)[shared].tobytes(), one[shared].tobytes())]
+        rows = [(name, p, 2, pack_sorted(grams[2 * k][shared], LOW_BYTES), b"", np.frombuffer(docs, np.uint16)[shared].tobytes(), one[shared].tobytes())]
         if len(more):
             rows.append((name, p, 3, b"", b"", b"", more.tobytes()))
         yield pd.DataFrame(rows, columns=_ROW_COLUMNS)
