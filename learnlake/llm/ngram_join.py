@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from learnlake.llm.common import lower_words, materialize, mix64, release
 
 #: Documents and characters that are hashed together.
-BATCH_DOCS, BATCH_CHARS = 2_000, 4_000_000
+BATCH_DOCS, BATCH_CHARS = 1_500, 2_500_000
 #: Bits of an n-gram's hash, of which the lower bytes travel in full. Two different n-grams of one pair of
 #: documents with 1,000 each meet with a chance of 1 in 10^10.
 HASH_BITS, LOW_BYTES = 56, 5
 #: Rows of a block of the product.
 BLOCK_ROWS = 256
 #: Cells of a dense column chunk.
-CHUNK_CELLS = 8_000_000
+CHUNK_CELLS = 2_000_000
 
 _ROW = "batch string, p int, kind int, grams binary, more binary, docs binary, counts binary"
 _ROW_COLUMNS = ["batch", "p", "kind", "grams", "more", "docs", "counts"]
@@ -58,7 +58,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

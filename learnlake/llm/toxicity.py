@@ -49,7 +49,7 @@ class _Matched(dict):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> tuple[bytes, ...]:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found = tuple(f for f in word_features(word) if f in self.weights)
         return found
