@@ -30,7 +30,7 @@ ORDER = 2
 BACKOFF = 0.4
 UNSEEN = 0.5
 #: Documents and characters of a batch.
-BATCH_DOCS, BATCH_CHARS = 5_000, 8_000_000
+BATCH_DOCS, BATCH_CHARS = 4_000, 5_000_000
 
 _ROW = "batch string, p int, kind int, grams binary, counts binary"
 _COLUMNS = ["batch", "p", "kind", "grams", "counts"]
@@ -72,6 +72,7 @@ def _distinct(grams: list[np.ndarray]) -> np.ndarray:
 
 def _ask(order: int, parts: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
         from pyspark import TaskContext
 
         task, known = TaskContext.get().partitionId(), WordHashes()
@@ -80,11 +81,11 @@ def _ask(order: int, parts: int):
             name, texts = f"{task}-{number}", frame["text"].tolist()
             gram, count = np.unique(_distinct(ngrams(texts, order, known)[2]), return_counts=True)
             frame = frame.assign(text=[None if t is None else t.encode("utf-8", "surrogatepass") for t in texts])
-            held = zlib.compress(b"".join(t or b"" for t in frame["text"]), 1)
+            held = zstandard.compress(b"".join(t or b"" for t in frame["text"]), 3)
             sizes = np.array([-1 if t is None else len(t) for t in frame["text"]], np.int64)
             ids = frame["doc_id"]
             head = np.concatenate([ids.notna().to_numpy().astype(np.int64), ids.fillna(0).astype(np.int64).to_numpy(), sizes])
-            rows = [(name, number % parts, 0, held, head.astype(np.int64).tobytes())]
+            rows = [(name, zlib.crc32(name.encode()) % parts, 0, held, head.astype(np.int64).tobytes())]
             at = [0, *np.searchsorted(gram, bounds), len(gram)]
             rows += [(name, p, 1, pack_sorted(gram[a:b]), count[a:b].astype("<u4").tobytes()) for p, (a, b) in enumerate(zip(at, at[1:])) if a < b]
             yield pd.DataFrame(rows, columns=_COLUMNS)
@@ -112,22 +113,25 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _score(order: int, backoff: float, unseen: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
         frame = frame.sort_values("p")
         text = frame[frame["kind"] == 0].iloc[0]
         has_id, ids, sizes = np.frombuffer(text["counts"], np.int64).reshape(3, -1)
-        raw, at, texts = zlib.decompress(text["grams"]), 0, []
+        raw, at, texts = zstandard.decompress(text["grams"]), 0, []
         for n in sizes.tolist():
             texts.append(None if n < 0 else raw[at : at + n].decode("utf-8", "surrogatepass"))
             at += max(n, 0)
         total = np.concatenate([np.frombuffer(c, "<i8") for c in frame.loc[frame["kind"] == 2, "counts"]] or [np.empty(0, np.int64)])
         doc, place, grams = ngrams(texts, order, WordHashes())
         gram = np.unique(_distinct(grams))
+        total = np.append(total, 0)  # the last entry stands for no n-gram
         left = []  # counts in other documents, by length of the n-gram
         for h in grams:
             index = np.searchsorted(gram, h)
-            index[h == 0] = 0
+            index[h == 0] = len(gram)
             _, pair, own = np.unique(doc * (len(gram) + 1) + index, return_inverse=True, return_counts=True)
-            left.append(np.where(h == 0, 0, (total[index] - own[pair]) if len(gram) else 0))
+            left.append(np.where(h == 0, 0, total[index] - own[pair]))
         score = np.full(len(doc), np.nan)
         lone = np.zeros(len(doc), bool)
         longest = np.minimum(place + 1, order)
