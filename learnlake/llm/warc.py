@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 VERSION = b"WARC/1.1"
 #: For pages without a time of capture.
 NO_DATE = "1970-01-01T00:00:00Z"
-LINKS = 10_000
 
 RECORD = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, block_length long, record binary"
 COLUMNS = [x.split()[0] for x in RECORD.split(", ")]
@@ -92,7 +91,7 @@ def plain_text(page: str) -> str:
 
 
 def metadata_block(page: str, head: str, payload_digest: str, conversion_id: str) -> bytes:
-    """application/warc-fields: what the conversion loses."""
+    """application/warc-fields: what the conversion loses, with every distinct outlink."""
     title, lang = _TITLE.search(page), _LANG.search(page)
     fields = [("conversion", conversion_id), ("source-payload-digest", payload_digest)]
     fields += [("title", one_line(html.unescape(_TAG.sub("", title[1]))))] if title else []
@@ -101,7 +100,7 @@ def metadata_block(page: str, head: str, payload_digest: str, conversion_id: str
     fields += [("source-status", status)] if status else []
     fields += [("source-header", h) for h in headers if h]
     seen = dict.fromkeys(one_line(html.unescape(next(filter(None, m), ""))) for m in _HREF.findall(page))
-    fields += [("outlink", x) for x in list(seen)[:LINKS] if x] + ([("outlinks", str(len(seen)))] if len(seen) > LINKS else [])
+    fields += [("outlink", x) for x in seen if x]
     return "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields).encode("utf-8", "replace")
 
 

@@ -336,6 +336,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.page_derivatives(pages.limit(0)).count() == 0
 
 
+def test_metadata_has_every_distinct_outlink():
+    want = [f"/p{k}" for k in range(25_000)]
+    page = "".join(f'<a href="{x}">x</a>' for x in [*want, *want[:10]])
+    (_, meta), = warc.parse_records(next(r[-1] for r in warc.derivative_rows(1, warc.response_row(1, "http://a", page)[-1]) if r[1] == "metadata"))
+    assert [x[len("outlink: "):] for x in meta.decode().split("\r\n") if x.startswith("outlink")] == want
+
+
 # --- op7, op9 -------------------------------------------------------------------------------------------------------
 
 
