@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm.common import lower_words, materialize, mix64, release
+from learnlake.llm.common import lower_words, materialize, mix64, release, unused_name
 
 #: Documents and characters that are hashed together.
 BATCH_DOCS, BATCH_CHARS = 1_500, 2_500_000
@@ -422,16 +422,26 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component with all its columns: the smallest doc_id.
+    """One document of each component with all its columns: the smallest doc_id, null ones last.
 
-    Of rows that repeat both doc_id and text one stays. Documents without words
-    stay, and so do rows without a doc_id, which nothing can name.
+    A document is known by a 64-bit hash of doc_id and text, so rows that repeat
+    a doc_id, or have none, are judged by their own text. Of rows that repeat
+    both one stays. Documents without words stay; those of them that have no
+    doc_id stay as often as they occur.
     """
-    found = materialize(jaccard_components(docs, size, percent).select("doc_id", "component_id"))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    doc_id, name = F.col("doc_id").cast("long"), unused_name(docs, "_row")
+    identity = F.xxhash64(doc_id, F.col("text").cast("string"))
+    named = docs.select(identity.alias("doc_id"), "text")
+    found = materialize(jaccard_components(named, size, percent).select(F.col("doc_id").alias(name), "component_id", "n_shingles"))
+    ids = docs.select(identity.alias(name), doc_id.alias("own")).distinct()
+    known = found.groupBy(name, "component_id", "n_shingles").agg(F.count(F.lit(1)).alias("copies"))
+    known = materialize(known.join(ids, name))
+    stays = known.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", name)).alias("x")).select(f"x.{name}")
+    gone = known.select(name).join(stays, name, "left_anti")
+    marked = docs.withColumn(name, identity)
+    kept = marked.join(gone, name, "left_anti")
+    repeated = known.filter("copies > 1 and (n_shingles > 0 or own is not null)").select(name)
     if repeated.limit(1).count():
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
-    return kept
+        once = kept.join(repeated, name, "left_semi").dropDuplicates([name])
+        kept = kept.join(repeated, name, "left_anti").unionByName(once)
+    return kept.select(docs.columns)

@@ -214,6 +214,24 @@ def test_one_document_of_each_group_stays(spark):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
 
 
+def test_near_copies_are_told_apart_by_row_not_by_doc_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = lambda k: " ".join([*base, f"end{k}"])
+    alone = lambda k: " ".join(f"u{k}x{j}" for j in range(20))
+    other = " ".join(f"o{k}" for k in range(60))
+    rows = [(2, near(0)), (5, near(1)), (5, alone(1)), (2, near(2)), (2, near(0)), (None, near(3)), (None, alone(2))]
+    rows += [(None, other), (None, other + " end"), (None, other), (7, ""), (7, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for frame in (docs, docs.repartition(3)):
+        kept = [tuple(r) for r in ngram_join.without_near_copies(frame).collect()]
+        cluster = [r for r in kept if r[1] and r[1].startswith("w0")]
+        assert len(cluster) == 1 and cluster[0][0] == 2
+        assert sum(bool(r[1]) and r[1].startswith("o0") for r in kept) == 1
+        rest = [r for r in kept if not r[1] or r[1][:2] not in ("w0", "o0")]
+        assert Counter(rest) == Counter([(5, alone(1)), (None, alone(2)), (7, ""), (None, None), (None, None)])
+    assert ngram_join.without_near_copies(docs.limit(0)).count() == 0
+
+
 def test_sorted_numbers_survive_packing():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5000):
