@@ -31,17 +31,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class Encoder:
     """Token ids of a byte-level BPE file of the tokenizers library, as little-endian uint32 bytes.
 
-    The ids are those of the library with add_special_tokens=False and
-    encode_special_tokens=True; tiktoken's merge loop, fed with the file's own
-    vocabulary, yields them several times faster. Vocabularies of which the ids
-    don't rise in the order of the merges are left to the library itself.
+    The ids are those of the library with add_special_tokens=False; tiktoken's
+    merge loop, fed with the file's own vocabulary, yields them several times
+    faster. Vocabularies of which the ids don't rise in the order of the merges
+    are left to the library itself, and so are texts that hold an added token,
+    such as <|endoftext|>. With ``literal`` added tokens are plain text, as with
+    the library's encode_special_tokens.
     """
 
     PROBE = ["", " ", "It's 12,345  words\n\n of\ttext!?  ", "Größe, naïve \u00a0 日本語 🙂 <|endoftext|>"]
     # The public pattern of byte-level BPE, as the library has it built in.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -49,7 +51,9 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.fast = None
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary = file["model"]["vocab"]
+        self.added = [] if literal else [t["content"] for t in file.get("added_tokens") or []]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
         if all(c in letters for token in vocabulary for c in token if not token.startswith("<|")):
@@ -57,22 +61,25 @@ class Encoder:
             fast = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
             if all(fast.encode_ordinary(t) == self.library.encode(t, add_special_tokens=False).ids for t in self.PROBE):
                 self.fast = fast
+        self.library.encode_special_tokens = literal
 
     def __call__(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if self.fast else self.library.encode(text, add_special_tokens=False).ids
+        fast = self.fast and not any(t in text for t in self.added)
+        ids = self.fast.encode_ordinary(text) if fast else self.library.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, literal: bool = True) -> DataFrame:
     """Documents as pieces of at most ``capacity`` tokens, each with a CRC-32 of its ids.
 
     A null text counts as empty; every document ends with ``end_id``, so an
     empty one is one token long. Only the first piece of a longer document is
-    shorter than the rest. Repeated rows give repeated pieces.
+    shorter than the rest. Repeated rows give repeated pieces. ``literal`` is
+    the Encoder's.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer_path)
+        encode = Encoder(tokenizer_path, literal)
         end = int(end_id).to_bytes(4, "little")
         for frame in frames:
             rows = []
@@ -219,11 +226,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 256)
     return numbers.mapInPandas(place, out)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, literal: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
 
     Documents are tokenised once; the pieces are kept in the checkpoint folder
     for the count and for the numbering. An empty table gives no rows; null
-    texts and ids, repeated rows and further columns are allowed.
+    texts and ids, repeated rows and further columns are allowed. op6_packing
+    and the pipeline set ``literal`` to False: an added token within a text has
+    its own id.
     """
-    return pack_pieces(materialize(token_pieces(docs, tokenizer_path, capacity, end_id)), capacity)
+    return pack_pieces(materialize(token_pieces(docs, tokenizer_path, capacity, end_id, literal)), capacity)

@@ -51,7 +51,7 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), literal=False)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

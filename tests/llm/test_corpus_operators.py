@@ -87,6 +87,22 @@ def test_pieces_are_whole_documents_by_the_public_tokenizer(spark):
     assert packing.pack_documents(empty(spark), tokenizer_path()).count() == 0
 
 
+def test_added_tokens_have_their_own_ids_as_in_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from learnlake.llm.queries import QUERIES
+
+    tok, encode = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    texts = ["end <|endoftext|> start", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n b", "<|endoftext| >", "plain  text \n"]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(encode(texts[0]), "<u4").tolist() == [437, 220, 50256, 923]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["ids_crc32"] for r in QUERIES["op6_packing"](spark, str(tmp_path)).collect()}
+    ids = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert got == {k: zlib.crc32(np.array(x, "<u4").tobytes()) for k, x in enumerate(ids)}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_plan_uses_every_piece_and_few_sequences(seed):
     rng = random.Random(seed)
