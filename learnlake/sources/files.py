@@ -63,13 +63,22 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
-    """A ragged register of six cells: header rows (no serial, a date in c3) give exam, date and maximum to the rows below."""
+    """A ragged register of six cells: header rows (no serial or name, a topic or date) give exam, date and maximum to the rows below.
+
+    A date in c2 beside a topic in c3 is a swap; a maximum is the first number of
+    c4, or else of c5. A part that a header lacks stays as it was.
+    """
     lines = numbered_lines(spark, path).select("line", F.from_csv("value", F.lit(", ".join(f"c{k} string" for k in range(6)))).alias("r")).select("line", "r.*")
     cells = lines.select("line", *[F.coalesce(F.trim(f"c{k}"), F.lit("")).alias(f"c{k}") for k in range(6)])
-    head = (F.col("c0") == "") & (F.col("c2") != "") & F.col("c3").rlike(r"\d")
+    letters = lambda c: F.col(c).rlike("[A-Za-z]")
+    swapped = F.col("c2").rlike(r"^\d{1,2}[.\-/ ]\d{1,2}[.\-/ ]\d{2,4}$") & letters("c3")
+    cells = cells.withColumns({"c2": F.when(swapped, F.col("c3")).otherwise(F.col("c2")), "c3": F.when(swapped, F.col("c2")).otherwise(F.col("c3"))})
+    head = (F.col("c0") == "") & (F.col("c1") == "") & ((F.col("c2") != "") | (F.col("c3") != ""))
+    number = lambda c: F.nullif(F.regexp_extract(c, r"\d+(?:\.\d+)?", 0), F.lit(""))
     w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    down = lambda c: F.last(F.when(head, F.col(c)), ignorenulls=True).over(w)
-    filled = cells.select("*", head.alias("is_head"), down("c2").alias("exam"), down("c3").alias("date"), down("c4").alias("most"))
+    down = lambda c: F.last(F.when(head, c), ignorenulls=True).over(w)
+    exam, date = F.when(letters("c2"), F.col("c2")), F.nullif("c3", F.lit(""))
+    filled = cells.select("*", head.alias("is_head"), down(exam).alias("exam"), down(date).alias("date"), down(F.coalesce(number("c4"), number("c5"))).alias("most"))
     body = filled.filter(~F.col("is_head") & F.col("c0").rlike(r"^\d+$"))
     return body.select("line", F.col("c0").alias("serial"), F.col("c1").alias("name"), F.col("c2").alias("student_id"), "exam", "date", "most", F.col("c5").alias("marks"))
 

@@ -183,6 +183,15 @@ def test_table_maintenance(spark):
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
+def test_register_headers_with_parts_in_the_wrong_column(spark, tmp_path):
+    register = tmp_path / "marks.csv"
+    register.write_text(",,Polity,1.2.24,50,\n1,Asha,12,,,40\n,,19.12.2025,A&R Exam,,25 Marks\n1,Asha,12,,,20\n,,,20.12.2025,,\n1,Asha,12,,,7\n,,,,9,\n2,Ravi,13,,,8\n,,Essay,,,\n2,Ravi,13,,,5\n")
+    got = files.read_register(spark, str(register)).orderBy("line").collect()
+    assert [(r["exam"], r["date"], r["most"], r["marks"]) for r in got] == [
+        ("Polity", "1.2.24", "50", "40"), ("A&R Exam", "19.12.2025", "25", "20"), ("A&R Exam", "20.12.2025", "25", "7"), ("A&R Exam", "20.12.2025", "25", "8"), ("Essay", "20.12.2025", "25", "5"),
+    ]
+
+
 def test_files(spark, tmp_path):
     export = tmp_path / "daily.csv"
     export.write_text('﻿Report,,\n\nSl.No,ID NO,Name of the Student,Gender,Date,IN,OUT,Unnamed: 7\n1, 12 ,"Rao, Asha",F,1.1.24,9:00,12:00,\n,,,,,,,\n2,13,B,M,,,,x\n', encoding="utf-8")
