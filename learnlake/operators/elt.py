@@ -137,9 +137,15 @@ def near_titles(titles: DataFrame) -> DataFrame:
 def match_names(names: DataFrame, roster: DataFrame, least: float = 0.84) -> DataFrame:
     """name, student_id and tier: exact, the same words, or one alike and no other.
 
-    Exact tiers are equi joins; only what is left meets the roster's distinct
-    names, in blocks of a common first letter of any word.
+    Exact tiers are equi joins; only what is left meets the roster's names, by
+    bounds that a matching ratio of ``least`` (0.78 or more) implies. Between
+    two matching blocks at least one letter matches nothing, so without a common
+    pair of letters 3 * matches <= letters of both + 1, which holds for 5 letters
+    at most: names meet by pairs of letters, and those of up to 4 letters by
+    single ones too. Matches are no more than the shorter name has letters.
     """
+    if least < REVIEW:
+        raise ValueError(f"names meet by bounds that hold from a ratio of {REVIEW} on, not {least}")
     r = roster.withColumn("norm", text.person_name(F.col("roster_name"))).withColumn("words", text.word_set(F.col("roster_name")))
     n = names.select("name").distinct().withColumn("norm", text.person_name(F.col("name"))).withColumn("words", text.word_set(F.col("name")))
 
@@ -151,10 +157,13 @@ def match_names(names: DataFrame, roster: DataFrame, least: float = 0.84) -> Dat
     rest = n.join(exact, "name", "left_anti")
     words = only(rest.join(r.select("words", "student_id"), "words"), "words")
     rest = rest.join(words, "name", "left_anti")
-    firsts = F.array_distinct(F.transform(F.col("words"), lambda w: F.substring(w, 1, 1)))
-    a = rest.select("name", "norm", F.explode(firsts).alias("first"))
-    b = r.select("student_id", F.col("norm").alias("other"), F.explode(firsts).alias("first"))
-    close = a.join(b, "first").drop("first").distinct().filter(similarity.matching_ratio("norm", "other") >= least)
+    single = F.when(F.length("norm") <= 4, F.array_distinct(F.split("norm", ""))).otherwise(F.array().cast("array<string>"))
+    parts = F.explode(F.concat(text.bigrams(F.col("norm")), single)).alias("part")
+    a = rest.select("name", "norm", parts)
+    b = r.select(F.col("norm").alias("other"), "norm").distinct().select("other", parts)
+    la, lb = F.length("norm"), F.length("other")
+    met = a.join(b, "part").filter(2 * F.least(la, lb) >= F.lit(least) * (la + lb) - 1e-9).select("name", "norm", "other").distinct()
+    close = met.filter(similarity.matching_ratio("other", "norm") >= least).join(r.select("student_id", F.col("norm").alias("other")), "other")
     return exact.unionByName(words).unionByName(only(close, "similar"))
 
 

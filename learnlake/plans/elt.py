@@ -38,7 +38,7 @@ def title_near_dups(spark, sf_dir):
 
 @query("WITH r AS (SELECT s_suppkey AS student_id, 'a' || CAST(s_suppkey AS VARCHAR) || ' b' || CAST(s_suppkey AS VARCHAR) AS norm FROM supplier) SELECT 'B' || CAST(s_suppkey AS VARCHAR) || '. A' || CAST(s_suppkey AS VARCHAR) AS name, s_suppkey AS student_id, 'words' AS tier FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'A' || CAST(s_suppkey AS VARCHAR) || '.B' || CAST(s_suppkey AS VARCHAR), s_suppkey, 'exact' FROM supplier WHERE s_suppkey % 2 = 1")
 def name_match_tiers(spark, sf_dir):
-    """Names to the roster, by exact name, by the same words, by likeness."""
+    """Names to the roster, by exact name, by the same words, by likeness."""
     k = F.col("s_suppkey").cast("string")
     s = roles.table(spark, sf_dir, "supplier").select("s_suppkey")
     roster = s.select(F.col("s_suppkey").alias("student_id"), F.concat(F.lit("A"), k, F.lit(" B"), k).alias("roster_name"))

@@ -163,6 +163,25 @@ def test_names_chains_lists_and_dates(spark):
     assert [r["fixed"] for r in elt.carry_dates(sheet, dt.date(2024, 1, 30)).orderBy("line").collect()] == [dt.date(2024, 1, 5), dt.date(2024, 1, 6), None, None]
 
 
+def test_similar_names_meet_the_whole_roster(spark):
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    words = ["Ganesan", "Kumar", "Ali", "Al", "Bo", "Raghavan", "Meena"]
+    names = ["Kanesan", "Aji", "Blaa"] + ["".join(rng.choice("abc") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    roster = [(k, w) for k, w in enumerate(words + ["".join(rng.choice("abc") for _ in range(rng.randint(2, 8))) for _ in range(60)])]
+    got = elt.match_names(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(roster, "student_id long, roster_name string")).collect()
+    want = {}
+    for n in set(names):
+        if n.lower() in {w.lower() for _, w in roster}:
+            continue
+        close = [k for k, w in roster if difflib.SequenceMatcher(None, w.lower(), n.lower()).ratio() >= 0.84]
+        if len(close) == 1:
+            want[n] = close[0]
+    assert want["Kanesan"] == 0 and {r["name"]: r["student_id"] for r in got if r["tier"] == "similar"} == want
+
+
 def test_spellings_fold_in_order(spark):
     rows = [(1, "Polity"), (2, "polity"), (3, "Politty"), (4, "History"), (5, "Hisotry"), (6, "polity"), (7, None)]
     got = {r["k"]: r["canonical"] for r in elt.canonicalise(spark.createDataFrame(rows, "k long, name string"), "name", "k").collect()}
