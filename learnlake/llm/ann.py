@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by inner product with anisotropic quantisation.
 
-Codes have four bits for each pair of a vector's components. The quantiser is
+Codes have four bits for each component of a vector. The quantiser is
 score-aware: of the residual, the part parallel to the vector changes the inner
 product with the very queries for which the vector scores high, so it is
 penalised ``eta`` times as much as the rest (Guo et al., 2020). What is coded is
 the vector's difference from its coarse centre, in units of the centre's spread,
 so that vectors which nearly coincide are still told apart. A scan adds up table
-entries, two codes a byte; the best of each block of vectors are scored exactly
-and the best of those are the answer.
+entries, two codes a byte; only codes are dealt out to it. The best by code of
+all vectors are then joined with their vectors and scored exactly.
 """
 
 from __future__ import annotations
@@ -20,18 +20,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from learnlake.llm.common import materialize
+
 #: Vectors that the codebooks are fitted on.
 SAMPLE = 8_000
 CENTRES = 16
-SUB = 2
+SUB = 1
 #: Score from which on (as a share of the norm) a query counts for the loss.
 SCORE_SHARE = 0.2
-#: Candidates of each block that are scored exactly, for each neighbour asked for.
-OVERSAMPLE = 10
+#: Candidates that are scored exactly, for each neighbour asked for (README: recall as measured).
+OVERSAMPLE = 5
 #: Coarse centres.
 COARSE = 64
-#: Vectors of a data block and queries of a query block.
-BLOCK, QUERY_BLOCK = 16_384, 4_096
+#: Vectors of a data block (held as codes) and queries that are dealt out together.
+BLOCK, QUERY_BLOCK = 65_536, 1_024
 
 
 @dataclass
@@ -150,79 +152,122 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE) -> DataFrame:
+def _flat(df: DataFrame, dim: int) -> DataFrame:
+    """Distinct (vec_id, v) with v as bytes, and a hash of v that tells rows with one vec_id apart."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "v": [np.asarray(v, np.float64).tobytes() for v in frame["v"]]})
+
+    flat = df.filter(F.size("v") == dim).mapInPandas(run, "vec_id long, v binary")
+    return flat.dropDuplicates(["vec_id", "v"]).withColumn("mark", F.xxhash64("v"))
+
+
+def best_by_code(codes: DataFrame, asked: DataFrame, quantiser, most: int) -> DataFrame:
+    """(query_id, query_mark, vec_id, mark): for each query the ``most`` best by code of a block, ties to the smaller vec_id.
+
+    Both tables have block and part. A task takes its blocks one after the
+    other: the block's codes first, then its queries as they stream by.
+    """
+    columns = ["block", "part", "is_query", "vec_id", "mark", "near", "body"]
+    rows = codes.withColumn("is_query", F.lit(False)).select(columns)
+    rows = rows.union(asked.select("block", "part", F.lit(True), "vec_id", "mark", F.lit(0), F.col("v")))
+    rows = rows.repartition("block", "part").sortWithinPartitions("block", "part", "is_query", "vec_id")
+
+    def scan(ids, marks, near, code, spread, q_ids, q_marks, q) -> pd.DataFrame:
+        tables, coarse = quantiser.value.tables(q), quantiser.value.pad(q) @ quantiser.value.coarse.T
+        out = []
+        for i, table in enumerate(tables):
+            found = np.zeros(len(ids), np.float32)
+            for position, bytes_ in enumerate(code):
+                found += table[position][bytes_]
+            found = coarse[i][near] + spread * found
+            found[ids == q_ids[i]] = -np.inf
+            best = np.argpartition(-found, most)[:most] if len(found) > most else np.arange(len(found))
+            if len(found) > most:  # of equal ones at the edge those that come first, which have the smaller vec_id
+                edge = found[best].min()
+                above = np.flatnonzero(found > edge)
+                best = np.concatenate([above, np.flatnonzero(found == edge)[: most - len(above)]])
+            best = best[ids[best] != q_ids[i]]
+            out.append(pd.DataFrame({"query_id": q_ids[i], "query_mark": q_marks[i], "vec_id": ids[best], "mark": marks[best], "rough": found[best]}))
+        return pd.concat(out)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, block = None, [], None
+        for frame in frames:
+            group = (frame["block"].to_numpy().astype(np.int64) << 31) + frame["part"].to_numpy()
+            edges = np.flatnonzero(np.diff(2 * group + frame["is_query"].to_numpy(), prepend=-1) != 0)
+            for lo, hi in zip(edges, [*edges[1:], len(frame)]):
+                own, key = frame.iloc[lo:hi], group[lo]
+                if key != at:
+                    at, held, block = key, [], None
+                if not own["is_query"].iloc[0]:
+                    held.append((own["vec_id"].to_numpy(), own["mark"].to_numpy(), own["near"].to_numpy(), np.frombuffer(b"".join(own["body"]), np.uint8).reshape(len(own), -1)))
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    ids, marks, near = (np.concatenate([h[k] for h in held]) for k in range(3))
+                    block = ids, marks, near, np.ascontiguousarray(np.concatenate([h[3] for h in held]).T), quantiser.value.spread[near]
+                    held = [held[0]]
+                for a in range(0, len(own), 64):
+                    some = own.iloc[a : a + 64]
+                    yield scan(*block, some["vec_id"].to_numpy(), some["mark"].to_numpy(), _matrix(some["body"]))
+
+    return rows.mapInPandas(run, "query_id long, query_mark long, vec_id long, mark long, rough float")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, oversample: int = OVERSAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score of the k vectors with the largest inner product.
 
     Both tables have vec_id and embedding. A query's own vec_id is no candidate.
     Ties go to the smaller vec_id. Vectors that ``usable`` refuses, or whose
     length isn't the commonest one (the smaller, if two are), take no part; rows
-    without vec_id neither. Of equal vectors the k + 1 with the smallest vec_id
-    are searched, since no answer can hold more; that also keeps a vector that a
-    third of all rows share from filling the candidates. Rows that repeat a
-    vec_id are separate candidates unless they are wholly equal. An empty table
-    gives an empty table.
+    without vec_id neither. Rows that are wholly equal, as far as vec_id and
+    embedding go, count once, among the vectors and among the queries; rows
+    that repeat a vec_id with another vector are candidates, and queries, of
+    their own. Of equal vectors the k + 1 with the smallest vec_id are searched,
+    since no answer can hold more; that also keeps a vector that a third of all
+    rows share from filling the candidates. An empty table gives an empty table.
+    Every vector is scanned by its code; ``oversample`` * k of them are scored exactly.
     """
     spark = vectors.sparkSession
     clean = lambda df: df.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")
     )
     data, asked = clean(vectors), clean(queries)
-    schema = "query_id long, rank int, vec_id long, score double"
     lengths = data.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not lengths:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, rows = lengths[0]["dim"], lengths[0]["count"]
 
-    def flat(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "v": [np.asarray(v, np.float64).tobytes() for v in frame["v"]]})
-
-    data = data.filter(F.size("v") == dim).mapInPandas(flat, "vec_id long, v binary")
-    asked = asked.filter(F.size("v") == dim).mapInPandas(flat, "vec_id long, v binary")
+    data, asked = _flat(data, dim), materialize(_flat(asked, dim))
     alike = Window.partitionBy("v").orderBy("vec_id")
-    data = data.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= k + 1).drop("_k")
-    known = _matrix(data.orderBy(F.xxhash64("vec_id", "v")).limit(sample).toPandas().sort_values(["vec_id"])["v"])
+    data = materialize(data.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= k + 1).drop("_k"))
+    known = _matrix(data.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).toPandas().sort_values(["vec_id"])["v"])
     quantiser = spark.sparkContext.broadcast(fit_quantiser(known))
-    n_blocks = -(-rows // BLOCK)
-    query_blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
-    data = data.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int"))
-    data = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("is_query", F.lit(False))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("is_query", F.lit(True))
-    columns = ["block", "part", "is_query", "vec_id", "v"]
-    most = OVERSAMPLE * k
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        is_query = frame["is_query"].to_numpy()
-        own = frame[~is_query].sort_values(["vec_id"])
-        ask = frame[is_query]
-        if not len(own) or not len(ask):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        ids, x = own["vec_id"].to_numpy(), _matrix(own["v"])
-        near, code = quantiser.value.encode(x)
-        codes, spread = packed(code), quantiser.value.spread[near]
-        q_ids, q = ask["vec_id"].to_numpy(), _matrix(ask["v"])
-        out = []
-        for lo in range(0, len(q), 64):
-            tables = quantiser.value.tables(q[lo : lo + 64])
-            coarse = quantiser.value.pad(q[lo : lo + 64]) @ quantiser.value.coarse.T
-            for i, table in enumerate(tables, start=lo):
-                found = np.zeros(len(ids), np.float32)
-                for position, bytes_ in enumerate(codes):
-                    found += table[position][bytes_]
-                found = coarse[i - lo][near] + spread * found
-                found[ids == q_ids[i]] = -np.inf
-                best = np.argpartition(-found, most)[:most] if len(found) > most else np.arange(len(found))
-                # equal approximate scores at the edge: all of them are scored, so that ties are settled exactly
-                if len(found) > most:
-                    best = np.flatnonzero(found >= found[best].min())
-                best = best[ids[best] != q_ids[i]]
-                score = x[best] @ q[i]
-                order = np.lexsort((ids[best], -score))[:k]
-                out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[best][order], "score": score[order]}))
-        return pd.concat(out)
 
-    found = data.select(columns).union(asked.select(columns)).groupBy("block", "part").applyInPandas(scan, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            near, code = quantiser.value.encode(_matrix(frame["v"])) if len(frame) else ([], np.empty((0, 0), np.uint8))
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "mark": frame["mark"], "near": near, "body": [c.tobytes() for c in packed(code).T]})
+
+    n_blocks, n_parts = -(-rows // BLOCK), -(-max(1, asked.count()) // QUERY_BLOCK)
+    codes = materialize(data.mapInPandas(encode, "vec_id long, mark long, near int, body binary"))
+    codes = codes.withColumn("block", F.pmod(F.xxhash64("vec_id", "mark"), F.lit(n_blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "mark"), F.lit(n_parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    most = oversample * k
+    rough = Window.partitionBy("query_id", "query_mark").orderBy(F.desc("rough"), "vec_id", "mark")
+    chosen = best_by_code(codes, dealt, quantiser, most).withColumn("_k", F.row_number().over(rough)).filter(F.col("_k") <= most)
+    q = asked.select(F.col("vec_id").alias("query_id"), F.col("mark").alias("query_mark"), F.col("v").alias("q"))
+    met = chosen.select("query_id", "query_mark", "vec_id", "mark").join(data, ["vec_id", "mark"]).join(q, ["query_id", "query_mark"])
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield frame[["query_id", "query_mark", "vec_id"]].assign(score=np.einsum("ij,ij->i", _matrix(frame["v"]), _matrix(frame["q"])))
+
+    scored = met.mapInPandas(score, "query_id long, query_mark long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query_mark").orderBy(F.desc("score"), "vec_id")
+    ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -317,6 +317,41 @@ def test_nearest_vectors_with_refused_repeated_and_crowded_ones(spark, monkeypat
     assert len(few) == 4
 
 
+def brute_nearest(rows, k):
+    """(query_id, rank, vec_id, score) over distinct (vec_id, vector) rows of which every tenth vec_id asks."""
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    out = []
+    for q, x in distinct:
+        if q % 10 == 0:
+            found = sorted((-float(np.dot(x, y)), i) for i, y in distinct if i != q)[:k]
+            out += [(q, r, i, round(-s, 9)) for r, (s, i) in enumerate(found, 1)]
+    return sorted(out)
+
+
+def test_repeated_rows_take_no_place_from_others(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).round(6).tolist()) for i in range(60)]
+    rows += [(7, rows[7][1])] * 40 + [(20, rows[20][1])] * 3  # equal rows
+    rows += [(11, rng.normal(size=8).round(6).tolist()), (30, rng.normal(size=8).round(6).tolist())]  # an id with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.filter("vec_id % 10 = 0"), k=20, oversample=10).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == brute_nearest(rows, 20)
+
+
+def test_recall_where_a_twentieth_of_all_rows_is_scored_exactly(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    pdf = df.toPandas()
+    x, ids = np.array(pdf["embedding"].tolist(), dtype=np.float64), pdf["vec_id"].to_numpy()
+    assert ann.OVERSAMPLE * 20 <= 0.05 * len(x)
+    got = ann.nearest(df, df.filter("vec_id % 20 = 0"), k=20).toPandas()
+    hits, queries = 0, np.flatnonzero(ids % 20 == 0)
+    for q in queries:
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -score))[:20]]) & set(got.loc[got["query_id"] == ids[q], "vec_id"]))
+    assert hits / (20 * len(queries)) >= 0.95
+
+
 # --- op2 ------------------------------------------------------------------------------------------------------------
 
 RULES = [url_graph.Rule("allow", "com", "/"), url_graph.Rule("block", "bad.com", "/x/"), url_graph.Rule("block", "net", "/")]
