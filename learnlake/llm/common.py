@@ -19,14 +19,42 @@ ALNUM_LOWER = bytes(
 )
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+#: Characters of text whose n-grams make one range of the hash, and ranges that a task takes at most on average.
+RANGE_CHARS, RANGES_A_TASK = 8_000_000, 8
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches: rows of whole texts are held as bytes, as Arrow and as Python objects at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = int("".join(filter(str.isdigit, spark.conf.get(name))) or 0)
+    if not 0 < most <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def hash_ranges(docs: DataFrame) -> tuple[int, int]:
+    """Partitions, and ranges of the n-grams' hash, for documents of this length; a task holds one range at a time."""
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ranges // RANGES_A_TASK)), ranges
+
+
+def by_range(rows: DataFrame, parts: int, ranges: int) -> DataFrame:
+    """Rows dealt by their range p, neighbours together, in the order of p within a partition."""
+    return rows.repartitionById(parts, (F.col("p") * parts / ranges).cast("int")).sortWithinPartitions("p")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run in one process."""
     own = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="learnlake-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(own)
@@ -59,6 +87,11 @@ def unused_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def utf8_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
@@ -91,23 +124,25 @@ def numbered(df: DataFrame, buckets: int = 4096) -> DataFrame:
     starts has at most ``buckets`` rows, which bounds what is broadcast.
     """
     cols = df.columns
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
-    order = Window.partitionBy("_b").orderBy(*[F.col(c).asc_nulls_first() for c in cols])
-    starts = groups.groupBy("_b").agg(F.sum("_n").alias("_size"))
-    running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    count, bucket, size, start, inside, first, chunk_at, at = (unused_name(df, f"_{x}") for x in ("n", "bucket", "size", "from", "in", "first", "lo", "k"))
+    hashed = F.pmod(F.xxhash64(*map(quoted, cols)), F.lit(buckets))
+    groups = df.groupBy(*map(quoted, cols)).agg(F.count(F.lit(1)).alias(count)).withColumn(bucket, hashed)
+    order = Window.partitionBy(bucket).orderBy(*[quoted(c).asc_nulls_first() for c in cols])
+    starts = groups.groupBy(bucket).agg(F.sum(count).alias(size))
+    running = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(
-        "_b",
-        F.coalesce(F.sum("_size").over(running), F.lit(0)).alias("_from"),
-        F.sum("_size").over(Window.partitionBy()).alias("n_rows"),
+        bucket,
+        F.coalesce(F.sum(size).over(running), F.lit(0)).alias(start),
+        F.sum(size).over(Window.partitionBy()).alias("n_rows"),
     )
-    inside = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(count).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chunk = 65_536
     placed = (
-        groups.withColumn("_in", inside)
-        .join(F.broadcast(starts), "_b")
-        .withColumn("_first", F.col("_from") + F.col("_in"))
-        .withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))))
-        .repartition("_b", "_lo")
-        .withColumn("_k", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + (chunk - 1), F.col("_n") - 1))))
+        groups.withColumn(inside, before)
+        .join(F.broadcast(starts), bucket)
+        .withColumn(first, F.col(start) + F.col(inside))
+        .withColumn(chunk_at, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(chunk).cast("long"))))
+        .repartition(bucket, chunk_at)
+        .withColumn(at, F.explode(F.sequence(F.col(chunk_at), F.least(F.col(chunk_at) + (chunk - 1), F.col(count) - 1))))
     )
-    return placed.select(*cols, (F.col("_first") + F.col("_k")).alias("row_no"), "n_rows")
+    return placed.select(*map(quoted, cols), (F.col(first) + F.col(at)).alias("row_no"), "n_rows")

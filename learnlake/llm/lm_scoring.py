@@ -15,6 +15,7 @@ of words of the other documents.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from learnlake.llm.common import lower_words, materialize, mix64, release
+from learnlake.llm.common import by_range, hash_ranges, lower_words, materialize, mix64, release, small_batches
 from learnlake.llm.ngram_join import WordHashes, pack_sorted, unpack_sorted
 
 ORDER = 2
@@ -78,37 +79,45 @@ def _ask(order: int, parts: int):
         task, known = TaskContext.get().partitionId(), WordHashes()
         bounds = np.array([-(-(p << 64) // parts) for p in range(1, parts)], dtype=np.uint64)
         for number, frame in enumerate(_batches(frames)):
-            name, texts = f"{task}-{number}", frame["text"].tolist()
+            texts = frame["text"].tolist()
             gram, count = np.unique(_distinct(ngrams(texts, order, known)[2]), return_counts=True)
             frame = frame.assign(text=[None if t is None else t.encode("utf-8", "surrogatepass") for t in texts])
             held = zstandard.compress(b"".join(t or b"" for t in frame["text"]), 3)
             sizes = np.array([-1 if t is None else len(t) for t in frame["text"]], np.int64)
             ids = frame["doc_id"]
             head = np.concatenate([ids.notna().to_numpy().astype(np.int64), ids.fillna(0).astype(np.int64).to_numpy(), sizes])
-            rows = [(name, zlib.crc32(name.encode()) % parts, 0, held, head.astype(np.int64).tobytes())]
+            name = f"{task}-{number}-{hashlib.sha1(held + head.tobytes()).hexdigest()[:16]}"
             at = [0, *np.searchsorted(gram, bounds), len(gram)]
-            rows += [(name, p, 1, pack_sorted(gram[a:b]), count[a:b].astype("<u4").tobytes()) for p, (a, b) in enumerate(zip(at, at[1:])) if a < b]
+            rows = [(name, p, 1, pack_sorted(gram[a:b]), count[a:b].astype("<u4").tobytes()) for p, (a, b) in enumerate(zip(at, at[1:])) if a < b]
+            rows.append((name, zlib.crc32(name.encode()) % parts, 0, held, np.concatenate([[len(rows)], head]).astype(np.int64).tobytes()))
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return run
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    asked = []
+    """Answers each request with the corpus counts; they come in the order of their range, of which one is held at a time."""
+    asked: list[tuple] = []
     for frame in frames:
         own = frame["kind"] == 0
         if own.any():
             yield frame[own]
-        asked += list(frame.loc[~own, ["batch", "p", "grams", "counts"]].itertuples(index=False, name=None))
-    if not asked:
-        return
+        for row in frame.loc[~own, ["batch", "p", "grams", "counts"]].itertuples(index=False, name=None):
+            if asked and asked[0][1] != row[1]:
+                yield _answers(asked)
+                asked = []
+            asked.append(row)
+    if asked:
+        yield _answers(asked)
+
+
+def _answers(asked: list[tuple]) -> pd.DataFrame:
     grams = [unpack_sorted(g) for _, _, g, _ in asked]
     _, at = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.zeros(at.max() + 1, np.int64)
     np.add.at(total, at, np.concatenate([np.frombuffer(c, "<u4") for *_, c in asked]))
     found = np.split(total[at], np.cumsum([len(g) for g in grams])[:-1])
-    for (name, p, _, _), counts in zip(asked, found):
-        yield pd.DataFrame([(name, p, 2, b"", counts.astype("<i8").tobytes())], columns=_COLUMNS)
+    return pd.DataFrame([(name, p, 2, b"", counts.astype("<i8").tobytes()) for (name, p, _, _), counts in zip(asked, found)], columns=_COLUMNS)
 
 
 def _score(order: int, backoff: float, unseen: float):
@@ -116,13 +125,16 @@ def _score(order: int, backoff: float, unseen: float):
         import zstandard
 
         frame = frame.sort_values("p")
-        text = frame[frame["kind"] == 0].iloc[0]
-        has_id, ids, sizes = np.frombuffer(text["counts"], np.int64).reshape(3, -1)
+        own, answers = frame[frame["kind"] == 0], frame[frame["kind"] == 2]
+        if len(own) != 1 or np.frombuffer(own["counts"].iloc[0], np.int64, 1)[0] != len(answers):
+            raise ValueError(f"batch {frame['batch'].iloc[0]}: the input gave other rows when a lost task ran again")
+        text = own.iloc[0]
+        has_id, ids, sizes = np.frombuffer(text["counts"], np.int64)[1:].reshape(3, -1)
         raw, at, texts = zstandard.decompress(text["grams"]), 0, []
         for n in sizes.tolist():
             texts.append(None if n < 0 else raw[at : at + n].decode("utf-8", "surrogatepass"))
             at += max(n, 0)
-        total = np.concatenate([np.frombuffer(c, "<i8") for c in frame.loc[frame["kind"] == 2, "counts"]] or [np.empty(0, np.int64)])
+        total = np.concatenate([np.frombuffer(c, "<i8") for c in answers["counts"]] or [np.empty(0, np.int64)])
         doc, place, grams = ngrams(texts, order, WordHashes())
         gram = np.unique(_distinct(grams))
         total = np.append(total, 0)  # the last entry stands for no n-gram
@@ -163,13 +175,15 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     reach over documents. A document without words or text scores 0 in 0 words
     and has no mean. Where there is no other document N counts as 1. Repeated
     rows are other documents to each other. Further columns are ignored. As for
-    any stored table, a lost task must find the same rows when it runs again.
+    any stored table, a lost task must find the same rows when it runs again;
+    should it not, the job ends with an error.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = plain.mapInPandas(_ask(order, parts), _ROW).repartition(parts, "p").mapInPandas(_count, _ROW)
-    sums = counted.groupBy("batch").applyInPandas(_score(order, backoff, unseen), "doc_id long, n_words long, part double, n_lone long")
+    parts, ranges = hash_ranges(plain)
+    counted = by_range(plain.mapInPandas(_ask(order, ranges), _ROW), parts, ranges).mapInPandas(_count, _ROW)
+    sums = counted.repartition(parts, "batch").groupBy("batch").applyInPandas(_score(order, backoff, unseen), "doc_id long, n_words long, part double, n_lone long")
     sums = materialize(sums)
     release(spark)
     total = sums.agg(F.sum("n_words")).first()[0] or 0

@@ -27,6 +27,7 @@ components are exactly those of all links.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm.common import lower_words, materialize, mix64, release, unused_name
+from learnlake.llm.common import by_range, hash_ranges, lower_words, materialize, mix64, release, small_batches, unused_name
 
 #: Documents and characters that are hashed together.
 BATCH_DOCS, BATCH_CHARS = 1_500, 2_500_000
@@ -44,8 +45,8 @@ BATCH_DOCS, BATCH_CHARS = 1_500, 2_500_000
 HASH_BITS, LOW_BYTES = 56, 5
 #: Rows of a block of the product.
 BLOCK_ROWS = 256
-#: Cells of a dense column chunk.
-CHUNK_CELLS = 2_000_000
+#: Cells of a dense column chunk, and entries whose columns are numbered at once.
+CHUNK_CELLS, SLICE = 2_000_000, 1_000_000
 
 _ROW = "batch string, p int, kind int, grams binary, more binary, docs binary, counts binary"
 _ROW_COLUMNS = ["batch", "p", "kind", "grams", "more", "docs", "counts"]
@@ -128,7 +129,12 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _requests(size: int, parts: int):
-    """For each batch one row per hash range, and one (kind 0) with what the batch knows by itself."""
+    """For each batch one row per hash range that it has n-grams of (kind 2), and what it knows by itself (kinds 0 and 1).
+
+    A batch's name holds a digest of all its entries, and its head says how many
+    requests it makes. Were a lost task to find other rows when it runs again,
+    its answers would bear another name and some of them would be missing.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -136,7 +142,6 @@ def _requests(size: int, parts: int):
         task, known = TaskContext.get().partitionId(), WordHashes()
         bounds = np.array([-(-(p << HASH_BITS) // parts) for p in range(1, parts)], dtype=np.uint64)
         for number, frame in enumerate(_batches(frames)):
-            name = f"{task}-{number}"
             gram, doc = incidence(frame["text"].tolist(), size, known)
             first = np.flatnonzero(np.diff(gram, prepend=~gram[:1]) != 0)
             many = np.diff(np.append(first, len(gram)))
@@ -149,33 +154,44 @@ def _requests(size: int, parts: int):
             ids = frame["doc_id"]
             has_id = ids.notna().to_numpy()
             of_many = np.repeat(many > 1, many)
-            head = np.concatenate([[n_docs], has_id.astype(np.int64), ids.fillna(0).astype(np.int64).to_numpy(), n]).astype(np.int64)
+            head = np.concatenate([has_id.astype(np.int64), ids.fillna(0).astype(np.int64).to_numpy(), n]).astype(np.int64)
+            name = f"{task}-{number}-{hashlib.sha1(b''.join((gram.tobytes(), doc.tobytes(), head.tobytes()))).hexdigest()[:16]}"
             home = zlib.crc32(name.encode()) % parts
             one, several, shared_by = first[many == 1], first[many > 1], many[many > 1].astype(np.uint16)
-            rows = [
-                (name, home, 0, pack_sorted(gram[several], LOW_BYTES), b"", doc[of_many].astype(np.uint16).tobytes(), shared_by.tobytes()),
-                (name, home, 1, sums.tobytes(), b"", head.tobytes(), b""),
-            ]
+            rows = []
             one_at, several_at = [0, *np.searchsorted(gram[one], bounds), len(one)], [0, *np.searchsorted(gram[several], bounds), len(several)]
             for p in range(parts):
                 a, b = one[one_at[p] : one_at[p + 1]], slice(several_at[p], several_at[p + 1])
                 if len(a) or b.start < b.stop:
                     rows.append((name, p, 2, pack_sorted(gram[a], LOW_BYTES), pack_sorted(gram[several[b]], LOW_BYTES), doc[a].astype(np.uint16).tobytes(), shared_by[b].tobytes()))
+            head = np.concatenate([[n_docs, len(rows)], head])
+            rows.append((name, home, 0, pack_sorted(gram[several], LOW_BYTES), b"", doc[of_many].astype(np.uint16).tobytes(), shared_by.tobytes()))
+            rows.append((name, home, 1, sums.tobytes(), b"", head.tobytes(), b""))
             yield pd.DataFrame(rows, columns=_ROW_COLUMNS)
 
     return run
 
 
 def _count_columns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Answers each request: its single entries that other batches share, and the counts of its shared ones."""
-    asked = []
+    """Answers each request: its single entries that other batches share, and the counts of its shared ones.
+
+    Requests come in the order of their range, of which one is held at a time.
+    """
+    asked: list[tuple] = []
     for frame in frames:
         own = frame["kind"] < 2
         if own.any():
             yield frame[own]
-        asked += list(frame.loc[~own, ["batch", "p", "grams", "more", "docs", "counts"]].itertuples(index=False, name=None))
-    if not asked:
-        return
+        for row in frame.loc[~own, ["batch", "p", "grams", "more", "docs", "counts"]].itertuples(index=False, name=None):
+            if asked and asked[0][1] != row[1]:
+                yield from _answers(asked)
+                asked = []
+            asked.append(row)
+    if asked:
+        yield from _answers(asked)
+
+
+def _answers(asked: list[tuple]) -> Iterator[pd.DataFrame]:
     grams, counts = [], []
     for _, _, one, more, docs, times in asked:
         grams += [unpack_sorted(one), unpack_sorted(more)]
@@ -184,13 +200,14 @@ def _count_columns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     _, at = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts))
     found = np.split(np.minimum(total, 65_535).astype(np.uint16)[at], np.cumsum(sizes)[:-1])
+    rows = []
     for k, (name, p, _, _, docs, _) in enumerate(asked):
         one, more = found[2 * k], found[2 * k + 1]
         shared = one > 1
-        rows = [(name, p, 2, pack_sorted(grams[2 * k][shared], LOW_BYTES), b"", np.frombuffer(docs, np.uint16)[shared].tobytes(), one[shared].tobytes())]
+        rows.append((name, p, 2, pack_sorted(grams[2 * k][shared], LOW_BYTES), b"", np.frombuffer(docs, np.uint16)[shared].tobytes(), one[shared].tobytes()))
         if len(more):
             rows.append((name, p, 3, b"", b"", b"", more.tobytes()))
-        yield pd.DataFrame(rows, columns=_ROW_COLUMNS)
+    yield pd.DataFrame(rows, columns=_ROW_COLUMNS)
 
 
 def _assemble(percent: int):
@@ -198,7 +215,10 @@ def _assemble(percent: int):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         kinds = {k: f for k, f in frame.sort_values("p").groupby("kind")}
-        head = np.frombuffer(kinds[1]["docs"].iloc[0], np.int64)
+        head = np.frombuffer(kinds[1]["docs"].iloc[0], np.int64) if 1 in kinds else np.array([0, -1])
+        if len(kinds.get(1, ())) != 1 or len(kinds.get(2, ())) != head[1]:
+            raise ValueError(f"batch {frame['batch'].iloc[0]}: the input gave other rows when a lost task ran again")
+        head = head[[0, *range(2, len(head))]]
         sums = np.frombuffer(kinds[1]["grams"].iloc[0], np.uint64).reshape(2, -1)
         n_docs = int(head[0])
         has_id, ids, n = head[1 : 1 + n_docs].astype(bool), head[1 + n_docs : 1 + 2 * n_docs], head[1 + 2 * n_docs :]
@@ -230,29 +250,34 @@ def _assemble(percent: int):
 
 def incidence_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Each document with its set's size and key, and, where it can link at all, its shared columns."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = plain.mapInPandas(_requests(size, parts), _ROW).repartition(parts, "p").mapInPandas(_count_columns, _ROW)
-    return counted.groupBy("batch").applyInPandas(_assemble(percent), _DOC)
+    parts, ranges = hash_ranges(plain)
+    counted = by_range(plain.mapInPandas(_requests(size, ranges), _ROW), parts, ranges).mapInPandas(_count_columns, _ROW)
+    return counted.repartition(parts, "batch").groupBy("batch").applyInPandas(_assemble(percent), _DOC)
 
 
 def overlaps(grams: list[np.ndarray]) -> np.ndarray:
-    """The product of a block's rows with themselves, accumulated over column chunks."""
+    """The product of a block's rows with themselves, accumulated over slices of the hash and column chunks."""
     rows = len(grams)
     overlap = np.zeros((rows, rows), np.float32)
-    row = np.repeat(np.arange(rows), [len(g) for g in grams])
-    _, col, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    keep = count[col] > 1
-    row, col = row[keep], (np.cumsum(count > 1) - 1)[col[keep]]
-    width = max(1, CHUNK_CELLS // rows)
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        a, b = np.searchsorted(col, [lo, lo + width])
-        chunk = np.zeros((rows, min(width, int(col[b - 1]) - lo + 1)), np.float32)
-        chunk[row[a:b], col[a:b] - lo] = 1
-        overlap += chunk @ chunk.T
+    every = np.concatenate(grams)
+    of_row = np.repeat(np.arange(rows, dtype=np.int32), [len(g) for g in grams])
+    slices = -(-len(every) // SLICE)
+    number = every % np.uint64(max(slices, 1))
+    for part in range(slices):
+        own = number == part
+        _, col, count = np.unique(every[own], return_inverse=True, return_counts=True)
+        keep = count[col] > 1
+        row, col = of_row[own][keep], (np.cumsum(count > 1) - 1)[col[keep]]
+        width = max(1, CHUNK_CELLS // rows)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+            a, b = np.searchsorted(col, [lo, lo + width])
+            chunk = np.zeros((rows, min(width, int(col[b - 1]) - lo + 1)), np.float32)
+            chunk[row[a:b], col[a:b] - lo] = 1
+            overlap += chunk @ chunk.T
     return overlap
 
 
@@ -358,7 +383,8 @@ def components(edges: DataFrame) -> DataFrame:
 def class_links(classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among distinct rows (k, n, grams, prefix) that yield the components of all links."""
     met = classes.select("k", F.explode("prefix").alias("token"))
-    lists = met.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # what is joined by a token is written first: two plain exchanges are what adaptive execution can split for a hot one
+    lists = materialize(met.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     met = materialize(met.join(lists, "token"))
     sets = classes.select("k", "n", "grams")
 
@@ -377,10 +403,11 @@ def class_links(classes: DataFrame, percent: int) -> DataFrame:
     at = met.join(label, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     per_comp = at.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = per_comp.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("x"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    at = at.join(main.select("token", F.col("x.comp").alias("zone")), "token").select("zone", "k", "comp").distinct()
+    main = materialize(main.select("token", F.col("x.comp").alias("zone")))
+    at = at.join(main, "token").select("zone", "k", "comp").distinct()
     at = materialize(at.withColumn("out", F.col("comp") != F.col("zone")))
     count = at.groupBy("zone").agg(F.count(F.lit(1)).alias("ny"), F.count_if("out").alias("nx"))
-    count = count.select("zone", F.ceil(F.col("nx") / BLOCK_ROWS).cast("int").alias("bx"), F.ceil(F.col("ny") / BLOCK_ROWS).cast("int").alias("by"))
+    count = materialize(count.select("zone", F.ceil(F.col("nx") / BLOCK_ROWS).cast("int").alias("bx"), F.ceil(F.col("ny") / BLOCK_ROWS).cast("int").alias("by")))
     at = at.join(count, "zone")
     own = lambda blocks, seed: F.pmod(F.xxhash64("k", F.lit(seed)), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
@@ -402,7 +429,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     documents; a null doc_id takes part but is never the smallest. An empty
     table gives an empty table; further columns are ignored. The input must
     give the same rows in the same order when a lost task is run again, as any
-    stored table does.
+    stored table does; one that doesn't ends the job with an error.
     """
     spark = docs.sparkSession
     rows = materialize(incidence_rows(docs, size, percent))
