@@ -1,13 +1,14 @@
-"""Similarities that Spark has no expression for, as Arrow-batched UDFs over distinct values."""
+"""Similarities: two that Spark has no expression for, as Arrow-batched UDFs over distinct values, and sound keys."""
 
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, IntegerType, StringType
+from pyspark.sql.types import DoubleType, IntegerType
 
 
 def osa(a: str, b: str) -> int:
@@ -24,19 +25,6 @@ def osa(a: str, b: str) -> int:
     return last[-1]
 
 
-def sound(word: str) -> str:
-    """A consonant key in the manner of Metaphone: letters that sound alike meet, vowels count at the start only."""
-    w = re.sub(r"[^A-Z]", "", word.upper())
-    w = re.sub(r"^(?:KN|GN|PN|WR)", lambda m: m[0][1], w)
-    for pattern, key in (
-        (r"(.)\1+", r"\1"), (r"MB$", "M"), (r"PH", "F"), (r"TH", "0"), (r"SCH", "SK"), (r"SH|SI(?=[AO])|TI(?=[AO])", "X"),
-        (r"CH|TCH|CIA", "X"), (r"C(?=[IEY])", "S"), (r"CK|C|Q", "K"), (r"DG(?=[EIY])", "J"), (r"GH(?![AEIOU])", ""),
-        (r"G(?=[IEY])", "J"), (r"G", "K"), (r"X(?!$)", "X"), (r"Z", "S"), (r"V", "F"), (r"(?<=[AEIOU])H(?![AEIOU])", ""), (r"D", "T"),
-    ):
-        w = re.sub(pattern, key, w)
-    return (w[:1] + re.sub(r"[AEIOUWY]", "", w[1:])) if w else ""
-
-
 @pandas_udf(IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b)], dtype="Int32")
@@ -48,6 +36,32 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@pandas_udf(StringType())
-def sound_key(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: " ".join(filter(None, map(sound, x.split()))), na_action="ignore")
+#: How letters sound, in an order in which no rule rewrites what a later one looks at. Capitals are
+#: letters as written, small ones are sounds, - stands for a silent letter and keeps its place until the end.
+SOUNDS = (
+    (r"([^C])\1+", "$1"), (r"^(?:KN|GN|PN|AE|WR)", "$0"), (r"^WH", "W"), (r"^X", "S"),
+    (r"(?<=M)B$", "-"), ("B", "b"),
+    ("C(?=H)", "x"), ("C(?=[IEY])", "s"), ("C", "k"),
+    ("D(?=G[IEY])", "j"), ("D", "t"),
+    ("G(?=H.)", "-"), ("G(?=N$)", "-"), ("G(?=[IEY])", "j"), ("G", "k"),
+    ("P(?=H)", "f"), ("P", "p"), ("S(?=H)", "x"), ("S", "s"), ("T(?=H)", "0"), ("T(?=I[OA])", "x"), ("T", "t"),
+    ("(?<=[^AEIOU])H(?=[AEIOU])", "h"), ("H", "-"),
+    ("^W|W(?=[AEIOU])", "w"), ("W", "-"), ("^Y|Y(?=[AEIOU])", "y"), ("Y", "-"),
+    ("Q", "k"), ("V", "f"), ("Z", "s"), ("X", "ks"), ("(?<!^)[AEIOU]", "-"), ("-", ""),
+)
+
+
+def sound(word: Column) -> Column:
+    """A word's key by the rules of Metaphone: words that sound alike have one. Letters A-Z count, whatever their case."""
+    key = F.regexp_replace(F.upper(word), "[^A-Z]", "")
+    for pattern, sounds in SOUNDS:
+        if sounds == "$0":  # of these pairs the second letter is heard
+            key = F.when(key.rlike(pattern), F.substr(key, F.lit(2))).otherwise(key)
+        else:
+            key = F.regexp_replace(key, pattern, sounds)
+    return F.regexp_replace(F.upper(key), r"(.)\1+", "$1")
+
+
+def sound_key(c: Column) -> Column:
+    """The sound keys of the a-z0-9 words of a text, with one space between."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1), sound), " ")

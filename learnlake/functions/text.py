@@ -38,9 +38,9 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def strip_exam_suffix(c: Column) -> Column:
-    """Without a trailing (...) or [...] and a trailing exam, test or grand test; the input where nothing is left."""
+    """Without a trailing (...) or [...], a trailing exam, test or grand test, and dots and dashes around; the input where nothing is left."""
     core = F.regexp_replace(c, r"\s*[\(\[][^\)\]]*[\)\]]\s*$", "")
-    core = F.trim(F.regexp_replace(core, r"(?i)\s*\b(grand\s+test|exam|test)\s*$", ""))
+    core = F.btrim(F.regexp_replace(core, r"(?i)\b(grand\s*test|exam|test)\b\s*$", ""), F.lit(" .-"))
     return F.when(core == "", c).otherwise(core)
 
 
@@ -105,6 +105,20 @@ def charset_similarity(a: Column, b: Column) -> Column:
     )
 
 
+def title_agreement(a: Column, b: Column) -> Column:
+    """1 for titles that are equal but for case and white space, the ratio of lengths where one holds the other,
+    else the Jaccard index of their characters without spaces; 0 where one is empty."""
+    x, y = F.lower(collapse_ws(a)), F.lower(collapse_ws(b))
+    short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+    cx, cy = (F.array_distinct(F.split(F.replace(z, F.lit(" "), F.lit("")), "")) for z in (x, y))
+    return (
+        F.when((x == "") | (y == ""), F.lit(0.0))
+        .when(x == y, F.lit(1.0))
+        .when(F.contains(x, y) | F.contains(y, x), short / long)
+        .otherwise(F.size(F.array_intersect(cx, cy)) / F.size(F.array_union(cx, cy)))
+    )
+
+
 def person_name(c: Column) -> Column:
     """Dots become spaces, runs of spaces one, lower case."""
     return F.lower(collapse_ws(F.regexp_replace(c, r"\.", " ")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +12,8 @@ from learnlake.functions import similarity, text
 MERGE, REVIEW = 0.90, 0.78
 RARE_ROWS, RARE_SHARE = 8, 0.10
 RARE_IDS, RARE_ID_SHARE = 5, 0.05
-#: Distinct keys that one fold takes; beyond it the keys are folded by their first letter.
-FOLD_KEYS = 50_000
+#: Titles that sound alike go to review: how near the keys must be, how long both together, how near the spellings.
+SOUND, SOUND_LENGTH, SOUND_SPELLING = 0.95, 6, 0.45
 
 
 def explode_pairs(df: DataFrame, ids: str, names: str) -> DataFrame:
@@ -26,46 +24,90 @@ def explode_pairs(df: DataFrame, ids: str, names: str) -> DataFrame:
     return df.withColumn("_p", F.explode(F.array_distinct(zipped))).select(*df.columns, "_p.item_id", "_p.item_name")
 
 
-def fold_spellings(spellings: DataFrame, key: str, count: str, seen: str) -> DataFrame:
-    """key and canonical key of each distinct key, folded in the order in which they were first seen.
+def numbered_parts(parts: Column) -> Column:
+    """The items of an array with the number of their repetition, so that sets of them compare like multisets."""
+    at = lambda k: F.size(F.filter(F.slice(parts, F.lit(1), k), lambda y: y == F.element_at(parts, k)))
+    whole = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.element_at(parts, k), F.lit("#"), at(k).cast("string")))
+    return F.when(F.size(parts) > 0, whole).otherwise(F.array().cast("array<string>"))
+
+
+def letter_pairs(c: Column) -> Column:
+    """All pairs of neighbouring letters, numbered; of up to four letters the single ones too."""
+    n = F.length(c)
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.substr(c, k, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(numbered_parts(pairs), F.when((n > 0) & (n <= 4), F.array_distinct(F.split(c, ""))).otherwise(F.array().cast("array<string>")))
+
+
+def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b) of distinct strings s of both sides that share one of their first ``keep`` parts, rarest first.
 
-    A key joins an earlier one that is its anagram (four letters or more) or
-    whose matching ratio is at least MERGE; from REVIEW on it is marked for
-    review. The fold needs its forerunners' results, so it is one ordered
-    group, but of distinct keys alone; beyond FOLD_KEYS, groups are the first
-    letters, over which no merge is then found.
+    Each side has s, parts (distinct) and keep. Strings of which at least k
+    parts are common, of n in all, share one of the first n - k + 1 of each in
+    any one order of all parts; the rare come first, so that lists stay short.
     """
-    import difflib
+    exploded = [df.select("s", "keep", F.explode("parts").alias("part")) for df in (left, right)]
+    often = exploded[0].unionByName(exploded[1]).groupBy("part").agg(F.count(F.lit(1)).alias("often"))
+    rank = Window.partitionBy("s").orderBy("often", "part")
+    first = [e.join(often, "part").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= F.col("keep")) for e in exploded]
+    return first[0].select("part", F.col("s").alias("a")).join(first[1].select("part", F.col("s").alias("b")), "part").select("a", "b").distinct()
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        known: list[str] = []
-        anagrams: dict[str, str] = {}
-        out = []
-        for k in frame.sort_values(["seen", "key"])["key"]:
-            letters = "".join(sorted(k))
-            target, action = k, "new"
-            if len(k) >= 4 and letters in anagrams:
-                target, action = anagrams[letters], "merge"
-            else:
-                best, ratio = None, 0.0
-                for other in known:
-                    if 2 * min(len(k), len(other)) >= REVIEW * (len(k) + len(other)):
-                        m = difflib.SequenceMatcher(None, k, other)
-                        if m.real_quick_ratio() >= REVIEW and m.quick_ratio() >= REVIEW and (r := m.ratio()) > ratio:
-                            best, ratio = other, r
-                if ratio >= MERGE:
-                    target, action = best, "merge"
-                elif ratio >= REVIEW:
-                    action = "review"
-            if target == k:
-                known.append(k)
-                anagrams.setdefault(letters, k)
-            out.append((k, target, action))
-        return pd.DataFrame(out, columns=["key", "canonical", "action"])
-
-    keys = spellings.select(F.col(key).alias("key"), F.col(count).alias("n"), F.col(seen).alias("seen"))
-    group = F.lit(0) if keys.limit(FOLD_KEYS + 1).count() <= FOLD_KEYS else F.substring("key", 1, 1)
-    return keys.withColumn("g", group).groupBy("g").applyInPandas(fold, "key string, canonical string, action string")
+
+def _by_ratio(df: DataFrame, least: float) -> DataFrame:
+    """s with parts and keep for strings whose matching ratio may be ``least`` or more.
+
+    Of S letters of two strings 2 * M match, M in blocks that an unmatched
+    letter parts, so that there are S - 2 * M + 1 blocks at most and they hold
+    3 * M - S - 1 pairs of neighbours, at least. M is least * S / 2 or more, and
+    S no less than 2 / (2 - least) times a string's own letters. Without a common
+    pair S is 5 at most (from REVIEW on), for which single letters count.
+    """
+    if least < REVIEW:
+        raise ValueError(f"strings meet by bounds that hold from a ratio of {REVIEW} on, not {least}")
+    n = F.length("s")
+    common = F.greatest(F.ceil((1.5 * least - 1) * 2 * n / (2 - least) - 1 - 1e-9), F.lit(1))
+    return df.select("s", letter_pairs(F.col("s")).alias("parts"), F.when(n <= 4, 2 * n).otherwise(n - 1 - common + 1).alias("keep"))
+
+
+def _by_dice(df: DataFrame, parts: Column, least: float) -> DataFrame:
+    """s with parts and keep for strings of whose parts, by Dice's index, ``least`` may be common."""
+    n = F.size("parts")
+    return df.select("s", parts.alias("parts")).withColumn("keep", n - F.ceil(n * least / (2 - least) - 1e-9) + 1)
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, ratio) of all strings s of both sides whose matching ratio is at least ``least`` (REVIEW or more)."""
+    la, lb = F.length("a"), F.length("b")
+    met = meeting(_by_ratio(left, least), _by_ratio(right, least)).filter(2 * F.least(la, lb) >= F.lit(least) * (la + lb) - 1e-9)
+    return met.withColumn("ratio", similarity.matching_ratio("a", "b")).filter(F.col("ratio") >= least)
+
+
+def fold_spellings(spellings: DataFrame, key: str, seen: str) -> DataFrame:
+    """key, canonical key and action of each distinct key, in the order in which they were first seen.
+
+    A key joins the first earlier one that is its anagram (four letters or
+    more), else the earlier one with the highest matching ratio of at least
+    MERGE; from REVIEW on it is marked for review. Which one that is doesn't
+    depend on what became of the others, so all keys are decided at once and
+    the links are then followed to their first key. One rule holds at any size.
+    """
+    keys = spellings.select(F.col(key).alias("key"), F.col(seen).alias("seen"))
+    order = F.struct("seen", "key")
+    letters = F.when(F.length("key") >= 4, F.array_join(F.array_sort(F.split("key", "")), ""))
+    groups = keys.withColumn("letters", letters).filter("letters is not null")
+    first = groups.groupBy("letters").agg(F.min(order).alias("x")).select("letters", F.col("x.key").alias("first"))
+    anagrams = groups.join(first, "letters").filter("first <> key").select("key", F.col("first").alias("target"), F.lit("merge").alias("action"))
+    s = keys.select(F.col("key").alias("s"))
+    la, lb = F.length("a"), F.length("b")
+    met = meeting(_by_ratio(s, REVIEW), _by_ratio(s, REVIEW)).filter("a <> b").filter(2 * F.least(la, lb) >= F.lit(REVIEW) * (la + lb) - 1e-9)
+    own, other = keys.select(F.col("key").alias("a"), order.alias("at")), keys.select(F.col("key").alias("b"), order.alias("before"))
+    met = met.join(own, "a").join(other, "b").filter("before < at").withColumn("ratio", similarity.matching_ratio("a", "b")).filter(F.col("ratio") >= REVIEW)
+    best = Window.partitionBy("a").orderBy(F.desc("ratio"), "before")
+    best = met.withColumn("_r", F.row_number().over(best)).filter("_r = 1").join(anagrams.select(F.col("key").alias("a")), "a", "left_anti")
+    near = best.select(F.col("a").alias("key"), F.col("b").alias("target"), F.when(F.col("ratio") >= MERGE, "merge").otherwise("review").alias("action"))
+    linked = anagrams.unionByName(near)
+    ends = resolve_chains(linked.filter("action = 'merge'").select(F.col("key").alias("source"), "target"))
+    found = keys.select("key").join(linked.select("key", "action"), "key", "left").join(ends.select(F.col("source").alias("key"), "target"), "key", "left")
+    return found.select("key", F.coalesce("target", "key").alias("canonical"), F.coalesce("action", F.lit("new")).alias("action"))
 
 
 def canonicalise(df: DataFrame, column: str, order: str) -> DataFrame:
@@ -73,7 +115,7 @@ def canonicalise(df: DataFrame, column: str, order: str) -> DataFrame:
     keyed = df.withColumn("_key", text.normalize_key(F.col(column)))
     spelt = keyed.groupBy("_key", column).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
     keys = spelt.groupBy("_key").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
-    folded = fold_spellings(keys.filter("_key <> ''"), "_key", "n", "seen")
+    folded = fold_spellings(keys.filter("_key <> ''"), "_key", "seen")
     w = Window.partitionBy("canonical").orderBy(F.desc("n"), "seen")
     named = spelt.join(folded.withColumnRenamed("key", "_key"), "_key")
     shown = named.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("canonical", F.col(column).alias("_shown"))
@@ -81,17 +123,11 @@ def canonicalise(df: DataFrame, column: str, order: str) -> DataFrame:
     return keyed.join(lookup, "_key", "left").select(*df.columns, F.coalesce("canonical", column).alias("canonical"))
 
 
-def resolve_chains(merges: DataFrame, rounds: int = 32) -> DataFrame:
-    """(source, target) with targets followed to their end; members of a cycle stay where the walk entered it.
-
-    Each round doubles the length of chain that is resolved.
-    """
-    at = merges.select("source", "target")
+def _followed(at: DataFrame, rounds: int) -> DataFrame:
+    """Targets after up to 2 ** rounds steps; a round doubles the steps."""
     for _ in range(rounds):
         nxt = at.select(F.col("source").alias("target"), F.col("target").alias("further"))
-        step = at.join(nxt, "target", "left")
-        step = step.select("source", F.when(F.col("further").isNull() | (F.col("further") == F.col("source")), F.col("target")).otherwise(F.col("further")).alias("next"), "target")
-        step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.cache()
+        step = stored(at.join(nxt, "target", "left").select("source", F.coalesce("further", "target").alias("next"), "target"))
         done = step.filter("next <> target").isEmpty()
         at = step.select("source", F.col("next").alias("target"))
         if done:
@@ -99,6 +135,29 @@ def resolve_chains(merges: DataFrame, rounds: int = 32) -> DataFrame:
     return at
 
 
+def resolve_chains(merges: DataFrame) -> DataFrame:
+    """(source, target) with targets followed to their end; a walk into a cycle ends where it enters it.
+
+    ``merges`` has one target a source. After as many steps as there are
+    merges, whoever still moves is in a cycle, and all its members are met
+    there. Their own links are then left out and the rest is followed again.
+    """
+    at = stored(merges.select("source", "target").filter("source <> target"))
+    rounds = max(at.count(), 1).bit_length() + 1
+    end = _followed(at, rounds)
+    looped = end.join(at.select(F.col("source").alias("target")), "target", "left_semi")
+    members = stored(looped.select(F.col("target").alias("source")).distinct())
+    if members.isEmpty():
+        return end
+    still = members.select("source", F.col("source").alias("target"))
+    return _followed(at.join(members, "source", "left_anti"), rounds).unionByName(still)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder, which cuts the lineage; without one the plan stays as it is."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def id_merge_plan(uses: DataFrame) -> DataFrame:
     """title, id, n, suggested and action for ids of a title other than its commonest.
 
@@ -118,34 +177,55 @@ def id_merge_plan(uses: DataFrame) -> DataFrame:
 
 
 def near_titles(titles: DataFrame) -> DataFrame:
-    """source, target, score and action for rare titles that resemble a commoner one; (title, n) distinct.
-
-    Candidates share a first letter or a token, so no title meets all others.
+    """source, target, score, sound and action for rare titles that resemble one before them; (title, n) distinct.
+
+    Titles stand by falling n, then by name. A title of up to RARE_ROWS rows is
+    compared with all before it; a commoner one only if each of those has 1 /
+    RARE_SHARE times its rows, for which the next before it decides. The score is
+    the highest of three: matching ratio, Dice of tokens, Dice of pairs of
+    letters. From MERGE on titles merge, from REVIEW on they are for review,
+    and so are titles that sound alike. Of several the best score wins, then the
+    one that stands nearest. Candidates meet by bounds that the scores imply.
     """
-    t = titles.withColumn("blocks", F.array_distinct(F.concat(F.array(F.substring(text.normalize_key(F.col("title")), 1, 1)), F.regexp_extract_all(F.lower("title"), F.lit("([a-z0-9]+)"), 1))))
-    t = t.withColumn("block", F.explode("blocks")).drop("blocks")
-    a = t.select("block", F.col("title").alias("source"), F.col("n").alias("source_n"))
-    b = t.select("block", F.col("title").alias("target"), F.col("n").alias("target_n"))
-    common = (F.col("source_n") < F.col("target_n")) & ((F.col("source_n") <= RARE_ROWS) | (F.col("source_n") <= RARE_SHARE * F.col("target_n")))
-    met = a.join(b, "block").filter(common).drop("block").distinct()
-    score = F.greatest(text.token_dice(F.col("source"), F.col("target")), text.bigram_dice(F.lower("source"), F.lower("target")), similarity.matching_ratio(F.lower("source"), F.lower("target")))
-    scored = met.withColumn("score", F.round(score, 4)).filter(F.col("score") >= REVIEW)
-    best = Window.partitionBy("source").orderBy(F.desc("score"), F.desc("target_n"), "target")
-    return scored.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("source", "target", "score", F.when(F.col("score") >= MERGE, "merge").otherwise("review").alias("action"))
+    words = F.regexp_extract_all(F.lower(text.nfkc(F.col("title"))), F.lit("([a-z0-9]+)"), 1)
+    t = titles.select("title", "n", words.alias("words")).withColumn("s", F.array_join("words", "")).withColumn("sound", similarity.sound_key(F.array_join("words", " ")))
+    t = stored(t)
+    sizes = t.groupBy("n").agg(F.min("title").alias("first"))
+    sizes = sizes.withColumn("above", F.lead("n").over(Window.orderBy("n")))  # one row for each number of rows that occurs
+    counted = t.join(F.broadcast(sizes), "n") if sizes.count() <= 10_000 else t.join(sizes, "n")
+    may = counted.filter((F.col("n") <= RARE_ROWS) | ((F.col("title") == F.col("first")) & (F.col("n") <= RARE_SHARE * F.col("above"))))
+    sides = []
+    for df in (may, t):
+        s, sounds = df.select("s", "words").filter("s <> ''"), df.select(F.col("sound").alias("s")).filter("s <> ''").distinct()
+        pairs = F.when(F.length("s") > 1, text.bigrams(F.col("s"))).otherwise(F.array().cast("array<string>"))
+        tokens = s.select(F.array_join("words", " ").alias("s")).distinct()
+        sides.append((s.select("s").distinct(), pairs, tokens, sounds))
+    (a, pairs, ta, sa), (b, _, tb, sb) = sides
+    split = numbered_parts(F.split("s", " "))
+    by_letters = meeting(_by_ratio(a, REVIEW), _by_ratio(b, REVIEW)).unionByName(meeting(_by_dice(a, pairs, REVIEW), _by_dice(b, pairs, REVIEW))).distinct()
+    by_words = meeting(_by_dice(ta, split, REVIEW), _by_dice(tb, split, REVIEW))
+    by_sound = meeting(_by_ratio(sa, SOUND), _by_ratio(sb, SOUND))
+    joined = lambda met, key: may.select("title", key.alias("a")).join(met, "a").join(t.select(F.col("title").alias("target"), key.alias("b")), "b").select("title", "target")
+    met = joined(by_letters, F.col("s")).unionByName(joined(by_words, F.array_join("words", " "))).unionByName(joined(by_sound, F.col("sound"))).distinct()
+    own = t.select("title", F.col("n").alias("source_n"), F.col("s").alias("s1"), F.array_join("words", " ").alias("w1"), F.col("sound").alias("k1"))
+    other = t.select(F.col("title").alias("target"), F.col("n").alias("target_n"), F.col("s").alias("s2"), F.array_join("words", " ").alias("w2"), F.col("sound").alias("k2"))
+    met = met.join(own, "title").join(other, "target").filter("target_n > source_n or (target_n = source_n and target < title)")
+    both = (F.length("s1") > 1) & (F.length("s2") > 1)
+    score = F.greatest(similarity.matching_ratio("s1", "s2"), text.token_dice(F.col("w1"), F.col("w2")), F.when(both, text.bigram_dice(F.col("s1"), F.col("s2"))).otherwise(F.lit(0.0)))
+    met = met.withColumn("score", score).withColumn("sound", F.when((F.col("k1") == "") | (F.col("k2") == ""), F.lit(0.0)).otherwise(similarity.matching_ratio("k1", "k2")))
+    alike = (F.col("sound") >= SOUND) & (F.length("k1") + F.length("k2") >= SOUND_LENGTH) & (F.col("score") >= SOUND_SPELLING)
+    best = Window.partitionBy("title").orderBy(F.desc("score"), "target_n", F.desc("target"))
+    found = met.filter((F.col("score") >= REVIEW) | alike).withColumn("_r", F.row_number().over(best)).filter("_r = 1")
+    action = F.when(F.col("score") >= MERGE, "merge").otherwise("review")
+    return found.select(F.col("title").alias("source"), "target", F.round("score", 4).alias("score"), F.round("sound", 4).alias("sound"), action.alias("action"))
 
 
 def match_names(names: DataFrame, roster: DataFrame, least: float = 0.84) -> DataFrame:
     """name, student_id and tier: exact, the same words, or one alike and no other.
 
     Exact tiers are equi joins; only what is left meets the roster's names, by
-    bounds that a matching ratio of ``least`` (0.78 or more) implies. Between
-    two matching blocks at least one letter matches nothing, so without a common
-    pair of letters 3 * matches <= letters of both + 1, which holds for 5 letters
-    at most: names meet by pairs of letters, and those of up to 4 letters by
-    single ones too. Matches are no more than the shorter name has letters.
+    bounds that a matching ratio of ``least`` (0.78 or more) implies.
     """
-    if least < REVIEW:
-        raise ValueError(f"names meet by bounds that hold from a ratio of {REVIEW} on, not {least}")
     r = roster.withColumn("norm", text.person_name(F.col("roster_name"))).withColumn("words", text.word_set(F.col("roster_name")))
     n = names.select("name").distinct().withColumn("norm", text.person_name(F.col("name"))).withColumn("words", text.word_set(F.col("name")))
 
@@ -157,16 +237,40 @@ def match_names(names: DataFrame, roster: DataFrame, least: float = 0.84) -> Dat
     rest = n.join(exact, "name", "left_anti")
     words = only(rest.join(r.select("words", "student_id"), "words"), "words")
     rest = rest.join(words, "name", "left_anti")
-    single = F.when(F.length("norm") <= 4, F.array_distinct(F.split("norm", ""))).otherwise(F.array().cast("array<string>"))
-    parts = F.explode(F.concat(text.bigrams(F.col("norm")), single)).alias("part")
-    a = rest.select("name", "norm", parts)
-    b = r.select(F.col("norm").alias("other"), "norm").distinct().select("other", parts)
-    la, lb = F.length("norm"), F.length("other")
-    met = a.join(b, "part").filter(2 * F.least(la, lb) >= F.lit(least) * (la + lb) - 1e-9).select("name", "norm", "other").distinct()
-    close = met.filter(similarity.matching_ratio("other", "norm") >= least).join(r.select("student_id", F.col("norm").alias("other")), "other")
+    close = alike_pairs(r.select(F.col("norm").alias("s")).distinct(), rest.select(F.col("norm").alias("s")).distinct(), least)
+    close = rest.select("name", F.col("norm").alias("b")).join(close, "b").join(r.select("student_id", F.col("norm").alias("a")), "a")
     return exact.unionByName(words).unionByName(only(close, "similar"))
 
 
+def resolve_by_evidence(rows: DataFrame, roster: DataFrame, activity: DataFrame, window: int = 2) -> DataFrame:
+    """row_id, student_id and how: rows (row_id, name, date) to the roster's bearers of that name.
+
+    Of several bearers those who hadn't joined by the date go, unless all go; of
+    the rest the only one active on that day is it, or, where none was, the
+    only one active within ``window`` days. What stays open has no student_id.
+    """
+    named = rows.withColumn("norm", text.person_name(F.col("name")))
+    people = roster.select("student_id", "join_date", text.person_name(F.col("roster_name")).alias("norm")).distinct()
+    met = named.join(people, "norm").select("row_id", "date", "student_id", F.coalesce(F.col("join_date") <= F.col("date"), F.lit(True)).alias("joined"))
+    own = Window.partitionBy("row_id")
+    met = met.withColumn("bearers", F.count(F.lit(1)).over(own)).withColumn("n_joined", F.count_if("joined").over(own))
+    left = met.filter(F.col("joined") | (F.col("n_joined") == 0) | F.col("date").isNull()).withColumn("left", F.count(F.lit(1)).over(own))
+    days = activity.select("student_id", F.col("date").alias("day")).distinct()
+    gap = F.abs(F.datediff("day", "date"))
+    near = left.join(days, "student_id").filter(gap <= window).groupBy("row_id", "student_id").agg(F.min(gap).alias("gap"))
+    seen = left.join(near, ["row_id", "student_id"], "left")
+    on_day, about = F.count_if(F.col("gap") == 0), F.count_if(F.col("gap").isNotNull())
+    pick = lambda c: F.min(F.when(c, F.col("student_id")))
+    one = seen.groupBy("row_id").agg(
+        F.first("bearers").alias("bearers"), F.first("left").alias("left"), on_day.alias("k0"), about.alias("k2"),
+        F.min("student_id").alias("any"), pick(F.col("gap") == 0).alias("d0"), pick(F.col("gap").isNotNull()).alias("d2"),
+    )
+    how = F.when(F.col("bearers") == 1, "name").when(F.col("left") == 1, "join_date").when(F.col("k0") == 1, "same_day").when((F.col("k0") == 0) & (F.col("k2") == 1), "near_day").otherwise("ambiguous")
+    found = one.withColumn("how", how)
+    student = F.when(F.col("how").isin("name", "join_date"), F.col("any")).when(F.col("how") == "same_day", F.col("d0")).when(F.col("how") == "near_day", F.col("d2"))
+    return rows.select("row_id").join(found.select("row_id", student.alias("student_id"), "how"), "row_id", "left").select("row_id", "student_id", F.coalesce("how", F.lit("unknown")).alias("how"))
+
+
 def merge_snapshot(now: DataFrame, backup: DataFrame, tolerance: int = 2) -> DataFrame:
     """What happens to each backup row (row_id, student_id, date, session, m_in, m_out): fill, near, covered or insert.
 
@@ -230,38 +334,6 @@ def carry_dates(rows: DataFrame, today, group: str = "sheet", since: str = "2020
     return rows.select(group, "line", "date").groupBy(group).applyInPandas(fold, f"{group} string, line long, date date, fixed date")
 
 
-def segment_ids(cells: DataFrame, known: list[str], most: int = 4, found: int = 24) -> DataFrame:
-    """cell and the only way, if there is one, to read its digits as known ids (up to ``most`` pieces).
-
-    ``known`` is the catalogue's id list, which the caller bounds; the search
-    stops at ``found`` readings, which is as good as ambiguous.
-    """
-    ids = frozenset(known)
-    size = max(map(len, ids), default=0)
-
-    def read(digits: str) -> list[str]:
-        out: list[list[str]] = []
-
-        def walk(at: int, parts: list[str]) -> None:
-            if len(out) >= found or len(parts) > most:
-                return
-            if at == len(digits):
-                out.append(parts)
-                return
-            for n in range(1, size + 1):
-                if digits[at : at + n] in ids and at + n <= len(digits):
-                    walk(at + n, [*parts, digits[at : at + n]])
-
-        walk(0, [])
-        return out[0] if len(out) == 1 else []
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(ids=[read("".join(filter(str.isdigit, c or ""))) for c in frame["cell"]])
-
-    return cells.select("cell").mapInPandas(run, "cell string, ids array<string>")
-
-
 def alternate_halves(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Morning and Afternoon by turns over the rows of a group."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +63,94 @@ def prune(ledger: DataFrame, today, oldest, days: int = 30) -> DataFrame:
     limit = F.lit(oldest) if oldest is not None else F.date_sub(F.lit(today), days)
     gone = (F.col("state") != "pending") & (F.to_date("punch_time") < F.lit(today)) & (F.col("punch_time") < limit)
     return ledger.filter(~gone)
+
+
+OUTCOMES = "student_id long, day date, kind string, punch_id long, outcome string, session string, m_in int, m_out int, minutes int"
+
+
+def _live(start: int, end: int) -> tuple[str, int]:
+    """sessions.live_session and live_duration of one pair."""
+    if start >= sessions.LUNCH:
+        return "Afternoon", end - start
+    if end <= sessions.AFTER:
+        return "Morning", min(end, sessions.LUNCH) - start
+    return "Full Day", (sessions.LUNCH - start) + (end - sessions.AFTER)
+
+
+def _day(punches: list[tuple[int, int]], rows: list[list], is_today: bool, window: int) -> tuple[list[tuple[int, str]], list[list]]:
+    """Outcomes (punch_id, outcome) of a day's punches (punch_id, minute) and its rows (session, in, out, minutes) after them."""
+    latest = pending = None
+    outcomes: dict[int, str] = {}
+    for punch, m in punches:
+        if latest is not None and 0 <= m - latest <= window:
+            outcomes[punch], latest = "debounced", m
+            continue
+        latest = m if latest is None else max(latest, m)
+        spanned = any(r[2] is not None and r[1] <= m <= r[2] for r in rows)
+        waiting = next((r for r in rows if r[2] is None), None) if is_today else pending
+        start = None if waiting is None else waiting[1]
+        if waiting is None:
+            session = "Afternoon" if m >= sessions.LUNCH else "Morning"
+            if spanned or (is_today and any(m in (r[1], r[2]) or r[0] == session for r in rows)):
+                outcomes[punch] = "duplicate"
+                continue
+            outcomes[punch] = "pending"
+            waiting = [session, m, None, None, punch]
+            if is_today:
+                rows.append(waiting)
+            else:
+                pending = waiting
+        elif m <= start:
+            outcomes[punch] = "duplicate"
+        else:
+            session, minutes = _live(start, m)
+            rows[:] = [r for r in rows if r is not waiting and r[0] != session]  # what the scanner saw replaces a standing row
+            rows.append([session, start, m, minutes])
+            outcomes[punch] = "applied"
+            if len(waiting) > 4:
+                outcomes[waiting[4]] = "applied"
+            pending = None
+    return list(outcomes.items()), rows
+
+
+def with_standing_rows(punches: DataFrame, standing: DataFrame, today, window: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, rows): what becomes of punches where attendance rows stand already.
+
+    ``standing`` has student_id, date, session, m_in, m_out and minutes. A punch
+    within a standing row's span, or one that only repeats it, is a duplicate; a
+    completed pair replaces the standing row of its session. A past day's first
+    punch waits in the ledger; today's opens a row. Rows open on an earlier day
+    close at 23:59 when a later day brings a check-in, or go beside a closed
+    row of that session. What a punch means depends on those before it, so a
+    student's day is one small ordered fold; days are independent of each other.
+    """
+    p = punches.select("student_id", F.to_date("punch_time").alias("day"), "punch_id", "punch_time", times.minute_of(F.col("punch_time")).alias("m"))
+    s = standing.select("student_id", F.col("date").alias("day"), "session", "m_in", "m_out", "minutes")
+
+    def fold(key, own, rows):
+        own = own.sort_values(["punch_time", "punch_id"])
+        rows = rows.sort_values(["m_in", "session"])
+        whole = lambda v: None if v is None or v != v else int(v)
+        before = [[r.session, whole(r.m_in), whole(r.m_out), whole(r.minutes)] for r in rows.itertuples()]
+        found, after = _day([(int(i), int(m)) for i, m in zip(own["punch_id"], own["m"])], before, key[1] == today, window)
+        out = [(*key, "punch", i, o, None, None, None, None) for i, o in found] + [(*key, "row", None, None, *r[:4]) for r in after]
+        frame = pd.DataFrame(out, columns=[x.split()[0] for x in OUTCOMES.split(", ")])
+        return frame.astype({c: "Int64" for c in ("punch_id", "m_in", "m_out", "minutes")})
+
+    keys = ["student_id", "day"]
+    folded = p.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInPandas(fold, OUTCOMES)
+    folded = folded.checkpoint() if punches.sparkSession.sparkContext.getCheckpointDir() else folded
+    outcomes = folded.filter("kind = 'punch'").select(*keys, "punch_id", "outcome")
+    rows = folded.filter("kind = 'row'").drop("kind", "punch_id", "outcome")
+    checks_in = outcomes.filter("outcome in ('pending', 'applied')").select(*keys).distinct()
+    last = checks_in.groupBy("student_id").agg(F.max("day").alias("last"))
+    own = Window.partitionBy(*keys)
+    met = rows.join(last, "student_id", "left")
+    stale = F.coalesce(F.col("m_out").isNull() & (F.col("last") > F.col("day")), F.lit(False))
+    end = F.lit(23 * 60 + 59)
+    closing = F.when(stale, sessions.live_session(F.col("m_in"), end)).otherwise(F.col("session"))
+    met = met.withColumn("stale", stale).withColumn("session", closing)
+    met = met.withColumn("taken", F.array_contains(F.collect_set(F.when(~F.col("stale"), F.col("session"))).over(own), F.col("session")))
+    kept = met.filter(~(F.col("stale") & F.col("taken")))
+    kept = kept.withColumn("minutes", F.when(F.col("stale"), sessions.live_duration(F.col("m_in"), end)).otherwise(F.col("minutes"))).withColumn("m_out", F.when(F.col("stale"), end).otherwise(F.col("m_out")))
+    return outcomes, kept.select("student_id", F.col("day").alias("date"), "session", "m_in", "m_out", "minutes")

@@ -178,3 +178,12 @@ def fingerprint(df: DataFrame) -> DataFrame:
     rows = df.select(F.xxhash64(*df.columns).alias("h"))
     low, high = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("h", 32)
     return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(low), F.lit(0)).alias("low"), F.coalesce(F.sum(high), F.lit(0)).alias("high"))
+
+
+def touched(old: DataFrame, new: DataFrame, keys: list[str], now: Column, stamp: str = "updated_at") -> DataFrame:
+    """new with ``stamp`` set to now where a row differs from the old one of its key, and kept where it doesn't."""
+    rest = [c for c in new.columns if c not in (*keys, stamp)]
+    before = old.select(*keys, F.struct(*rest).alias("_before"), F.col(stamp).alias("_stamp"))
+    joined = new.drop(stamp).join(before, keys, "left")
+    same = F.struct(*rest).eqNullSafe(F.col("_before"))
+    return joined.withColumn(stamp, F.when(same, F.col("_stamp")).otherwise(now)).drop("_before", "_stamp")

@@ -36,15 +36,16 @@ def title_near_dups(spark, sf_dir):
     return elt.near_titles(t.unionByName(odd).groupBy("title").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("WITH r AS (SELECT s_suppkey AS student_id, 'a' || CAST(s_suppkey AS VARCHAR) || ' b' || CAST(s_suppkey AS VARCHAR) AS norm FROM supplier) SELECT 'B' || CAST(s_suppkey AS VARCHAR) || '. A' || CAST(s_suppkey AS VARCHAR) AS name, s_suppkey AS student_id, 'words' AS tier FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'A' || CAST(s_suppkey AS VARCHAR) || '.B' || CAST(s_suppkey AS VARCHAR), s_suppkey, 'exact' FROM supplier WHERE s_suppkey % 2 = 1")
+@query("SELECT CASE WHEN k % 3 = 0 THEN f || '. ' || g WHEN k % 3 = 1 THEN upper(f) || '.' || g ELSE 'x' || substring(f, 2) || ' ' || g END AS name, k AS student_id, CASE k % 3 WHEN 0 THEN 'words' WHEN 1 THEN 'exact' ELSE 'similar' END AS tier FROM (SELECT s_suppkey AS k, substring(md5('g' || CAST(s_suppkey AS VARCHAR)), 1, 12) AS g, substring(md5('f' || CAST(s_suppkey AS VARCHAR)), 1, 12) AS f FROM supplier)".replace("f || '. ' || g WHEN", "g || '. ' || f WHEN"))
 def name_match_tiers(spark, sf_dir):
     """Names to the roster, by exact name, by the same words, by likeness."""
-    k = F.col("s_suppkey").cast("string")
-    s = roles.table(spark, sf_dir, "supplier").select("s_suppkey")
-    roster = s.select(F.col("s_suppkey").alias("student_id"), F.concat(F.lit("A"), k, F.lit(" B"), k).alias("roster_name"))
-    even = F.col("s_suppkey") % 2 == 0
-    names = s.select(F.when(even, F.concat(F.lit("B"), k, F.lit(". A"), k)).otherwise(F.concat(F.lit("A"), k, F.lit(".B"), k)).alias("name"))
-    return elt.match_names(names, roster)
+    k = F.col("s_suppkey")
+    part = lambda c: F.substring(F.md5(F.concat(F.lit(c), k.cast("string"))), 1, 12)
+    s = roles.table(spark, sf_dir, "supplier").select(k, part("f").alias("f"), part("g").alias("g"))
+    roster = s.select(k.alias("student_id"), F.concat("f", F.lit(" "), "g").alias("roster_name"))
+    slip = F.concat(F.lit("x"), F.substr("f", F.lit(2)), F.lit(" "), "g")
+    name = F.when(k % 3 == 0, F.concat("g", F.lit(". "), "f")).when(k % 3 == 1, F.concat(F.upper("f"), F.lit("."), "g")).otherwise(slip)
+    return elt.match_names(s.select(name.alias("name")), roster)
 
 
 @query(with_roles("SELECT student_id, exam_id, count(DISTINCT marks) AS versions, min(marks) AS lowest, max(marks) AS highest FROM marks GROUP BY ALL HAVING count(DISTINCT marks) > 1", "marks"))
@@ -120,17 +121,18 @@ def sample_per_group(spark, sf_dir):
     return rel.at_most(rows, ["problem"], 8, *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).select("problem", "l_orderkey", "place")
 
 
-@query(with_roles("SELECT usage_id, platform AS subscription, account, CAST(540 + minutes * 3 AS INTEGER) AS m_in FROM usage WHERE account <> 'P' AND 540 + minutes * 3 BETWEEN 540 AND 1140", "usage"))
+@query(with_roles("SELECT usage_id, platform AS subscription, account, CAST(540 + minutes * 3 AS INTEGER) AS m_in FROM usage WHERE account = 'F' AND 540 + minutes * 3 BETWEEN 540 AND 1140", "usage"))
 def digital_load(spark, sf_dir):
-    """Sessions within opening hours, of accounts that stand for something."""
+    """Sessions within opening hours whose account cell says subscription, however it is typed."""
     m = (F.lit(540) + F.col("minutes") * 3).alias("m_in")
-    u = roles.usage(spark, sf_dir).filter("account <> 'P'").select("usage_id", F.col("platform").alias("subscription"), "account", m)
+    cell = F.when(F.col("account") == "F", "Sub s,cription").when(F.col("account") == "O", "Own account").otherwise(" ")
+    u = roles.usage(spark, sf_dir).filter(text.subscription_like(cell)).select("usage_id", F.col("platform").alias("subscription"), "account", m)
     return u.filter(elt.operating_hours(F.col("m_in")))
 
 
 @query()
 def canonicalizer_fold(spark, sf_dir):
-    """Spellings of a name fold into one, in the order in which they appeared."""
+    """Spellings of a name fold into one, in the order in which they appeared."""
     p = roles.table(spark, sf_dir, "part").select("p_partkey", "p_name")
     slipped = F.when(F.col("p_partkey") % 50 == 0, F.concat("p_name", F.lit("s"))).otherwise(F.col("p_name"))
     return elt.canonicalise(p.select("p_partkey", slipped.alias("name")), "name", "p_partkey")
@@ -138,23 +140,16 @@ def canonicalizer_fold(spark, sf_dir):
 
 @query()
 def date_carry_forward(spark, sf_dir):
-    """Dates of a sheet that can't be, repaired from the row above."""
+    """Dates of a sheet that can't be, repaired from the row above; a sheet a student."""
     e = roles.punches(spark, sf_dir)
     slip = F.when(F.col("punch_id") % 97 == 0, F.add_months(F.to_date("punch_time"), -24)).otherwise(F.to_date("punch_time"))
-    rows = e.select((F.col("student_id") % 16).cast("string").alias("sheet"), F.col("punch_id").alias("line"), slip.alias("date"))
+    rows = e.select(F.col("student_id").cast("string").alias("sheet"), F.col("punch_id").alias("line"), slip.alias("date"))
     return elt.carry_dates(rows, roles.TODAY_EVENTS)
 
 
-@query()
-def id_cell_repair(spark, sf_dir):
-    """Digits run together are read as known ids where only one reading is left."""
-    s = roles.table(spark, sf_dir, "supplier").select("s_suppkey")
-    cells = s.select(F.concat((F.col("s_suppkey") + 100).cast("string"), F.lit(","), (F.col("s_suppkey") + 150).cast("string")).alias("cell"))
-    return elt.segment_ids(cells, [str(k) for k in range(100, 300)])
-
-
-@query()
+@query("WITH RECURSIVE m AS (SELECT s_suppkey AS source, CASE WHEN s_suppkey % 10 = 6 THEN s_suppkey + 3 ELSE s_suppkey - 1 END AS target FROM supplier WHERE s_suppkey % 5 <> 0), w(source, here, path) AS (SELECT source, target, [source] FROM m UNION ALL SELECT w.source, m.target, list_append(w.path, w.here) FROM w JOIN m ON m.source = w.here WHERE NOT list_contains(w.path, w.here)) SELECT source, here AS target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY len(path) DESC) AS r FROM w) WHERE r = 1")
 def merge_chains(spark, sf_dir):
-    """A to B and B to C give A to C."""
-    r = roles.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"))
-    return elt.resolve_chains(r.filter("source % 5 <> 0").withColumn("target", F.col("source") - 1))
+    """A to B and B to C give A to C; walks into a cycle end where they enter it."""
+    r = roles.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source")).filter("source % 5 <> 0")
+    target = F.when(F.col("source") % 10 == 6, F.col("source") + 3).otherwise(F.col("source") - 1)
+    return elt.resolve_chains(r.withColumn("target", target))

@@ -32,10 +32,11 @@ def list_id_text_search(spark, sf_dir):
 
 @query(with_roles("SELECT student_id, date, session, m_in, m_out, minutes FROM sessions WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'", "sessions"))
 def list_date_range(spark, sf_dir):
-    """An inclusive range of days."""
+    """An inclusive range of days; a day's sessions need that day's punches alone, so the range reaches the scan."""
     from learnlake.operators import punches
 
-    return rel.where_all(punches.attendance(roles.punches(spark, sf_dir)), rel.date_range("date", "2024-01-10", "2024-01-20"))
+    within = (F.col("punch_time") >= F.lit("2024-01-10").cast("timestamp")) & (F.col("punch_time") < F.lit("2024-01-21").cast("timestamp"))
+    return rel.where_all(punches.attendance(roles.punches(spark, sf_dir).filter(within)), rel.date_range("date", "2024-01-10", "2024-01-20"))
 
 
 @query(with_roles("SELECT student_id, day, m_in FROM pairs WHERE m_out IS NULL", "pairs"))

@@ -49,8 +49,9 @@ def roster_coalesce(spark, sf_dir):
 
 @query(with_roles("SELECT student_id, name FROM students WHERE student_id IN (SELECT student_id FROM punches WHERE CAST(punch_time AS DATE) = DATE '2024-01-30')", "students", "punches"))
 def present_semi(spark, sf_dir):
-    """Students who punched today."""
-    today = roles.punches(spark, sf_dir).filter(F.to_date("punch_time") == F.lit(roles.TODAY_EVENTS))
+    """Students who punched today; the day is a range that reaches the scan."""
+    day = F.lit(roles.TODAY_EVENTS).cast("timestamp")
+    today = roles.punches(spark, sf_dir).filter((F.col("punch_time") >= day) & (F.col("punch_time") < day + F.expr("interval 1 day")))
     return roles.students(spark, sf_dir).join(today, "student_id", "left_semi").select("student_id", "name")
 
 

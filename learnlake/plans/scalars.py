@@ -170,8 +170,35 @@ def edit_distance(spark, sf_dir):
     return t.withColumn("distance", similarity.osa_distance("a", "b"))
 
 
-@query()
+def _sound_sql(word: str) -> str:
+    """The rules of similarity.SOUNDS for an engine without look-around: contexts are captured and put back, twice where they may overlap."""
+    steps = [
+        *[(f"{c}{c}+", c) for c in "ABDEFGHIJKLMNOPQRSTUVWXYZ"], ("^[KGP](N)|^A(E)|^W(R)", r"\1\2\3"), ("^WH", "W"), ("^X", "S"), ("MB$", "M"), ("B", "b"),
+        ("C(H)", r"x\1"), ("C([IEY])", r"s\1"), ("C", "k"), ("D(G[IEY])", r"j\1"), ("D", "t"), ("G(H.)", r"-\1"), ("G(N)$", r"-\1"), ("G([IEY])", r"j\1"), ("G", "k"),
+        ("P(H)", r"f\1"), ("P", "p"), ("S(H)", r"x\1"), ("S", "s"), ("T(H)", r"0\1"), ("T(I[OA])", r"x\1"), ("T", "t"),
+        ("([^AEIOU])H([AEIOU])", r"\1h\2"), ("([^AEIOU])H([AEIOU])", r"\1h\2"), ("H", "-"), ("^W", "w"), ("W([AEIOU])", r"w\1"), ("W", "-"),
+        ("^Y", "y"), ("Y([AEIOU])", r"y\1"), ("Y", "-"), ("Q", "k"), ("V", "f"), ("Z", "s"), ("X", "ks"), ("(.)[AEIOU]+", r"\1"), ("-", ""),
+    ]
+    sql = f"regexp_replace(upper({word}), '[^A-Z]', '', 'g')"
+    for pattern, sounds in steps:
+        sql = f"regexp_replace({sql}, '{pattern}', '{sounds}', 'g')"
+    sql = f"upper({sql})"
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0":
+        sql = f"regexp_replace({sql}, '{c}{c}+', '{c}', 'g')"
+    return sql
+
+
+@query(f"SELECT name, array_to_string(list_transform(string_split(name, ' '), lambda w: {_sound_sql('w')}), ' ') AS sound FROM (SELECT DISTINCT p_name || ' ' || lower(p_type) || ' ' || CASE p_size % 8 WHEN 0 THEN 'knight' WHEN 1 THEN 'chemistry' WHEN 2 THEN 'wheel' WHEN 3 THEN 'xerox' WHEN 4 THEN 'thumb' WHEN 5 THEN 'edge' WHEN 6 THEN 'nation' ELSE 'physics' END AS name FROM part)")
 def metaphone_keys(spark, sf_dir):
-    """keys by sound and ratios of matching blocks, over distinct names."""
-    n = _part(spark, sf_dir).select(text.nfkc("p_name").alias("name")).distinct()
-    return n.select("name", similarity.sound_key("name").alias("sound"), F.round(similarity.matching_ratio(F.col("name"), F.reverse("name")), 4).alias("mirror"))
+    """keys by sound of distinct names, inside the JVM."""
+    words = ("knight", "chemistry", "wheel", "xerox", "thumb", "edge", "nation", "physics")
+    word = F.element_at(F.array(*map(F.lit, words)), F.col("p_size") % 8 + 1)
+    n = _part(spark, sf_dir).select(text.nfkc(F.concat_ws(" ", "p_name", F.lower("p_type"), word)).alias("name")).distinct()
+    return n.select("name", similarity.sound_key(F.col("name")).alias("sound"))
+
+
+@query()
+def matching_ratios(spark, sf_dir):
+    """ratios of matching blocks over distinct names."""
+    n = _part(spark, sf_dir).select(F.col("p_name").alias("name")).distinct()
+    return n.select("name", F.round(similarity.matching_ratio(F.col("name"), F.reverse("name")), 4).alias("mirror"))

@@ -169,7 +169,7 @@ def review_histogram(spark, sf_dir):
     return rel.at_most(rows, ["problem"], 8, F.col("o_orderkey")).join(counts, "problem").select("problem", "n", F.col("o_orderkey").alias("sample"))
 
 
-@query()
+@query(with_roles("SELECT student_id, date, session, m_in, m_out, minutes FROM sessions", "sessions"))
 def punch_stream(spark, sf_dir):
     """The scanner's stream through the state machine, drained once."""
     from learnlake.streaming import punches

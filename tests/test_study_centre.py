@@ -86,7 +86,6 @@ def test_text(spark):
 @pytest.mark.parametrize("a, b, n", [("kitten", "sitting", 3), ("ab", "ba", 1), ("680", "1680", 1), ("", "abc", 3), ("ca", "abc", 3)])
 def test_edit_distance(a, b, n):
     assert similarity.osa(a, b) == n
-    assert similarity.sound("Physics") == similarity.sound("Fisics")
 
 
 # --- punches --------------------------------------------------------------------------------------------------------
@@ -145,12 +144,6 @@ def test_near_titles(spark):
     assert got == {"Physics NCERT": ("NCERT Physics", "merge"), "Polaty": ("Polity", "review")}
 
 
-def test_id_cells(spark):
-    cells = spark.createDataFrame([("16,801,680",), ("14,161,416",), (None,)], "cell string")
-    got = [r["ids"] for r in elt.segment_ids(cells, ["1680", "1416", "14", "16", "1614"]).collect()]
-    assert got == [["1680", "1680"], [], []]
-
-
 def test_names_chains_lists_and_dates(spark):
     roster = spark.createDataFrame([(1, "Asha Rao"), (2, "Ravi Kumar"), (3, "Ravi Kumar"), (4, "Meena Iyer")], "student_id long, roster_name string")
     names = spark.createDataFrame([("rao  asha",), ("RAVI.KUMAR",), ("Mena Iyer",), ("Asha Rao",), (None,)], "name string")
@@ -256,12 +249,17 @@ def test_query_equals_duckdb(spark, con, name):
     assert sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql()) - {"punch_stream"}))
-def test_other_queries_run(spark, name):
-    assert catalogue.queries()[name](spark, SF).count() >= 0
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
+def test_other_queries_give_the_same_rows_however_their_tables_are_dealt(spark, name, tmp_path):
+    for t in TABLES:
+        spark.read.parquet(f"{SF}/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    rows = catalogue.queries()[name](spark, SF).collect()
+    assert rows and sorted(map(repr, rows)) == sorted(map(repr, catalogue.queries()[name](spark, str(tmp_path)).collect()))
 
 
 def test_plans_push_down_and_prune(spark):
-    plan = catalogue.queries()["expiring_30d"](spark, SF)._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(o_orderdate)" in plan or "o_orderdate" in plan
-    assert "o_totalprice" not in plan.rpartition("ReadSchema")[2]
+    plan = catalogue.queries()["list_date_range"](spark, SF)._jdf.queryExecution().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual" in pushed.partition("]")[0] and "props" not in plan.rpartition("ReadSchema")[2]
+    plan = catalogue.queries()["any_column_mask"](spark, SF)._jdf.queryExecution().toString()
+    assert "o_custkey" not in plan.rpartition("ReadSchema")[2]
