@@ -67,6 +67,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table that is broadcast at most.
+BROADCAST_ROWS = 50_000
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """df, stored and marked for broadcast if it has few rows; else joined as two plain exchanges, which
+    adaptive execution can split for a hot key."""
+    df = materialize(df)
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def release(spark: SparkSession) -> None:
     """Has shuffle files removed that lie behind a cut lineage.
 

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm.common import by_range, hash_ranges, lower_words, materialize, mix64, release, small_batches, unused_name
+from learnlake.llm.common import by_range, checked_broadcast, hash_ranges, lower_words, materialize, mix64, release, small_batches, unused_name
 
 #: Documents and characters that are hashed together.
 BATCH_DOCS, BATCH_CHARS = 1_500, 2_500_000
@@ -383,8 +383,7 @@ def components(edges: DataFrame) -> DataFrame:
 def class_links(classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among distinct rows (k, n, grams, prefix) that yield the components of all links."""
     met = classes.select("k", F.explode("prefix").alias("token"))
-    # what is joined by a token is written first: two plain exchanges are what adaptive execution can split for a hot one
-    lists = materialize(met.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    lists = checked_broadcast(met.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     met = materialize(met.join(lists, "token"))
     sets = classes.select("k", "n", "grams")
 
@@ -403,11 +402,10 @@ def class_links(classes: DataFrame, percent: int) -> DataFrame:
     at = met.join(label, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     per_comp = at.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = per_comp.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("x"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    main = materialize(main.select("token", F.col("x.comp").alias("zone")))
-    at = at.join(main, "token").select("zone", "k", "comp").distinct()
+    at = at.join(checked_broadcast(main.select("token", F.col("x.comp").alias("zone"))), "token").select("zone", "k", "comp").distinct()
     at = materialize(at.withColumn("out", F.col("comp") != F.col("zone")))
     count = at.groupBy("zone").agg(F.count(F.lit(1)).alias("ny"), F.count_if("out").alias("nx"))
-    count = materialize(count.select("zone", F.ceil(F.col("nx") / BLOCK_ROWS).cast("int").alias("bx"), F.ceil(F.col("ny") / BLOCK_ROWS).cast("int").alias("by")))
+    count = checked_broadcast(count.select("zone", F.ceil(F.col("nx") / BLOCK_ROWS).cast("int").alias("bx"), F.ceil(F.col("ny") / BLOCK_ROWS).cast("int").alias("by")))
     at = at.join(count, "zone")
     own = lambda blocks, seed: F.pmod(F.xxhash64("k", F.lit(seed)), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from learnlake.llm.common import materialize
+from learnlake.llm.common import materialize, small_batches, unused_name
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -91,6 +91,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"piece": "int32", "doc_id": "Int64"})
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
 
 
@@ -192,36 +193,41 @@ def plan_places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.n
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 256) -> DataFrame:
     """Each piece with the sequence and offset that it gets.
 
-    ``pieces`` has a long column length from 1 to capacity; other columns stay.
-    Only the counts by length reach the driver. Numbers within a length come
-    from (length, bucket) windows and the buckets' starts, so a length that a
-    third of all pieces share is split into ``buckets`` groups.
+    ``pieces`` has doc_id, start, ids_crc32 and a long column length from 1 to
+    capacity; other columns stay. Only the counts by length reach the driver.
+    Numbers within a length come from (length, bucket) windows and the buckets'
+    starts; there are at least ``buckets`` of them and one for each 65,536
+    pieces of the commonest length, so a length that a third of all pieces share
+    is split. The pieces are stored once with the hash that deals them, and all
+    that follows reads that one copy.
     """
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mark, bucket, number, count, start = (unused_name(pieces, f"_{x}") for x in ("hash", "bucket", "number", "n", "from"))
+    stored = materialize(pieces.withColumn(mark, F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())))
+    counts = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = plan_places(plan_packing(counts, capacity))
-    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(buckets)))
+    keyed = stored.withColumn(bucket, F.pmod(mark, F.lit(max(buckets, -(-max(counts.values(), default=0) // 65_536)))))
     starts = (
-        keyed.groupBy("length", "_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_from", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_n")
+        keyed.groupBy("length", bucket)
+        .agg(F.count(F.lit(1)).alias(count))
+        .withColumn(start, F.coalesce(F.sum(count).over(Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .drop(count)
     )
-    order = Window.partitionBy("length", "_b").orderBy("doc_id", "start", "ids_crc32")
-    numbers = keyed.withColumn("_k", F.row_number().over(order)).join(starts, ["length", "_b"])
-    numbers = numbers.select(*pieces.columns, (F.col("_from") + F.col("_k") - 1).alias("_number"))
+    order = Window.partitionBy("length", bucket).orderBy("doc_id", "start", "ids_crc32")
+    numbers = keyed.withColumn(number, F.row_number().over(order)).join(starts, ["length", bucket])
+    numbers = numbers.select(*pieces.columns, (F.col(start) + F.col(number) - 1).alias(number))
     out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long"
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            length, number = frame["length"].to_numpy(), frame["_number"].to_numpy()
+            length, nth = frame["length"].to_numpy(), frame[number].to_numpy()
             sequence, offset = np.empty(len(frame), np.int64), np.empty(len(frame), np.int64)
             for x in np.unique(length):
                 own = np.flatnonzero(length == x)
                 since, first, at = places[int(x)]
-                k = np.searchsorted(since, number[own], side="right") - 1
-                sequence[own] = first[k] + number[own] - since[k]
+                k = np.searchsorted(since, nth[own], side="right") - 1
+                sequence[own] = first[k] + nth[own] - since[k]
                 offset[own] = at[k]
-            yield frame.drop(columns="_number").assign(sequence_id=sequence, offset=offset)
+            yield frame.drop(columns=number).assign(sequence_id=sequence, offset=offset)
 
     return numbers.mapInPandas(place, out)
 
@@ -235,4 +241,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     and the pipeline set ``literal`` to False: an added token within a text has
     its own id.
     """
-    return pack_pieces(materialize(token_pieces(docs, tokenizer_path, capacity, end_id, literal)), capacity)
+    return pack_pieces(token_pieces(docs, tokenizer_path, capacity, end_id, literal), capacity)

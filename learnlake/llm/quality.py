@@ -19,15 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from learnlake.llm.common import materialize, unused_name
+from learnlake.llm.common import checked_broadcast, materialize, small_batches, unused_name
 from learnlake.llm.sampling import held_out, pick
 
 #: Labelled documents that the evidence model is fitted on.
 SAMPLE = 12_000
 #: A document whose probability of being good is below this is rejected.
 THRESHOLD = 0.5
-#: Sites up to which their posteriors are broadcast; more are joined by a shuffle.
-BROADCAST_SITES = 50_000
 #: Evidence is held between these probabilities.
 LEAST, MOST = 0.001, 0.999
 
@@ -117,8 +115,11 @@ def fit_evidence(x: np.ndarray, good: np.ndarray, rounds: int = 30, ridge: float
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> EvidenceModel:
     """Fits the evidence on at most ``sample`` labelled documents that aren't held out.
 
-    Of several labels of a document the worst counts; null labels don't.
+    Of several labels of a document the worst counts; null labels don't. Of
+    rows that repeat a doc_id the one with the smallest hash of its text is
+    learnt from, so that the sample's bound is one of rows.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = pick(known, sample)
     chosen = known.join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("int").alias("good"))
@@ -128,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> EvidenceMod
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "good": frame["good"], "x": [measures(t) for t in frame["text"]]})
 
-    rows = plain.join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, good int, x array<double>").collect()
+    one = plain.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x"))
+    rows = one.select("doc_id", "good", F.col("x.text").alias("text")).mapInPandas(run, "doc_id long, good int, x array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(-1, len(MEASURES))
     return fit_evidence(x, np.array([r["good"] for r in rows], dtype=np.float64))
@@ -136,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> EvidenceMod
 
 def evidence(docs: DataFrame, model: EvidenceModel, host: Column, path: Column) -> DataFrame:
     """doc_id, host, path and own probability of each document."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,11 +184,6 @@ def _posterior(own: Column, site: Column, base: float) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def _checked(sites: DataFrame) -> DataFrame:
-    sites = materialize(sites)
-    return F.broadcast(sites) if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES else sites
-
-
 def classify(docs: DataFrame, model: EvidenceModel, host: Column, path: Column) -> DataFrame:
     """doc_id, host, path, own (evidence), site_share, quality (posterior) and accepted of each document.
 
@@ -194,7 +192,7 @@ def classify(docs: DataFrame, model: EvidenceModel, host: Column, path: Column)
     occur. An empty table gives an empty table.
     """
     scored = materialize(evidence(docs, model, host, path))
-    sites = _checked(site_posteriors(scored)).alias("site")
+    sites = checked_broadcast(site_posteriors(scored)).alias("site")
     at = F.col("d.host").eqNullSafe(F.col("site.host")) & F.col("d.path").eqNullSafe(F.col("site.path"))
     joined = scored.alias("d").join(sites, at).select("d.*", "site.site_share")
     joined = joined.withColumn("quality", _posterior(F.col("own"), F.col("site_share"), model.base))
@@ -205,10 +203,12 @@ def accepted_documents(docs: DataFrame, model: EvidenceModel, host: Column, path
     """The accepted documents with all their columns.
 
     The text stays where it is: its evidence is computed again beside the
-    sites' posteriors, which the first pass has gathered.
+    sites' posteriors, which the first pass has gathered. An empty or null text
+    is measured as empty; null hosts and paths are sites of their own; repeated
+    rows stay or go together; further columns stay, whatever their names.
     """
     scored = evidence(docs, model, host, path)
-    sites = _checked(site_posteriors(scored))
+    sites = checked_broadcast(site_posteriors(scored))
     names = [unused_name(docs, x) for x in ("site_host", "site_path", "site_share")]
     sites = sites.toDF(*names)
     joined = docs.join(sites, host.cast("string").eqNullSafe(F.col(names[0])) & path.cast("string").eqNullSafe(F.col(names[1])))

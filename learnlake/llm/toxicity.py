@@ -11,7 +11,6 @@ the model is linear and trained with numpy on a bounded sample.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,15 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from learnlake.llm.common import ALNUM_LOWER, lower_words, materialize
+from learnlake.llm.common import ALNUM_LOWER, lower_words, materialize, small_batches
 from learnlake.llm.sampling import held_out, pick
 
-#: Bounds of the training sample: confirmed toxic documents, unlabelled documents, distinct words of one.
-POSITIVES, UNLABELLED, WORDS = 2_000, 6_000, 20_000
+#: Bounds of the training sample: confirmed toxic documents, unlabelled documents.
+POSITIVES, UNLABELLED = 2_000, 6_000
 FEATURES = 1_024
 #: Lengths of beginnings, in bytes.
 STEMS = range(4, 9)
-BUCKETS = 1 << 22
 #: Least share of toxic ones, by the prior, among the documents that have a feature.
 PURITY = 0.5
 #: Toxic documents that a feature must have, and by how many standard errors it must be commoner in them.
@@ -124,47 +122,72 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_features:
     return w, float(b)
 
 
-def train(positive: list[bytes], unlabelled: list[bytes], prior: float) -> ToxicityModel:
-    """From space-joined distinct words of each sampled document."""
-    if not positive or not unlabelled:
-        return ToxicityModel({}, float(np.log(prior / (1 - prior))), prior)
-    features = lambda doc: {f for w in doc.split() for f in word_features(w)}
-    least = max(LEAST_DOCUMENTS, len(positive) // 200)
-    # A fixed table of hashed counts first: most features are rare and needn't be held by name.
-    rough = np.zeros(BUCKETS, np.int32)
-    for d in positive:
-        np.add.at(rough, [hash(f) % BUCKETS for f in features(d)], 1)
-    in_p: Counter = Counter()
-    for d in positive:
-        in_p.update(f for f in features(d) if rough[hash(f) % BUCKETS] >= least)
-    names = sorted(f for f, n in in_p.items() if n >= least)
-    number = {f: i for i, f in enumerate(names)}
-    code = lambda docs: [np.array(sorted(number[f] for f in features(d) if f in number), np.int32) for d in docs]
-    pos, unl = code(positive), code(unlabelled)
-    in_pos, in_unl = (np.bincount(np.concatenate(x), minlength=len(names)) if names else np.zeros(0) for x in (pos, unl))
-    share, usual = in_pos / len(pos), (in_unl + 1) / (len(unl) + 1)
-    purity = prior * share / ((in_unl + 1) / len(unl))
-    deviation = (share - usual) / np.sqrt(usual * (1 - usual) / len(pos) + 1e-12)
-    # of features that the same documents have, as far as counts tell, the shortest says it all
-    alike: dict[tuple[int, int, bytes], int] = {}
-    for i in sorted(np.flatnonzero((purity >= PURITY) & (deviation >= LEAST_DEVIATION)).tolist(), key=lambda i: (len(names[i]), names[i])):
-        alike.setdefault((int(in_pos[i]), int(in_unl[i]), names[i][:4]), i)
-    strong = sorted(alike.values(), key=lambda i: (-in_pos[i], names[i]))[:FEATURES]
-    place = np.full(len(names), -1)
-    place[strong] = np.arange(len(strong))
-    chosen = lambda docs: [[int(k) for k in place[d] if k >= 0] for d in docs]
-    w, b = fit_nnpu(chosen(pos), chosen(unl), len(strong), prior)
-    return ToxicityModel({names[i]: float(w[k]) for k, i in enumerate(strong)}, b, prior)
-
-
-def _distinct_words(docs: DataFrame) -> list[bytes]:
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """feature, p and u: how many toxic and how many unlabelled documents of the sample (is_toxic, words) have it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lo in range(0, len(frame), 200):
+                count: dict[bytes, list[int]] = {}
+                for toxic, words in zip(frame["is_toxic"].iloc[lo : lo + 200], frame["words"].iloc[lo : lo + 200]):
+                    for f in features(words):
+                        count.setdefault(f, [0, 0])[0 if toxic else 1] += 1
+                yield pd.DataFrame([(f, *n) for f, n in count.items()], columns=["feature", "p", "u"])
+
+    return sample.mapInPandas(run, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def features(words: bytes) -> set[bytes]:
+    """Of space-joined distinct words."""
+    return {f for w in words.split() for f in word_features(w)}
+
+
+def strong_features(counts: DataFrame, positives: int, unlabelled: int, prior: float) -> list[bytes]:
+    """At most FEATURES features that toxic documents have and that are rare, by the prior, in others.
+
+    Of features that the same documents have, as far as counts tell, the shortest says it all.
+    """
+    least = max(LEAST_DOCUMENTS, positives // 200)
+    share, usual = F.col("p") / positives, (F.col("u") + 1) / (unlabelled + 1)
+    pure = prior * share >= PURITY * (F.col("u") + 1) / unlabelled
+    apart = share - usual >= LEAST_DEVIATION * F.sqrt(usual * (1 - usual) / positives + 1e-12)
+    strong = counts.filter((F.col("p") >= least) & pure & apart).withColumn("start", F.substring("feature", 1, 4))
+    alike = strong.groupBy("p", "u", "start").agg(F.min(F.struct(F.octet_length("feature"), "feature")).alias("x"))
+    return [bytes(r["f"]) for r in alike.select("p", F.col("x.feature").alias("f")).orderBy(F.desc("p"), "f").limit(FEATURES).collect()]
+
+
+def sampled(docs: DataFrame, positives: DataFrame, others: DataFrame) -> DataFrame:
+    """is_toxic, doc_id and words (distinct, joined by spaces) of the chosen doc_ids.
+
+    Of rows that repeat a doc_id one is taken, the one with the smallest hash of
+    its text, before anything is collected: the sample's bound is one of rows.
+    """
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [sorted(set(lower_words(t, ALNUM_LOWER))) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "words": [b" ".join(w) if len(w) <= WORDS else None for w in found]})
+            yield frame.assign(words=[b" ".join(sorted(set(lower_words(t, ALNUM_LOWER)))) for t in frame["text"]])[["is_toxic", "doc_id", "words"]]
+
+    ids = positives.select("doc_id", F.lit(True).alias("is_toxic")).union(others.select("doc_id", F.lit(False)))
+    one = docs.join(F.broadcast(ids), "doc_id").groupBy("is_toxic", "doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x"))
+    return one.select("is_toxic", "doc_id", F.col("x.text").alias("text")).mapInPandas(run, "is_toxic boolean, doc_id long, words binary")
+
+
+def train(sample: DataFrame, prior: float) -> ToxicityModel:
+    """From a stored sample (is_toxic, doc_id, words): features are counted and matched in tasks, and the
+    driver gets the chosen features' numbers alone, at most FEATURES a sampled document."""
+    size = {r["is_toxic"]: r["n"] for r in sample.groupBy("is_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not size.get(True) or not size.get(False):
+        return ToxicityModel({}, float(np.log(prior / (1 - prior))), prior)
+    names = strong_features(feature_counts(sample), size[True], size[False], prior)
+    number = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(has=[sorted(number.value[f] for f in features(w) if f in number.value) for w in frame["words"]])[["is_toxic", "doc_id", "has"]]
 
-    rows = docs.mapInPandas(run, "doc_id long, words binary").filter("words is not null").collect()
-    return [bytes(r["words"]) for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["words"])))]
+    rows = sorted(sample.mapInPandas(matched, "is_toxic boolean, doc_id long, has array<int>").collect(), key=lambda r: r["doc_id"])
+    w, b = fit_nnpu([r["has"] for r in rows if r["is_toxic"]], [r["has"] for r in rows if not r["is_toxic"]], len(names), prior)
+    return ToxicityModel({f: float(w[i]) for i, f in enumerate(names)}, b, prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> ToxicityModel:
@@ -172,17 +195,17 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Toxic
 
     The prior, where none is given, is the share of toxic among the labelled
     documents that aren't held out. A document with several labels is toxic if
-    one says so. Without labels the model answers with the prior alone.
+    one says so. Of documents with one doc_id one is learnt from; those without
+    a doc_id are not. Without labels the model answers with the prior alone.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = materialize(known)
     if prior is None:
         prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     prior = float(min(max(prior, 0.001), 0.5))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = {"p": pick(known.filter("toxic = 1"), POSITIVES), "u": pick(plain.filter(~held_out(F.col("doc_id"))), UNLABELLED)}
-    words = {k: _distinct_words(plain.join(F.broadcast(ids), "doc_id")) for k, ids in chosen.items()}
-    return train(words["p"], words["u"], prior)
+    return train(materialize(sampled(plain, pick(known.filter("toxic = 1"), POSITIVES), pick(plain.filter(~held_out(F.col("doc_id"))), UNLABELLED))), prior)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -191,6 +214,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     A null or empty text has no words and gets the score of none. Repeated
     rows get equal scores; nothing but the text decides.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +226,12 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns, that score below the threshold."""
+    """The documents, with all their columns, that score below the threshold.
+
+    A null or empty text scores as one without words; repeated rows stay or go
+    together; nothing but the text decides, whatever other columns there are.
+    """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

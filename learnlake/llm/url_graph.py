@@ -56,7 +56,8 @@ def path_of(url: Column) -> Column:
 def with_rule(urls: DataFrame, rules: list[Rule]) -> DataFrame:
     """urls (host, path and any other columns) with ``rule`` and ``rule_verdict`` of the longest rule that fits, or nulls.
 
-    Of rules with one text the one that blocks wins.
+    Of rules of one length the one whose text sorts first wins, and of rules
+    with one text the one that blocks, however many rules there are.
     """
     best: dict[str, Rule] = {}
     for r in sorted(rules, key=lambda r: r.verdict):
@@ -75,7 +76,7 @@ def with_rule(urls: DataFrame, rules: list[Rule]) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     places = urls.filter("host <> ''").select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes))
     met = places.join(table, "rule_host").filter(F.startswith("path", F.col("rule_path")))
-    longest = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule")).alias("_fit"))
+    longest = met.groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), "rule")).alias("_fit"))
     joined = urls.join(longest, ["host", "path"], "left")
     return joined.select(*urls.columns, F.col("_fit.rule").alias("rule"), F.col("_fit.verdict").alias("rule_verdict"))
 
@@ -138,7 +139,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = with_rule(plain, rules)
-    scores = host_scores(judged, materialize(host_edges(pages)))
+    # written first, so that the join's sides are plain exchanges, which adaptive execution can split for a hot host
+    scores = materialize(host_scores(judged, materialize(host_edges(pages))))
     verdict = F.coalesce("rule_verdict", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow")))
     return judged.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from learnlake.llm.common import small_batches
+
 VERSION = b"WARC/1.1"
 #: For pages without a time of capture.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -149,6 +151,7 @@ def _mapped(df: DataFrame, rows) -> DataFrame:
                 found = [r for x in frame.iloc[lo : lo + 500].itertuples(index=False, name=None) for r in rows(x)]
                 yield pd.DataFrame(found, columns=COLUMNS).astype({"page_id": "Int64"})
 
+    small_batches(df.sparkSession)
     return df.mapInPandas(run, RECORD)
 
 
@@ -165,7 +168,12 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def page_derivatives(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
-    """derivatives(responses(pages)) in one pass over the pages."""
+    """derivatives(responses(pages)) in one pass over the pages.
+
+    Every page gives two records: a null or empty html an empty conversion, a
+    null url a record without target; repeated rows give repeated records, with
+    equal identifiers; further columns are ignored; an empty table gives none.
+    """
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def both(x: tuple) -> list[tuple]:

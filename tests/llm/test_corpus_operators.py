@@ -168,12 +168,25 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
 
 
-def test_several_automata_find_what_one_finds():
-    items = [(k, f"w{k} x y z w{k + 1}") for k in range(20)]
-    one, many = decontaminate.Scanner(decontaminate.window_groups(items, 3)), decontaminate.Scanner(decontaminate.window_groups(items, 3, most=30))
-    assert len(many.automata) > 3
-    text = " ".join(t for _, t in items)
-    assert one.scan(text) == many.scan(text)
+def test_a_benchmark_of_several_automata_hits_what_one_hits(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(k, " ".join(rng.choices("abcdefgh", k=rng.randint(2, 14)))) for k in range(25)] + [(30, None), (None, "a b c d")]
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 80))) for _ in range(40)]
+    docs, rows = awkward(spark, texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = decontaminate.contamination(docs, bench, window=3).collect()
+    whole = decontaminate.decontaminate(docs, bench, window=3).collect()
+    monkeypatch.setattr(decontaminate, "AUTOMATON_CHARS", 200)
+    assert len(decontaminate.benchmark_parts(bench, 3)) > 3
+    assert sorted(map(repr, decontaminate.contamination(docs, bench, window=3).collect())) == sorted(map(repr, one))
+    cut = decontaminate.decontaminate(docs, bench, window=3).collect()
+    assert sorted(map(repr, cut)) == sorted(map(repr, whole))
+    by_id = {i: t for i, t, *_ in rows}
+    for r in (r for r in cut if r["doc_id"] is not None):  # what is left stands in the original in this order, and untouched texts are whole
+        at = iter(WORD.findall((by_id[r["doc_id"]] or "").translate(LOWER)))
+        assert all(w in at for w in WORD.findall((r["text"] or "").translate(LOWER)))
+        if not brute_hits(by_id[r["doc_id"]], [x for x in items if x[0] is not None], 3)[1]:
+            assert r["text"] == by_id[r["doc_id"]]
 
 
 # --- op10 -----------------------------------------------------------------------------------------------------------
@@ -382,6 +395,15 @@ def test_rules_and_link_trust(spark, monkeypatch, literal):
     assert url_graph.judge_urls(pages.limit(0), RULES).count() == 0
 
 
+@pytest.mark.parametrize("literal", [0, 1000])
+def test_ties_of_rules_go_to_the_smaller_text_however_many_there_are(spark, monkeypatch, literal):
+    monkeypatch.setattr(url_graph, "LITERAL_RULES", literal)
+    pages = spark.createDataFrame([(1, "http://b.com/abc", None), (2, "http://com/ab", None)], "page_id long, url string, html string")
+    rules = [url_graph.Rule("allow", "com", "/ab"), url_graph.Rule("block", "b.com", "/")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_graph.judge_urls(pages, rules).collect()}
+    assert got == {1: ("b.com/", "block"), 2: ("com/ab", "allow")}
+
+
 # --- op5 ------------------------------------------------------------------------------------------------------------
 
 
