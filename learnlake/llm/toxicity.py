@@ -113,7 +113,8 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n_features:
         w, b = w - step[:-1], b - step[-1]
     # Where the correction held the risk at zero, the intercept is left too high. The one at which the
     # mean score of unlabelled text is the prior errs low instead, as strong scores use the prior up.
-    # Their mean, in log odds, is taken.
+    # Their mean, in log odds, is taken: three-fold cross-validation over rows that are not held out puts it
+    # ahead of either (README).
     f, low, high = out(u, w, 0.0), -30.0, 30.0
     for _ in range(60):
         matched = (low + high) / 2
