@@ -82,4 +82,4 @@ def load_quizzes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = rows.filter("topic <> '' and date is not null")
     quizzes = named.groupBy("topic", "date").agg(F.min("line").alias("quiz_id"))
     scores = named.filter("student_id is not null").select("topic", "date", "student_id").distinct().join(quizzes, ["topic", "date"])
-    return quizzes, scores.select("quiz_id", "student_id", F.lit(None).cast("double").alias("score"))
+    return quizzes, scores.select("quiz_id", "topic", "date", "student_id", F.lit(None).cast("double").alias("score"))

@@ -236,8 +236,8 @@ def quiz_load(spark, sf_dir):
     """One quiz for a topic and date, one open score for each student in it."""
     p = roles.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("topic"))
     lines = roles.table(spark, sf_dir, "lineitem").filter("l_quantity > 30").join(p, "l_partkey")
-    quizzes, scores = upkeep.load_quizzes(lines.select((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000) + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("line"), F.col("l_suppkey").alias("student_id"), "topic", F.to_date("l_shipdate").alias("date")))
-    return scores.join(quizzes, "quiz_id").select("topic", "date", "student_id", "quiz_id")
+    _, scores = upkeep.load_quizzes(lines.select((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000) + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("line"), F.col("l_suppkey").alias("student_id"), "topic", F.to_date("l_shipdate").alias("date")))
+    return scores.select("topic", "date", "student_id", "quiz_id")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 = 0 AND o_orderstatus <> 'X' THEN DATE '2024-01-30' ELSE CAST(o_orderdate AS DATE) END AS updated_at FROM orders")
@@ -370,3 +370,63 @@ def class_sections(spark, sf_dir):
     p = roles.table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
     heads = text.head_count(F.col("raw"))
     return p.select(F.concat(heads.cast("string"), F.lit(" heads")).alias("label"), "p_partkey", text.normalize_key(text.without_head_count(F.col("raw"))).alias("class_key"), heads.alias("heads"))
+
+
+@query("SELECT s_suppkey AS row_id, CASE WHEN s_suppkey % 3 = 1 AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier) THEN s_suppkey + 1 END AS new_id, CASE WHEN s_suppkey % 3 = 0 THEN 'valid' WHEN s_suppkey % 3 = 2 THEN 'notfound' WHEN s_suppkey + 1 IN (SELECT s_suppkey FROM supplier) THEN 'unique' ELSE 'nocand' END AS reason FROM supplier")
+def id_corrector(spark, sf_dir):
+    """Ids whose name is another student's go to that student."""
+    from learnlake.operators import corrector
+
+    name = F.substring(F.translate(F.md5(F.concat(F.lit("f"), F.col("s_suppkey").cast("string"))), "0123456789", "ghijklmnop"), 1, 10)
+    s = roles.table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name"))
+    nxt = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("name").alias("other"))
+    k = F.col("s_suppkey") % 3
+    rows = s.join(nxt, "s_suppkey", "left").select(F.col("s_suppkey").alias("row_id"), F.when(k == 2, F.col("s_suppkey") + 5_000_000).otherwise(F.col("s_suppkey")).alias("student_id"), F.when(k == 1, F.coalesce("other", F.lit("zz"))).otherwise(F.col("name")).alias("name"))
+    return corrector.correct_ids(rows, s.select(F.col("s_suppkey").alias("student_id"), F.col("name").alias("roster_name")))
+
+
+@query("SELECT line, CASE WHEN k THEN 'duplicate number' WHEN line % 7 = 0 THEN 'join date' END AS problem FROM (SELECT c_custkey AS line, c_custkey % 100 >= 90 AND c_custkey >= 100 AS k FROM customer) WHERE k OR line % 7 = 0 UNION ALL SELECT c_custkey, 'gender' FROM customer WHERE NOT (c_custkey % 100 >= 90 AND c_custkey >= 100) AND c_custkey % 7 <> 0 AND c_custkey % 4 > 1 UNION ALL SELECT c_custkey, 'birth date' FROM customer WHERE NOT (c_custkey % 100 >= 90 AND c_custkey >= 100) AND c_custkey % 11 = 0")
+def members_load(spark, sf_dir):
+    """Which member rows are refused or left open, and why."""
+    from learnlake.operators import loaders
+
+    k = F.col("c_custkey")
+    # the last ten of each hundred repeat the numbers of the first hundred's
+    number = F.when((k % 100 >= 90) & (k >= 100), k % 100).otherwise(k)
+    rows = roles.table(spark, sf_dir, "customer").select(
+        k.alias("line"), F.concat(F.lit("No. "), number.cast("string")).alias("number"), F.col("c_name").alias("name"), F.when(k % 11 == 0, "31.13.1990").otherwise("1.2.1990").alias("birth_date"),
+        F.when(k % 7 == 0, "soon").otherwise("5/6/2020").alias("join_date"), F.when(k % 4 == 0, "x").alias("male"), F.when(k % 4 == 1, "x").otherwise(" ").alias("female"),
+    )
+    return loaders.load_members(rows)[1]
+
+
+@query("SELECT title, class_date, student_id, class_id FROM (SELECT p_type AS title, CAST(l_shipdate AS DATE) AS class_date, l_suppkey AS student_id FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL) JOIN (SELECT p_type AS title, CAST(l_shipdate AS DATE) AS class_date, min((l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000) AS class_id FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL) USING (title, class_date)")
+def coaching_load(spark, sf_dir):
+    """A class for a topic and date, and a student in it once."""
+    from learnlake.operators import loaders
+
+    p = roles.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit(" "), "p_type", F.lit("  ")).alias("topic"))
+    lines = roles.table(spark, sf_dir, "lineitem").join(p, "l_partkey")
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000
+    _, members = loaders.load_coaching(lines.select(line.alias("line"), F.col("l_suppkey").alias("student_id"), F.to_date("l_shipdate").alias("date"), "topic"))
+    return members.select("title", "class_date", "student_id", "class_id")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'fewer names' WHEN 1 THEN 'fewer ids' END AS problem, b.book_id, b.book_name FROM (SELECT o_orderkey, unnest(CASE o_orderkey % 3 WHEN 0 THEN [{'book_id': 'a', 'book_name': 'X'}, {'book_id': 'b', 'book_name': 'Y'}, {'book_id': 'c', 'book_name': 'Y'}] WHEN 1 THEN [{'book_id': 'a', 'book_name': 'X'}, {'book_id': '', 'book_name': 'Y'}] ELSE [{'book_id': 'a', 'book_name': 'X'}] END) AS b FROM orders)")
+def offline_section(spark, sf_dir):
+    """One row for each book of a visit."""
+    from learnlake.operators import loaders
+
+    k = F.col("o_orderkey") % 3
+    o = roles.table(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 0, "a, b,c").otherwise("a").alias("ids"), F.when(k == 2, "X").otherwise("X,Y").alias("names"))
+    return loaders.offline_section(o, text.split_list(F.col("ids")), text.split_list(F.col("names"))).select("o_orderkey", "problem", "book_id", "book_name")
+
+
+@query(with_roles("SELECT student_id, day, pair, CASE WHEN m_in % 10 = 0 THEN 'no arrival' WHEN m_out IS NULL THEN 'open' WHEN m_in % 10 = 1 THEN 'departure before arrival' END AS problem FROM pairs WHERE m_in % 10 < 2 OR m_out IS NULL", "pairs"))
+def attendance_section(spark, sf_dir):
+    """Attendance rows that need a look."""
+    from learnlake.operators import loaders
+
+    p = punches.pairs(roles.punches(spark, sf_dir)).withColumnRenamed("m_in", "a").withColumnRenamed("m_out", "b")
+    _, review = loaders.attendance_section(p, F.when(F.col("a") % 10 != 0, F.col("a")), F.when(F.col("a") % 10 == 1, F.when(F.col("b").isNotNull(), F.col("a") - 1)).otherwise(F.col("b")))
+    return review.select("student_id", "day", "pair", "problem")

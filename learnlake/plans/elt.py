@@ -138,7 +138,10 @@ def canonicalizer_fold(spark, sf_dir):
     return elt.canonicalise(p.select("p_partkey", slipped.alias("name")), "name", "p_partkey")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS sheet, event_id AS line, CASE WHEN event_id % 97 = 0 THEN CAST(CAST(ts AS DATE) - INTERVAL 24 MONTH AS DATE) ELSE CAST(ts AS DATE) END AS date, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+    w(sheet, rn, line, date, fixed, good) AS (SELECT sheet, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DATE), CAST(NULL AS DATE), CAST(NULL AS DATE) FROM (SELECT DISTINCT sheet FROM e) UNION ALL
+    SELECT sheet, rn, line, date, f, coalesce(f, good) FROM (SELECT w.sheet, e.rn, e.line, e.date, w.good, list_extract(list_filter([e.date, TRY_CAST(strftime(w.good, '%Y') || strftime(e.date, '-%m-%d') AS DATE)], lambda x: x BETWEEN DATE '2020-01-01' AND DATE '2024-01-31' AND (w.good IS NULL OR abs(x - w.good) <= 60)), 1) AS f FROM w JOIN e ON e.sheet = w.sheet AND e.rn = w.rn + 1))
+    SELECT sheet, line, date, fixed FROM w WHERE rn > 0""")
 def date_carry_forward(spark, sf_dir):
     """Dates of a sheet that can't be, repaired from the row above; a sheet a student."""
     e = roles.punches(spark, sf_dir)

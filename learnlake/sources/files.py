@@ -124,3 +124,53 @@ def write_snapshot(df: DataFrame, path: str, least_rows: int = 1) -> None:
     if n < least_rows:
         raise ValueError(f"{n} rows; a snapshot of fewer than {least_rows} would replace a good one")
     df.write.mode("errorifexists").parquet(path)
+
+
+def read_review(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The review ledger's rows; none where nothing was ever written."""
+    return spark.read.schema(schema).json(path) if _place(spark, path)[1] else spark.createDataFrame([], schema)
+
+
+def reset_review(spark: SparkSession, path: str) -> None:
+    """An empty ledger, as a load begins."""
+    fs, there = _place(spark, path)
+    if there:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, fs.exists(place)
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The complete versions of a snapshot folder, oldest first; a version without its _SUCCESS mark isn't one."""
+    fs, there = _place(spark, path)
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [s.getPath().toString() for s in fs.listStatus(path_of(path))] if there else []
+    return sorted(p for p in found if fs.exists(path_of(f"{p}/_SUCCESS")))
+
+
+def write_version(df: DataFrame, path: str, name: str, least_rows: int = 1) -> None:
+    """A version under a name that sorts by age (a time, say); readers see it once it is complete."""
+    write_snapshot(df, f"{path}/{name}", least_rows)
+
+
+def read_version(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """The newest complete version, or the one of a name."""
+    found = [v for v in versions(spark, path) if name is None or v.rpartition("/")[2] == name]
+    if not found:
+        raise ValueError(f"no complete version{f' {name}' if name else ''} in {path}")
+    return spark.read.parquet(found[-1])
+
+
+def prune_versions(spark: SparkSession, path: str, keep: int) -> list[str]:
+    """Deletes all complete versions but the newest ``keep`` (1 or more); returns what went."""
+    if keep < 1:
+        raise ValueError("one version at least is kept")
+    fs, _ = _place(spark, path)
+    gone = versions(spark, path)[:-keep]
+    for p in gone:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p), True)
+    return gone
