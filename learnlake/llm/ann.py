@@ -148,22 +148,22 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+def _matrix(column: pd.Series, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
 
 
-def _flat(df: DataFrame, dim: int) -> DataFrame:
-    """Distinct (vec_id, v) with v as bytes, and a hash of v that tells rows with one vec_id apart."""
+def _flat(df: DataFrame, dim: int, kind: str) -> DataFrame:
+    """Distinct (vec_id, v) with v as bytes of numpy's ``kind``, and a hash of v that tells rows with one vec_id apart."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "v": [np.asarray(v, np.float64).tobytes() for v in frame["v"]]})
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "v": [(np.asarray(v, kind) + 0).tobytes() for v in frame["v"]]})  # + 0: no negative zeros
 
     flat = df.filter(F.size("v") == dim).mapInPandas(run, "vec_id long, v binary")
     return flat.dropDuplicates(["vec_id", "v"]).withColumn("mark", F.xxhash64("v"))
 
 
-def best_by_code(codes: DataFrame, asked: DataFrame, quantiser, most: int) -> DataFrame:
+def best_by_code(codes: DataFrame, asked: DataFrame, quantiser, most: int, kind: str) -> DataFrame:
     """(query_id, query_mark, vec_id, mark): for each query the ``most`` best by code of a block, ties to the smaller vec_id.
 
     Both tables have block and part. A task takes its blocks one after the
@@ -212,7 +212,7 @@ def best_by_code(codes: DataFrame, asked: DataFrame, quantiser, most: int) -> Da
                     held = [held[0]]
                 for a in range(0, len(own), 64):
                     some = own.iloc[a : a + 64]
-                    yield scan(*block, some["vec_id"].to_numpy(), some["mark"].to_numpy(), _matrix(some["body"]))
+                    yield scan(*block, some["vec_id"].to_numpy(), some["mark"].to_numpy(), _matrix(some["body"], kind))
 
     return rows.mapInPandas(run, "query_id long, query_mark long, vec_id long, mark long, rough float")
 
@@ -232,8 +232,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     Every vector is scanned by its code; ``oversample`` * k of them are scored exactly.
     """
     spark = vectors.sparkSession
+    # components travel as the four bytes that they have in both tables, else as eight
+    kind = "<f4" if all(df.schema["embedding"].dataType.elementType.typeName() == "float" for df in (vectors, queries)) else "<f8"
     clean = lambda df: df.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("v")
     )
     data, asked = clean(vectors), clean(queries)
     lengths = data.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
@@ -241,15 +243,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, rows = lengths[0]["dim"], lengths[0]["count"]
 
-    data, asked = _flat(data, dim), materialize(_flat(asked, dim))
+    data, asked = _flat(data, dim, kind), materialize(_flat(asked, dim, kind))
     alike = Window.partitionBy("v").orderBy("vec_id")
     data = materialize(data.withColumn("_k", F.row_number().over(alike)).filter(F.col("_k") <= k + 1).drop("_k"))
-    known = _matrix(data.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).toPandas().sort_values(["vec_id"])["v"])
+    known = _matrix(data.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).toPandas().sort_values(["vec_id"])["v"], kind)
     quantiser = spark.sparkContext.broadcast(fit_quantiser(known))
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            near, code = quantiser.value.encode(_matrix(frame["v"])) if len(frame) else ([], np.empty((0, 0), np.uint8))
+            near, code = quantiser.value.encode(_matrix(frame["v"], kind)) if len(frame) else ([], np.empty((0, 0), np.uint8))
             yield pd.DataFrame({"vec_id": frame["vec_id"], "mark": frame["mark"], "near": near, "body": [c.tobytes() for c in packed(code).T]})
 
     n_blocks, n_parts = -(-rows // BLOCK), -(-max(1, asked.count()) // QUERY_BLOCK)
@@ -258,14 +260,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     dealt = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "mark"), F.lit(n_parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     most = oversample * k
     rough = Window.partitionBy("query_id", "query_mark").orderBy(F.desc("rough"), "vec_id", "mark")
-    chosen = best_by_code(codes, dealt, quantiser, most).withColumn("_k", F.row_number().over(rough)).filter(F.col("_k") <= most)
+    chosen = best_by_code(codes, dealt, quantiser, most, kind).withColumn("_k", F.row_number().over(rough)).filter(F.col("_k") <= most)
     q = asked.select(F.col("vec_id").alias("query_id"), F.col("mark").alias("query_mark"), F.col("v").alias("q"))
     met = chosen.select("query_id", "query_mark", "vec_id", "mark").join(data, ["vec_id", "mark"]).join(q, ["query_id", "query_mark"])
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                yield frame[["query_id", "query_mark", "vec_id"]].assign(score=np.einsum("ij,ij->i", _matrix(frame["v"]), _matrix(frame["q"])))
+                yield frame[["query_id", "query_mark", "vec_id"]].assign(score=np.einsum("ij,ij->i", _matrix(frame["v"], kind), _matrix(frame["q"], kind)))
 
     scored = met.mapInPandas(score, "query_id long, query_mark long, vec_id long, score double")
     best = Window.partitionBy("query_id", "query_mark").orderBy(F.desc("score"), "vec_id")

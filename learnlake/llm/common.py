@@ -72,10 +72,9 @@ BROADCAST_ROWS = 50_000
 
 
 def checked_broadcast(df: DataFrame) -> DataFrame:
-    """df, stored and marked for broadcast if it has few rows; else joined as two plain exchanges, which
-    adaptive execution can split for a hot key."""
-    df = materialize(df)
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, marked for broadcast if it is counted to have few rows; else stored, so that it is joined as two plain
+    exchanges, which adaptive execution can split for a hot key."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else materialize(df)
 
 
 def release(spark: SparkSession) -> None:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm.common import by_range, checked_broadcast, hash_ranges, lower_words, materialize, mix64, release, small_batches, unused_name
+from learnlake.llm.common import BROADCAST_ROWS, by_range, checked_broadcast, hash_ranges, lower_words, materialize, mix64, release, small_batches, unused_name
 
 #: Documents and characters that are hashed together.
 BATCH_DOCS, BATCH_CHARS = 1_500, 2_500_000
@@ -45,6 +45,8 @@ BATCH_DOCS, BATCH_CHARS = 1_500, 2_500_000
 HASH_BITS, LOW_BYTES = 56, 5
 #: Rows of a block of the product.
 BLOCK_ROWS = 256
+#: Edges of one partition while components are found.
+ROWS_A_PART = 500_000
 #: Cells of a dense column chunk, and entries whose columns are numbered at once.
 CHUNK_CELLS, SLICE = 2_000_000, 1_000_000
 
@@ -365,15 +367,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(k, comp) of every end of an edge (a, b): comp is the smallest k of its component.
 
     Labels spread over the edges and then jump to their label's label, so long
-    chains need few rounds. Each round is written to the checkpoint folder.
+    chains need few rounds. Each round is written to the checkpoint folder. The
+    table of labels is broadcast if it is counted to be small, else shuffled.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = materialize(both.groupBy(F.col("a").alias("k")).agg(F.least(F.col("k"), F.min("b")).alias("comp")))
+    parts = both.count() // ROWS_A_PART + 1  # few edges are few files and tasks a round, whatever the session's partitions
+    both = both.coalesce(parts)
+    label = materialize(both.groupBy(F.col("a").alias("k")).agg(F.least(F.col("k"), F.min("b")).alias("comp")).coalesce(parts))
+    few = label.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # the table keeps its size from round to round
+    table = lambda *columns: F.broadcast(label.select(*columns)) if few else label.select(*columns)
     while True:
-        near = both.join(label.select(F.col("k").alias("b"), "comp"), "b").groupBy(F.col("a").alias("k")).agg(F.min("comp").alias("near"))
-        better = label.join(near, "k").select("k", F.least("comp", "near").alias("next"), F.col("comp").alias("old"))
-        jump = label.select(F.col("k").alias("next"), F.col("comp").alias("far"))
-        moved = materialize(better.join(jump, "next").select("k", F.least("next", "far").alias("comp"), "old"))
+        near = both.join(table(F.col("k").alias("b"), "comp"), "b").groupBy(F.col("a").alias("k")).agg(F.min("comp").alias("near"))
+        better = near.join(table("k", "comp"), "k").select("k", F.least("comp", "near").alias("next"), F.col("comp").alias("old"))
+        jump = table(F.col("k").alias("next"), F.col("comp").alias("far"))
+        moved = materialize(better.join(jump, "next").select("k", F.least("next", "far").alias("comp"), "old").coalesce(parts))
         changed = moved.filter("comp <> old").limit(1).count()
         label = moved.select("k", "comp")
         if not changed:

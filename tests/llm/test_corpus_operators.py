@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from learnlake.llm import ann, decontaminate, lm_scoring, ngram_join, packing, quality, sharding, toxicity, url_graph, warc
+from learnlake.llm import ann, common, decontaminate, lm_scoring, ngram_join, packing, quality, sharding, toxicity, url_graph, warc
 from learnlake.llm.common import lower_words
 from learnlake.llm.queries import tokenizer_path
 
@@ -216,9 +216,11 @@ def brute_components(rows, size, percent):
     return [(r[0], len(sets[k]), min(groups[root(k)]) if root(k) in groups else None) for k, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block", [3, 256])
-def test_jaccard_components_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, few", [(3, 50_000), (256, 0)])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, block, few):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
     monkeypatch.setattr(ngram_join, "CHUNK_CELLS", 64)
     rng = random.Random(5)
     texts = []
