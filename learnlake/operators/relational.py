@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-# --- filters, lists -------------------------------------------------------------------------------------------------
-
-
 def where_all(df: DataFrame, *conditions: Column | None) -> DataFrame:
     """Conjunction of the conditions that are given; None is skipped."""
     given = [c for c in conditions if c is not None]
@@ -58,9 +55,6 @@ def required(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     return tagged.filter("problem = ''").drop("problem"), tagged.filter("problem <> ''")
 
 
-# --- joins ----------------------------------------------------------------------------------------------------------
-
-
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if a count shows that it is small; else joined as the planner likes."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -84,9 +78,6 @@ def date_band(events: DataFrame, activities: DataFrame, days: int = 2) -> DataFr
     return wide.join(activities.withColumnRenamed("date", "_day"), ["student_id", "_day"]).withColumnRenamed("_day", "activity_date")
 
 
-# --- aggregates -----------------------------------------------------------------------------------------------------
-
-
 def exact_sum(c: Column | str, scale: int = 2) -> Column:
     """A sum of money or marks that doesn't depend on the order of rows."""
     return F.sum(F.col(c).cast(f"decimal(18,{scale})") if isinstance(c, str) else c.cast(f"decimal(18,{scale})")).cast("double")
@@ -111,9 +102,6 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-# --- windows --------------------------------------------------------------------------------------------------------
-
-
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row of each group: the first in the order given."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
@@ -137,9 +125,6 @@ def islands(days: DataFrame) -> DataFrame:
     return runs.groupBy("student_id", "_i").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count(F.lit(1)).alias("length")).drop("_i")
 
 
-# --- tables as they change ------------------------------------------------------------------------------------------
-
-
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """New rows replace old ones of the same key; an anti join and a union."""
     return old.join(new.select(*keys), list(keys), "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)

@@ -31,8 +31,6 @@ class Centre:
     def read(cls, spark: SparkSession, folder: str) -> Centre:
         return cls(spark, {n: spark.read.schema(schemas.of(n)).parquet(f"{folder}/{n}") for n in schemas.DDL})
 
-    # --- students, subscriptions --------------------------------------------------------------------------------
-
     def students(self, today: Day, search: str | None = None, label: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
         """A page of students by name and id, with valid_until. Labels: present, new, expiring, active, inactive."""
         t = F.lit(today)
@@ -79,8 +77,6 @@ class Centre:
         n = self.t["digital_library_usage"].filter("subscription_id is not null").groupBy("subscription_id").agg(F.count(F.lit(1)).alias("uses"))
         return n.join(self.t["subscriptions"].select("subscription_id", "name"), "subscription_id").orderBy(F.desc("uses"), "name").limit(k)
 
-    # --- lists --------------------------------------------------------------------------------------------------
-
     def attendance(self, student_id: int | None = None, since: Day | None = None, until: Day | None = None, session: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
         a = rel.where_all(self.t["attendance"], rel.optional("student_id", student_id), rel.optional("session", session), rel.date_range("date", since, until))
         return rel.page(a, F.desc("date"), "session", "check_in", "attendance_id", limit=limit, offset=offset, most=500)
@@ -128,8 +124,6 @@ class Centre:
         rows = rel.where_all(self.t["other_activities_attendance"], rel.optional("activity_id", activity_id)).join(self.t["other_activities"].drop("notes"), "activity_id")
         return self._roster(rows)
 
-    # --- extracts -----------------------------------------------------------------------------------------------
-
     def extracts(self) -> dict[str, DataFrame]:
         """The eight sheets, as text with '' for null."""
         names = self.t["students"].select("student_id", "name")
@@ -155,8 +149,6 @@ class Centre:
     def sync_outcome(done: int, total: int) -> str:
         return "Success" if done == total else "Partial" if done else "Failed"
 
-    # --- dashboards ---------------------------------------------------------------------------------------------
-
     def assessment_rows(self) -> DataFrame:
         """Exams and quizzes as one stream of percentages beside their batch averages."""
         parts = []
@@ -189,8 +181,6 @@ class Centre:
         study = self.estimated_minutes().groupBy("student_id").agg(F.sum("estimated").alias("estimated_minutes"))
         return reduce(lambda a, b: a.join(b, "student_id", "left"), [self.t["students"].select("student_id", "name"), rate, streak, spent, scores, study])
 
-    # --- checks -------------------------------------------------------------------------------------------------
-
     def validate(self, today: Day) -> DataFrame:
         """V1 to V7 as severity, problem and n."""
         t, checks = self.t, []

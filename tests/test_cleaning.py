@@ -196,9 +196,6 @@ def test_catalogue_plan_and_apply(spark):
     assert final["1900"] == ("History", 33) and "680" not in final and final["801"] == ("Physics", 1)
 
 
-# --- standing attendance --------------------------------------------------------------------------------------------
-
-
 @pytest.mark.parametrize("clock, standing, rows, outcomes", [
     (["9:00", "17:00"], [("Full Day", 580, 1080)], [("Full Day", 540, 1020, 420)], ["applied", "applied"]),
     (["9:30"], [("Morning", 540, 720)], [("Morning", 540, 720, 180)], ["duplicate"]),
@@ -226,9 +223,6 @@ def test_today_opens_a_row_and_the_next_day_closes_it(spark):
     assert [r["outcome"] for r in outcomes.collect()] == ["pending"]
 
 
-# --- upkeep ---------------------------------------------------------------------------------------------------------
-
-
 def test_archive_then_clear(spark, tmp_path):
     logs = spark.createDataFrame([("f1", dt.datetime(2024, 1, 1)), ("f2", dt.datetime(2024, 1, 2))], "fingerprint string, punch_time timestamp")
     cleared = []

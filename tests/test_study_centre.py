@@ -23,9 +23,6 @@ def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
 
-# --- expressions ----------------------------------------------------------------------------------------------------
-
-
 @pytest.mark.parametrize("raw, strict, clamped", [
     ("31.09.2021", None, "2021-09-30"), ("1/2/21", "2021-02-01", "2021-02-01"), ("5-6-1999", "1999-06-05", "1999-06-05"), ("29.02.2023", None, "2023-02-28"),
     ("12/13/2020", None, None), ("", None, None), ("7 8", None, None), ("1.1.27", "1927-01-01", "1927-01-01"), (None, None, None),
@@ -88,9 +85,6 @@ def test_edit_distance(a, b, n):
     assert similarity.osa(a, b) == n
 
 
-# --- punches --------------------------------------------------------------------------------------------------------
-
-
 def day(spark, *clock):
     rows = [(k, 1001, dt.datetime(2024, 1, 5, *map(int, t.split(":"))), "0") for k, t in enumerate(clock)]
     return spark.createDataFrame(rows, "punch_id long, student_id long, punch_time timestamp, status string")
@@ -128,9 +122,6 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, batch)) == sorted(tuple(r[c] for c in batch[0].asDict()) for r in streamed)
 
 
-# --- cleaning -------------------------------------------------------------------------------------------------------
-
-
 def test_id_merges(spark):
     uses = {"a": {"1680": 433, "680": 5, "168": 1, "801": 4}, "b": {"81": 50, "081": 2}, "c": {"1377": 100, "1377936": 2}, "d": {"1543": 30, "1544": 25}, "e": {"100": 3, "200": 2}, "f": {"P-247": 10, "247": 2}, "g": {"1680": 100, "1860": 1}}
     rows = [(t, i, n) for t, ids in uses.items() for i, n in ids.items()]
@@ -192,9 +183,6 @@ def test_table_maintenance(spark):
     assert not quality.failed(found)
 
 
-# --- files ----------------------------------------------------------------------------------------------------------
-
-
 def test_register_headers_with_parts_in_the_wrong_column(spark, tmp_path):
     register = tmp_path / "marks.csv"
     register.write_text(",,Polity,1.2.24,50,\n1,Asha,12,,,40\n,,19.12.2025,A&R Exam,,25 Marks\n1,Asha,12,,,20\n,,,20.12.2025,,\n1,Asha,12,,,7\n,,,,9,\n2,Ravi,13,,,8\n,,Essay,,,\n2,Ravi,13,,,5\n")
@@ -224,9 +212,6 @@ def test_files(spark, tmp_path):
         files.write_snapshot(ledger.limit(0), str(tmp_path / "s"))
 
 
-# --- queries --------------------------------------------------------------------------------------------------------
-
-
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
