@@ -33,9 +33,6 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-# --- op4 ------------------------------------------------------------------------------------------------------------
-
-
 @pytest.mark.parametrize("total", [1, 2, 3, 16, 17, 1000, 65_537])
 def test_permutation_is_a_bijection_with_an_inverse(total):
     p = sharding.Permutation(total, 9)
@@ -62,9 +59,6 @@ def test_shards_are_even_and_reproducible(spark):
     assert sharding.shard_documents(empty(spark)).count() == 0
 
 
-# --- op6 ------------------------------------------------------------------------------------------------------------
-
-
 def test_pieces_are_whole_documents_by_the_public_tokenizer(spark):
     from tokenizers import Tokenizer
 
@@ -125,8 +119,6 @@ def test_exact_complements_are_found():
     assert sum(t for l, t in plan if sum(l) == 100) == 3
 
 
-# --- op8 ------------------------------------------------------------------------------------------------------------
-
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -189,9 +181,6 @@ def test_a_benchmark_of_several_automata_hits_what_one_hits(spark, monkeypatch):
             assert r["text"] == by_id[r["doc_id"]]
 
 
-# --- op10 -----------------------------------------------------------------------------------------------------------
-
-
 def brute_components(rows, size, percent):
     sets = []
     for _, t, *_ in rows:
@@ -270,9 +259,6 @@ def test_sorted_numbers_survive_packing():
         assert (ngram_join.unpack_sorted(ngram_join.pack_sorted(x)) == x).all()
 
 
-# --- op3 ------------------------------------------------------------------------------------------------------------
-
-
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_backoff_scores_equal_brute_force(spark, order):
     rng = random.Random(order)
@@ -301,9 +287,6 @@ def test_backoff_scores_equal_brute_force(spark, order):
     assert lm_scoring.score_documents(empty(spark)).count() == 0
 
 
-# --- op1 ------------------------------------------------------------------------------------------------------------
-
-
 def test_nearest_vectors_with_refused_repeated_and_crowded_ones(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 300)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
@@ -367,8 +350,6 @@ def test_recall_where_a_twentieth_of_all_rows_is_scored_exactly(spark):
     assert hits / (20 * len(queries)) >= 0.95
 
 
-# --- op2 ------------------------------------------------------------------------------------------------------------
-
 RULES = [url_graph.Rule("allow", "com", "/"), url_graph.Rule("block", "bad.com", "/x/"), url_graph.Rule("block", "net", "/")]
 
 
@@ -406,9 +387,6 @@ def test_ties_of_rules_go_to_the_smaller_text_however_many_there_are(spark, monk
     assert got == {1: ("b.com/", "block"), 2: ("com/ab", "allow")}
 
 
-# --- op5 ------------------------------------------------------------------------------------------------------------
-
-
 def test_warc_round_trip(spark, tmp_path):
     html = '<html lang=de><title>A &amp; B</title><script>var t="</p>";</script><!-- x --><p title="a>b">Eins<b>zwei</b><br>drei&nbsp;vier</p><a href="/u">l</a>'
     pages = spark.createDataFrame([(1, "http://a/\r\nX: y", html, 0), (2, None, None, 0), (None, "http://b", "", 0), (3, "http://c", "<p" * 5000, 0), (3, "http://c", "<p" * 5000, 0)], "page_id long, url string, html string, record int")
@@ -436,9 +414,6 @@ def test_metadata_has_every_distinct_outlink():
     assert [x[len("outlink: "):] for x in meta.decode().split("\r\n") if x.startswith("outlink")] == want
 
 
-# --- op7, op9 -------------------------------------------------------------------------------------------------------
-
-
 def made_up(spark, n=900):
     rng = random.Random(8)
     rows, labels = [], []

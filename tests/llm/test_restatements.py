@@ -19,9 +19,6 @@ from learnlake.llm.common import numbered
 M = 1 << 64
 
 
-# --- op4 ------------------------------------------------------------------------------------------------------------
-
-
 def mixed(x):
     x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % M
     x = (x ^ (x >> 27)) * 0x94D049BB133111EB % M
@@ -67,8 +64,6 @@ def test_numbers_take_any_column_names(spark):
     assert sorted(r["row_no"] for r in got) == [0, 1, 2, 3] and {r["n_rows"] for r in got} == {4} and set(names) < set(got[0].asDict())
 
 
-# --- op5 ------------------------------------------------------------------------------------------------------------
-
 BLOCK = set("p div br li ul h1 h2 table tr section title".split())
 
 
@@ -130,9 +125,6 @@ def test_derivatives_equal_what_a_parser_finds(spark):
         assert conv["refers_to"] == meta["refers_to"] and conv["target_uri"] == url and conv["block_length"] == len(block)
 
 
-# --- op7, op9 -------------------------------------------------------------------------------------------------------
-
-
 def test_scores_follow_from_the_weights(spark):
     rng = random.Random(1)
     weights = {b"vile ": 2.0, b"vile": 1.5, b"nasty": 0.7, b"\xc3\xa9cole": -1.0, b"good ": -3.0}
@@ -203,9 +195,6 @@ def test_quality_follows_from_the_evidence(spark):
     assert pairs((r["doc_id"], r["own"], r["quality"]) for r in got) == pairs((r[0], o, q) for r, o, q in zip(rows, own, want))
 
 
-# --- pipeline -------------------------------------------------------------------------------------------------------
-
-
 def write(spark, folder, docs):
     docs.write.parquet(f"{folder}/documents.parquet")
     for t in ("labels", "benchmark"):
