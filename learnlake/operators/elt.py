@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnlake.functions import similarity, text
+from learnlake.operators import relational as rel
+from learnlake.session import stored
 
 #: Shares and counts of the merge rules (fixed values).
 MERGE, REVIEW = 0.90, 0.78
@@ -153,11 +155,6 @@ def resolve_chains(merges: DataFrame) -> DataFrame:
     return _followed(at.join(members, "source", "left_anti"), rounds).unionByName(still)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder, which cuts the lineage; without one the plan stays as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def id_merge_plan(uses: DataFrame) -> DataFrame:
     """title, id, n, suggested and action for ids of a title other than its commonest.
 
@@ -192,7 +189,7 @@ def near_titles(titles: DataFrame) -> DataFrame:
     t = stored(t)
     sizes = t.groupBy("n").agg(F.min("title").alias("first"))
     sizes = sizes.withColumn("above", F.lead("n").over(Window.orderBy("n")))  # one row for each number of rows that occurs
-    counted = t.join(F.broadcast(sizes), "n") if sizes.count() <= 10_000 else t.join(sizes, "n")
+    counted = t.join(rel.checked_broadcast(sizes), "n")
     may = counted.filter((F.col("n") <= RARE_ROWS) | ((F.col("title") == F.col("first")) & (F.col("n") <= RARE_SHARE * F.col("above"))))
     sides = []
     for df in (may, t):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from learnlake.functions import text
 from learnlake.operators import elt
+from learnlake.session import stored
 
 #: Agreement with the recorded names that a repair needs, and its lead over the next best.
 AGREEMENT, MARGIN = 0.6, 0.05
@@ -102,11 +103,11 @@ def normalise_ids(records: DataFrame) -> DataFrame:
     blank = F.coalesce("id", F.lit(""))
     r = records.select("line", blank.alias("raw"), F.coalesce("name", F.lit("")).alias("name"))
     cells = r.select("line", canonical_id(F.col("raw")).alias("cid"), "name")
-    valid = elt.stored(cells.filter("cid <> ''").select(F.col("cid").alias("known")).distinct())
+    valid = stored(cells.filter("cid <> ''").select(F.col("cid").alias("known")).distinct())
     n = cells.filter("cid <> '' and name <> ''").groupBy("cid", "name").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
     top = n.withColumn("_r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("n"), "line"))).filter("_r = 1")
-    titles = elt.stored(top.select(F.col("cid").alias("tid"), F.col("name").alias("title")))
-    names = elt.stored(r.filter("name <> ''").select(text.collapse_ws(F.col("name")).alias("known_name")).distinct())
+    titles = stored(top.select(F.col("cid").alias("tid"), F.col("name").alias("title")))
+    names = stored(r.filter("name <> ''").select(text.collapse_ws(F.col("name")).alias("known_name")).distinct())
     number = r"^\s*\d+\s*$"
     # an id in the name's place
     moved = r.withColumn("as_id", F.when((F.col("raw") == "") & F.col("name").rlike(number), F.trim("name"))).join(valid, F.col("as_id") == F.col("known"), "left")
@@ -226,7 +227,7 @@ def finalise_catalogue(uses: DataFrame) -> DataFrame:
     top = Window.partitionBy("id").orderBy(F.desc("n"), "title")
     usual = n.withColumn("_r", F.row_number().over(top)).filter("_r = 1").select("id", F.col("title").alias("_usual"))
     filled = uses.join(usual, "id", "left").withColumn("title", F.when(F.coalesce("title", F.lit("")) == "", F.coalesce("_usual", F.lit(""))).otherwise(F.col("title"))).drop("_usual")
-    filled = elt.stored(filled)
-    after = apply_catalogue(filled, elt.stored(plan_catalogue(filled)))
+    filled = stored(filled)
+    after = apply_catalogue(filled, stored(plan_catalogue(filled)))
     n = after.filter("id <> ''").groupBy("id", "title").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("_r", F.row_number().over(top)).filter("_r = 1").select("id", "title", "n")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnlake.functions import sessions, times
+from learnlake.session import stored
 
 
 def _by_day() -> Window:
@@ -138,8 +139,7 @@ def with_standing_rows(punches: DataFrame, standing: DataFrame, today, window: i
         return frame.astype({c: "Int64" for c in ("punch_id", "m_in", "m_out", "minutes")})
 
     keys = ["student_id", "day"]
-    folded = p.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInPandas(fold, OUTCOMES)
-    folded = folded.checkpoint() if punches.sparkSession.sparkContext.getCheckpointDir() else folded
+    folded = stored(p.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInPandas(fold, OUTCOMES))
     outcomes = folded.filter("kind = 'punch'").select(*keys, "punch_id", "outcome")
     rows = folded.filter("kind = 'row'").drop("kind", "punch_id", "outcome")
     checks_in = outcomes.filter("outcome in ('pending', 'applied')").select(*keys).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -110,12 +110,11 @@ def archive(punches: DataFrame, path: str) -> int:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         new = new.join(spark.read.parquet(path).select("fingerprint"), "fingerprint", "left_anti")
-    new = new.persist()
-    n = new.count()
-    if n:
-        new.write.mode("append").partitionBy("archive_day").parquet(path)
-    new.unpersist()
-    return n
+    if not new.limit(1).count():
+        return 0
+    counted = Observation()
+    new.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("archive_day").parquet(path)
+    return counted.get["n"]
 
 
 def write_snapshot(df: DataFrame, path: str, least_rows: int = 1) -> None:

@@ -9,7 +9,6 @@ one replaces disappears there.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from learnlake.functions import sessions, times
+from learnlake.session import shared_folder
 
 TTL_DAYS = 30
 STATE = "last int, pending int, pair int, done int"
@@ -113,8 +113,7 @@ def drain(stream: DataFrame, folder: str) -> str:
 
 
 def drained_attendance(spark: SparkSession, path: str, window: int = 1) -> DataFrame:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="learnlake-")
-    out = drain(pair_stream(stream_of(spark, path), window), f"{base}/stream-{uuid.uuid4().hex}")
+    out = drain(pair_stream(stream_of(spark, path), window), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
     return newest_sessions(spark.read.parquet(out))
 
 
