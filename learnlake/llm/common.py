@@ -150,3 +150,25 @@ def numbered(df: DataFrame, buckets: int = 4096) -> DataFrame:
         .withColumn(at, F.explode(F.sequence(F.col(chunk_at), F.least(F.col(chunk_at) + (chunk - 1), F.col(count) - 1))))
     )
     return placed.select(*map(quoted, cols), (F.col(first) + F.col(at)).alias("row_no"), "n_rows")
+
+
+def in_order(df: DataFrame, by: list[str], size: str | None = None) -> tuple[DataFrame, int]:
+    """df with ``row_no``, a row's place (from 0) in the order of the columns ``by``, nulls first, and the number of places.
+
+    A row takes as many places as its column ``size`` says, one without it. The
+    ranges are dealt by sampled bounds and stored once, so that all that follows
+    sees the same ranges; each range numbers its own rows and only its total,
+    one row a partition, is summed up in one task. Equal rows have equal bounds:
+    they should have been counted into one row with a size.
+    """
+    part, base, before = (unused_name(df, f"_{x}") for x in ("part", "base", "before"))
+    order = [quoted(c).asc_nulls_first() for c in by]
+    places = F.lit(1).cast("long") if size is None else quoted(size).cast("long")
+    ranged = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    totals = ranged.groupBy(part).agg(F.sum(places).alias(before))
+    running = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(part, F.coalesce(F.sum(before).over(running), F.lit(0)).alias(base), before)
+    inside = F.coalesce(F.sum(places).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn(before, inside).join(F.broadcast(starts.select(part, base)), part)
+    found = placed.select(*map(quoted, df.columns), (F.col(base) + F.col(before)).alias("row_no"))
+    return found, totals.agg(F.sum(before)).first()[0] or 0

