@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm import ann, decontaminate, lm_scoring, merkle, ngram_join, oracles, packing, quality, sharding, toxicity, url_graph, warc
+from learnlake.llm import ann, decontaminate, lm_scoring, merkle, mixing, ngram_join, oracles, packing, quality, sharding, toxicity, url_graph, warc
 from learnlake.llm.common import read
 
 
@@ -99,6 +99,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
 QUERIES = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op2_url_trust": op2_url_trust,
@@ -111,6 +115,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_entropy_mix": op12_entropy_mix,
 }
 
 #: The others are permutations by hash, trained models, packings and digests in base 32, which are tested otherwise.
