@@ -100,3 +100,17 @@ def merkle_manifest(levels: int, top_levels: int) -> str:
     g0 AS MATERIALIZED (SELECT tree, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS m FROM l), {", ".join(steps)},
     f AS (SELECT l.doc_id, l.leaf, g.h AS subroot, r.h AS root, sha256({proof}) AS proof_sha256, l.f, {columns} FROM l JOIN g{levels} g ON g.tree = l.tree CROSS JOIN r{top_levels} r {joins}), {", ".join(folds)}
     SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS verified FROM {now}"""
+
+
+def spelling_variants(loss: int, length: int, least: int, ratio: int) -> str:
+    """Words as read, near words by their texts with one character left out, and chains of forms."""
+    return f"""WITH RECURSIVE crc AS MATERIALIZED {_CRC_TABLE},
+    r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+    h AS MATERIALIZED (SELECT run, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run", "crc.t")} AS h FROM r, crc WHERE length(run) >= {length}),
+    w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % {loss} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h) WHERE length(word) >= {length} GROUP BY word HAVING sum(n) >= {least}),
+    d AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    p AS MATERIALIZED (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.i = b.i AND a.v = b.v AND a.word <> b.word UNION SELECT d.word, w.word FROM d JOIN w ON w.word = d.v UNION SELECT w.word, d.word FROM d JOIN w ON w.word = d.v),
+    b AS (SELECT p.a AS word, p.b AS form, w.n AS form_n, count(*) OVER (PARTITION BY p.a) AS n_near, row_number() OVER (PARTITION BY p.a ORDER BY w.n DESC, p.b) AS k FROM p JOIN w ON w.word = p.b),
+    f AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= {ratio} * w.n THEN b.form END AS form, CASE WHEN b.form_n >= {ratio} * w.n THEN b.form_n END AS form_n FROM w LEFT JOIN b ON b.word = w.word AND b.k = 1),
+    c(word, root) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f e ON e.word = c.root WHERE e.form IS NULL"""

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm import ann, decontaminate, lm_scoring, merkle, mixing, ngram_join, oracles, packing, quality, sharding, toxicity, url_graph, warc
+from learnlake.llm import ann, decontaminate, lm_scoring, merkle, mixing, ngram_join, oracles, packing, quality, sharding, spelling, toxicity, url_graph, warc
 from learnlake.llm.common import read
 
 
@@ -103,6 +103,10 @@ def op12_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op2_url_trust": op2_url_trust,
@@ -116,6 +120,7 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_entropy_mix": op12_entropy_mix,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: The others are permutations by hash, trained models, packings and digests in base 32, which are tested otherwise.
@@ -125,4 +130,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": oracles.decontamination(decontaminate.WINDOW),
     "op10_ngram_jaccard": oracles.ngram_jaccard(4, 85),
     "op11_merkle_manifest": oracles.merkle_manifest(5, 4),
+    "op13_spelling_variants": oracles.spelling_variants(spelling.LOSS, spelling.MIN_LENGTH, spelling.MIN_COUNT, spelling.MIN_RATIO),
 }
