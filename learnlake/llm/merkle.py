@@ -99,7 +99,7 @@ def grown(spark: SparkSession, first: DataFrame, groups: int) -> DataFrame:
     spark.createDataFrame(events.mapPartitions(lambda rows: climb(rows, groups)), NODE).write.parquet(f"{base}/0")
     rounds = 0
     while not (frontier := spark.read.schema(NODE).parquet(f"{base}/{rounds}").filter("kind = 'part'")).isEmpty():
-        waiting = frontier.rdd.map(lambda r: ((r.tree, r.level, r.index), (r.size, dict(zip(r.slots, r.children, strict=True)))))
+        waiting = frontier.rdd.map(lambda r: ((r["tree"], r["level"], r["index"]), (r["size"], dict(zip(r["slots"], r["children"], strict=True)))))
         merged = waiting.combineByKey(lambda x: x, joined, joined, max(1, parts >> rounds))
         rounds += 1
         spark.createDataFrame(merged.mapPartitions(lambda rows: climb(rows, groups)), NODE).write.parquet(f"{base}/{rounds}")
