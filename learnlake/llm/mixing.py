@@ -81,7 +81,7 @@ def balanced(classes: DataFrame, sources: DataFrame, most: int = MOST) -> DataFr
         {"full": F.col("target") >= F.col("source_size") * most, "multiplier": F.lit(0.0), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "met": F.col("source_size") == 0}
     )
     state = materialize(state.withColumn("met", F.col("met") | F.col("full")))
-    while not (open_ := state.filter("not met")).isEmpty():
+    while (open_ := state.filter("not met")).head(1):
         words = F.col("n") * F.col("size") * rate(most)
         slope = F.when(F.col("multiplier") * F.col("size") / F.col("mean") < math.log(most), words * F.col("size") / F.col("mean"))
         joined = classes.filter("size > 0").join(checked_broadcast(open_), ["has", "name"])
@@ -89,7 +89,7 @@ def balanced(classes: DataFrame, sources: DataFrame, most: int = MOST) -> DataFr
         moved = state.join(sums, ["has", "name"], "left").withColumn("over", F.col("given") - F.col("target"))
         moved = moved.withColumns(
             {
-                "met": F.col("met") | (F.abs("over") <= F.greatest(F.lit(1e-3), F.col("target") * TOLERANCE)) | (F.col("high") - F.col("low") <= F.abs("multiplier") * 1e-15),
+                "met": F.col("met") | (F.abs("over") <= F.greatest(F.lit(1e-3), F.col("target") * TOLERANCE)) | F.coalesce(F.col("high") - F.col("low") <= F.abs("multiplier") * 1e-15, F.lit(False)),
                 "low": F.when(F.col("over") < 0, F.col("multiplier")).otherwise(F.col("low")),
                 "high": F.when(F.col("over") > 0, F.col("multiplier")).otherwise(F.col("high")),
             }
