@@ -175,3 +175,28 @@ def punch_stream(spark, sf_dir):
     from learnlake.streaming import punches
 
     return punches.drained_attendance(spark, f"{sf_dir}/events.parquet")
+
+
+#: A student's day, punch by punch: what is open, what is closed, and whether it was a check-in.
+_LIVE = """WITH RECURSIVE p AS MATERIALIZED (SELECT user_id AS student_id, CAST(ts AS DATE) AS date, hour(ts) * 60 + minute(ts) AS m, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events),
+    r AS (SELECT student_id, date, 0 AS k, CAST(NULL AS BIGINT) AS latest, CAST(NULL AS BIGINT) AS start, CAST([] AS STRUCT(s VARCHAR, a BIGINT, b BIGINT)[]) AS rows FROM (SELECT DISTINCT student_id, date FROM p)
+        UNION ALL SELECT student_id, date, k, m AS latest,
+            CASE WHEN again OR (start IS NOT NULL AND m <= start) THEN start WHEN start IS NOT NULL THEN NULL WHEN len(list_filter(rows, lambda x: x.a <= m AND m <= x.b OR x.s = CASE WHEN m >= 780 THEN 'Afternoon' ELSE 'Morning' END)) > 0 THEN NULL ELSE m END,
+            CASE WHEN again OR start IS NULL OR m <= start THEN rows ELSE list_append(list_filter(rows, lambda x: x.s <> made), struct_pack(s := made, a := start, b := m)) END
+        FROM (SELECT r.student_id, r.date, p.k, p.m, r.start, r.rows, coalesce(p.m - r.latest BETWEEN 0 AND 1, FALSE) AS again, CASE WHEN r.start >= 780 THEN 'Afternoon' WHEN p.m <= 840 THEN 'Morning' ELSE 'Full Day' END AS made
+            FROM r JOIN p ON p.student_id = r.student_id AND p.date = r.date AND p.k = r.k + 1)),
+    e AS MATERIALIZED (SELECT *, max(date) OVER (PARTITION BY student_id) AS last FROM r QUALIFY row_number() OVER (PARTITION BY student_id, date ORDER BY k DESC) = 1),
+    c AS (SELECT student_id, date, unnest(rows, recursive := true) FROM e),
+    o AS (SELECT student_id, date, start, date < last OR date + INTERVAL 1 DAY < (SELECT max(ts) - INTERVAL 1 DAY FROM events) AS stale, CASE WHEN start >= 780 THEN 'Afternoon' ELSE 'Full Day' END AS final FROM e WHERE start IS NOT NULL),
+    n AS (SELECT student_id, date, s AS session, a AS m_in, b AS m_out FROM c UNION ALL SELECT student_id, date, CASE WHEN stale THEN final WHEN start >= 780 THEN 'Afternoon' ELSE 'Morning' END, start, CASE WHEN stale THEN 1439 END FROM o WHERE NOT stale OR NOT EXISTS (SELECT 1 FROM c WHERE c.student_id = o.student_id AND c.date = o.date AND c.s = o.final))
+    SELECT student_id, date, session, CAST(m_in AS INTEGER) AS m_in, CAST(m_out AS INTEGER) AS m_out, CAST(CASE WHEN m_in >= 780 THEN m_out - m_in WHEN m_out <= 840 THEN least(m_out, 780) - m_in ELSE 780 - m_in + m_out - 840 END AS INTEGER) AS minutes FROM n"""
+
+
+@query(_LIVE)
+def live_attendance(spark, sf_dir):
+    """Every punch captured as it is made: rows open and close at once, stale ones end at 23:59."""
+    from learnlake.streaming import machine, punches
+
+    raw = punches.stream_of(spark, f"{sf_dir}/events.parquet")
+    changed = machine.drained(spark, machine.changes(machine.captured(raw, F.col("punch_time"))))
+    return machine.rows_of(changed)
