@@ -171,10 +171,10 @@ def review_histogram(spark, sf_dir):
 
 @query(with_roles("SELECT student_id, date, session, m_in, m_out, minutes FROM sessions", "sessions"))
 def punch_stream(spark, sf_dir):
-    """The scanner's stream through the state machine, drained once."""
+    """A full read of the scanner through the state machine, drained once."""
     from learnlake.streaming import punches
 
-    return punches.drained_attendance(spark, f"{sf_dir}/events.parquet")
+    return punches.drained_attendance(spark, f"{sf_dir}/events.parquet", F.lit("2024-02-15 12:00:00").cast("timestamp"))
 
 
 #: A student's day, punch by punch: what is open, what is closed, and whether it was a check-in.

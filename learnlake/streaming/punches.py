@@ -1,89 +1,13 @@
-"""The scanner's stream as a keyed state machine.
-
-Punches are deduplicated by fingerprint within the ledger's retention, keyed by
-student and day, and paired as they come. State is a few numbers a student and
-day and expires once the watermark is ``TTL_DAYS`` past the day. Each batch emits the sessions it changed;
-the sink keeps the newest version of a session, so an older pair that a newer
-one replaces disappears there.
-"""
+"""The scanner's files as a stream, and what its state machine makes of them."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from learnlake.functions import sessions, times
-from learnlake.session import shared_folder
-
-TTL_DAYS = 30
-STATE = "last int, pending int, pair int, done int"
-OUTPUT = "student_id long, date date, pair int, m_in int, m_out int, seq int"
-
-
-def fold_day(minutes: list[int], state: tuple[int, int, int, int], window: int = 1) -> tuple[list[tuple[int, int, int]], tuple[int, int, int, int]]:
-    """Completed (pair, in, out) and the new (last, pending, pair, done) after a day's further punches; -1 is none.
-
-    A punch within ``window`` minutes after the one before is swallowed but
-    moves the window; one that comes before its forerunner counts as later work
-    does: it is told apart from a debounce and pairs in order of arrival.
-    """
-    last, pending, pair, done = state
-    out = []
-    for m in minutes:
-        close = last >= 0 and 0 <= m - last <= window
-        last = m
-        if close:
-            continue
-        if pending < 0:
-            pending = m
-        else:
-            pair += 1
-            done += 1
-            out.append((pair, min(pending, m), max(pending, m)))
-            pending = -1
-    return out, (last, pending, pair, done)
-
 
-def _step(window: int) -> Callable:
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["punch_time", "punch_id"])
-        before = tuple(state.get) if state.exists else (-1, -1, 0, 0)
-        out, after = fold_day(rows["m"].astype(int).tolist(), before, window)
-        state.update(tuple(int(x) for x in after))
-        student, day = key
-        end = int(pd.Timestamp(day).timestamp() * 1000) + (TTL_DAYS + 1) * 86_400_000
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            [(student, day, p, a, b, p) for p, a, b in out],
-            columns=["student_id", "date", "pair", "m_in", "m_out", "seq"],
-        )
-
-    return run
-
-
-def pair_stream(punches: DataFrame, window: int = 1) -> DataFrame:
-    """A stream of completed pairs from a stream of punches (punch_id, student_id, punch_time, status)."""
-    named = punches.withColumn("fingerprint", sessions.fingerprint(F.lit("D1"), F.col("student_id"), F.col("punch_time"), F.concat_ws(":", "status", "punch_id")))
-    once = named.withWatermark("punch_time", f"{TTL_DAYS} days").dropDuplicatesWithinWatermark(["fingerprint"])
-    keyed = once.withColumn("day", F.to_date("punch_time")).withColumn("m", times.minute_of(F.col("punch_time")))
-    return keyed.groupBy("student_id", "day").applyInPandasWithState(_step(window), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def newest_sessions(pairs: DataFrame) -> DataFrame:
-    """The last pair of each session, as the batch form gives it."""
-    m_in, m_out = F.col("m_in"), F.col("m_out")
-    named = pairs.withColumn("session", sessions.live_session(m_in, m_out))
-    last = Window.partitionBy("student_id", "date", "session").orderBy(F.desc("pair"))
-    named = named.withColumn("_r", F.row_number().over(last)).filter("_r = 1")
-    return named.select("student_id", "date", "session", "m_in", "m_out", sessions.live_duration(m_in, m_out).alias("minutes"))
+from learnlake.streaming import machine
 
 
 def stream_of(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -104,17 +28,10 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
-def drain(stream: DataFrame, folder: str) -> str:
-    """Runs a stream over all that is there and returns the folder of its output; a second call adds nothing twice."""
-    out = f"{folder}/pairs"
-    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(out)
-    run.awaitTermination()
-    return out
-
-
-def drained_attendance(spark: SparkSession, path: str, window: int = 1) -> DataFrame:
-    out = drain(pair_stream(stream_of(spark, path), window), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
-    return newest_sessions(spark.read.parquet(out))
+def drained_attendance(spark: SparkSession, path: str, captured_at: Column, window: int = 1) -> DataFrame:
+    """The complete rows of a full read of the scanner's files at ``captured_at``: all days before it are past days."""
+    changed = machine.drained(spark, machine.changes(machine.captured(stream_of(spark, path), captured_at), window=window))
+    return machine.rows_of(changed).filter("m_out is not null")
 
 
 def notify(stream: DataFrame, send: Callable[[DataFrame, int], None], folder: str):
