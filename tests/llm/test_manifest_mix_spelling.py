@@ -297,7 +297,7 @@ def test_chains_of_forms_end_at_their_root(spark):
 
 def test_ties_long_words_and_lost_characters(spark):
     long = "ab" * 20_000
-    rows = [(k, t) for k, t in enumerate(["kettle kettla kettlb"] * 9 + ["kettlec kettled mettle"] * 30 + [long] * 6 + [long + "c"] * 40 + [long[1:]] * 5 + [None, "", "ab " * 50])]
+    rows = [(k, t) for k, t in enumerate(["kettle kettla kettlb"] * 9 + ["kettlec kettled mettle"] * 60 + [long] * 6 + [long + "c"] * 40 + [long[1:]] * 5 + [None, "", "ab " * 50])]
     got = {r["word"]: r for r in checked_variants(spark, rows)}
     assert got["kettle"]["form"] in ("kettlec", "kettled", "mettle") and got["kettle"]["n_near"] >= 5 and got[long]["form"] == long + "c"
 
