@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnlake.functions import similarity, text
+from learnlake.operators import alike
 from learnlake.operators import relational as rel
 from learnlake.session import stored
 
@@ -33,13 +34,6 @@ def numbered_parts(parts: Column) -> Column:
     return F.when(F.size(parts) > 0, whole).otherwise(F.array().cast("array<string>"))
 
 
-def letter_pairs(c: Column) -> Column:
-    """All pairs of neighbouring letters, numbered; of up to four letters the single ones too."""
-    n = F.length(c)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.substr(c, k, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(numbered_parts(pairs), F.when((n > 0) & (n <= 4), F.array_distinct(F.split(c, ""))).otherwise(F.array().cast("array<string>")))
-
-
 def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b) of distinct strings s of both sides that share one of their first ``keep`` parts, rarest first.
 
@@ -54,35 +48,12 @@ def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
     return first[0].select("part", F.col("s").alias("a")).join(first[1].select("part", F.col("s").alias("b")), "part").select("a", "b").distinct()
 
 
-def _by_ratio(df: DataFrame, least: float) -> DataFrame:
-    """s with parts and keep for strings whose matching ratio may be ``least`` or more.
-
-    Of S letters of two strings 2 * M match, M in blocks that an unmatched
-    letter parts, so that there are S - 2 * M + 1 blocks at most and they hold
-    3 * M - S - 1 pairs of neighbours, at least. M is least * S / 2 or more, and
-    S no less than 2 / (2 - least) times a string's own letters. Without a common
-    pair S is 5 at most (from REVIEW on), for which single letters count.
-    """
-    if least < REVIEW:
-        raise ValueError(f"strings meet by bounds that hold from a ratio of {REVIEW} on, not {least}")
-    n = F.length("s")
-    common = F.greatest(F.ceil((1.5 * least - 1) * 2 * n / (2 - least) - 1 - 1e-9), F.lit(1))
-    return df.select("s", letter_pairs(F.col("s")).alias("parts"), F.when(n <= 4, 2 * n).otherwise(n - 1 - common + 1).alias("keep"))
-
-
 def _by_dice(df: DataFrame, parts: Column, least: float) -> DataFrame:
     """s with parts and keep for strings of whose parts, by Dice's index, ``least`` may be common."""
     n = F.size("parts")
     return df.select("s", parts.alias("parts")).withColumn("keep", n - F.ceil(n * least / (2 - least) - 1e-9) + 1)
 
 
-def alike_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, ratio) of all strings s of both sides whose matching ratio is at least ``least`` (REVIEW or more)."""
-    la, lb = F.length("a"), F.length("b")
-    met = meeting(_by_ratio(left, least), _by_ratio(right, least)).filter(2 * F.least(la, lb) >= F.lit(least) * (la + lb) - 1e-9)
-    return met.withColumn("ratio", similarity.matching_ratio("a", "b")).filter(F.col("ratio") >= least)
-
-
 def fold_spellings(spellings: DataFrame, key: str, seen: str) -> DataFrame:
     """key, canonical key and action of each distinct key, in the order in which they were first seen.
 
@@ -99,10 +70,9 @@ def fold_spellings(spellings: DataFrame, key: str, seen: str) -> DataFrame:
     first = groups.groupBy("letters").agg(F.min(order).alias("x")).select("letters", F.col("x.key").alias("first"))
     anagrams = groups.join(first, "letters").filter("first <> key").select("key", F.col("first").alias("target"), F.lit("merge").alias("action"))
     s = keys.select(F.col("key").alias("s"))
-    la, lb = F.length("a"), F.length("b")
-    met = meeting(_by_ratio(s, REVIEW), _by_ratio(s, REVIEW)).filter("a <> b").filter(2 * F.least(la, lb) >= F.lit(REVIEW) * (la + lb) - 1e-9)
+    met = alike.segment_pairs(s, s, REVIEW).filter("a <> b")
     own, other = keys.select(F.col("key").alias("a"), order.alias("at")), keys.select(F.col("key").alias("b"), order.alias("before"))
-    met = met.join(own, "a").join(other, "b").filter("before < at").withColumn("ratio", similarity.matching_ratio("a", "b")).filter(F.col("ratio") >= REVIEW)
+    met = met.join(own, "a").join(other, "b").filter("before < at").filter(alike.may_match("a", "b", REVIEW)).withColumn("ratio", similarity.matching_ratio("a", "b")).filter(F.col("ratio") >= REVIEW)
     best = Window.partitionBy("a").orderBy(F.desc("ratio"), "before")
     best = met.withColumn("_r", F.row_number().over(best)).filter("_r = 1").join(anagrams.select(F.col("key").alias("a")), "a", "left_anti")
     near = best.select(F.col("a").alias("key"), F.col("b").alias("target"), F.when(F.col("ratio") >= MERGE, "merge").otherwise("review").alias("action"))
@@ -168,7 +138,9 @@ def id_merge_plan(uses: DataFrame) -> DataFrame:
     same_kind = text.id_prefix(F.col("id")) == text.id_prefix(F.col("top"))
     rare = (F.col("n") <= RARE_IDS) & (F.col("n") <= RARE_ID_SHARE * F.col("top_n"))
     a, b = text.id_rest(F.col("id")), text.id_rest(F.col("top"))
-    near = (a == b) | F.contains(a, b) | F.contains(b, a) | (similarity.osa_distance(a, b) <= 1)
+    # an exchange of neighbours is two edits otherwise, so the rest needn't be looked at
+    few = F.levenshtein(a, b, 2) >= 0
+    near = (a == b) | F.contains(a, b) | F.contains(b, a) | F.coalesce(similarity.osa_distance(F.when(few, a), F.when(few, b)) <= 1, F.lit(False))
     action = F.when(~same_kind, "not_similar").when(~rare, "not_rare").when(near, "merge").otherwise("wrong_id_by_title")
     return other.select("title", "id", "n", F.col("top").alias("suggested"), action.alias("action"))
 
@@ -199,20 +171,23 @@ def near_titles(titles: DataFrame) -> DataFrame:
         sides.append((s.select("s").distinct(), pairs, tokens, sounds))
     (a, pairs, ta, sa), (b, _, tb, sb) = sides
     split = numbered_parts(F.split("s", " "))
-    by_letters = meeting(_by_ratio(a, REVIEW), _by_ratio(b, REVIEW)).unionByName(meeting(_by_dice(a, pairs, REVIEW), _by_dice(b, pairs, REVIEW))).distinct()
+    by_letters = alike.candidates(a, b, REVIEW).unionByName(meeting(_by_dice(a, pairs, REVIEW), _by_dice(b, pairs, REVIEW))).distinct()
     by_words = meeting(_by_dice(ta, split, REVIEW), _by_dice(tb, split, REVIEW))
-    by_sound = meeting(_by_ratio(sa, SOUND), _by_ratio(sb, SOUND))
+    by_sound = alike.candidates(sa, sb, SOUND)
     joined = lambda met, key: may.select("title", key.alias("a")).join(met, "a").join(t.select(F.col("title").alias("target"), key.alias("b")), "b").select("title", "target")
     met = joined(by_letters, F.col("s")).unionByName(joined(by_words, F.array_join("words", " "))).unionByName(joined(by_sound, F.col("sound"))).distinct()
     own = t.select("title", F.col("n").alias("source_n"), F.col("s").alias("s1"), F.array_join("words", " ").alias("w1"), F.col("sound").alias("k1"))
     other = t.select(F.col("title").alias("target"), F.col("n").alias("target_n"), F.col("s").alias("s2"), F.array_join("words", " ").alias("w2"), F.col("sound").alias("k2"))
     met = met.join(own, "title").join(other, "target").filter("target_n > source_n or (target_n = source_n and target < title)")
     both = (F.length("s1") > 1) & (F.length("s2") > 1)
-    score = F.greatest(similarity.matching_ratio("s1", "s2"), text.token_dice(F.col("w1"), F.col("w2")), F.when(both, text.bigram_dice(F.col("s1"), F.col("s2"))).otherwise(F.lit(0.0)))
-    met = met.withColumn("score", score).withColumn("sound", F.when((F.col("k1") == "") | (F.col("k2") == ""), F.lit(0.0)).otherwise(similarity.matching_ratio("k1", "k2")))
-    alike = (F.col("sound") >= SOUND) & (F.length("k1") + F.length("k2") >= SOUND_LENGTH) & (F.col("score") >= SOUND_SPELLING)
+    dice = F.greatest(text.token_dice(F.col("w1"), F.col("w2")), F.when(both, text.bigram_dice(F.col("s1"), F.col("s2"))).otherwise(F.lit(0.0)))
+    # the ratio counts where it may be the highest; keys of one sound decide what the letters leave open
+    met = met.withColumn("dice", dice).withColumn("open", alike.may_match("s1", "s2", F.col("dice"))).withColumn("heard", (F.col("k1") != "") & (F.col("k2") != ""))
+    met = stored(met)
+    met = met.withColumn("score", F.greatest("dice", alike.ratio_where(F.col("open"), "s1", "s2"))).withColumn("sound", alike.ratio_where(F.col("heard"), "k1", "k2"))
+    one_sound = (F.col("sound") >= SOUND) & (F.length("k1") + F.length("k2") >= SOUND_LENGTH) & (F.col("score") >= SOUND_SPELLING)
     best = Window.partitionBy("title").orderBy(F.desc("score"), "target_n", F.desc("target"))
-    found = met.filter((F.col("score") >= REVIEW) | alike).withColumn("_r", F.row_number().over(best)).filter("_r = 1")
+    found = met.filter((F.col("score") >= REVIEW) | one_sound).withColumn("_r", F.row_number().over(best)).filter("_r = 1")
     action = F.when(F.col("score") >= MERGE, "merge").otherwise("review")
     return found.select(F.col("title").alias("source"), "target", F.round("score", 4).alias("score"), F.round("sound", 4).alias("sound"), action.alias("action"))
 
@@ -234,7 +209,7 @@ def match_names(names: DataFrame, roster: DataFrame, least: float = 0.84) -> Dat
     rest = n.join(exact, "name", "left_anti")
     words = only(rest.join(r.select("words", "student_id"), "words"), "words")
     rest = rest.join(words, "name", "left_anti")
-    close = alike_pairs(r.select(F.col("norm").alias("s")).distinct(), rest.select(F.col("norm").alias("s")).distinct(), least)
+    close = alike.alike_pairs(r.select(F.col("norm").alias("s")).distinct(), rest.select(F.col("norm").alias("s")).distinct(), least)
     close = rest.select("name", F.col("norm").alias("b")).join(close, "b").join(r.select("student_id", F.col("norm").alias("a")), "a")
     return exact.unionByName(words).unionByName(only(close, "similar"))
 

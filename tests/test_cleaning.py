@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from learnlake.functions import similarity
-from learnlake.operators import elt, library, punches, topics, upkeep
+from learnlake.operators import alike, elt, library, punches, topics, upkeep
 from learnlake.operators import relational as rel
 
 
@@ -28,11 +28,11 @@ def test_pairs_meet_by_bounds_that_lose_none(spark):
     rng = random.Random(7)
     left, right = words(rng, 150), words(rng, 150) + words(rng, 40, "abcdefghij", 8, 30)
     for least in (0.78, 0.84, 0.95):
-        got = elt.alike_pairs(spark.createDataFrame([(x,) for x in left], "s string"), spark.createDataFrame([(x,) for x in right], "s string"), least).collect()
+        got = alike.alike_pairs(spark.createDataFrame([(x,) for x in left], "s string"), spark.createDataFrame([(x,) for x in right], "s string"), least).collect()
         want = {(a, b) for a in left for b in right if difflib.SequenceMatcher(None, a, b).ratio() >= least}
         assert {(r["a"], r["b"]) for r in got} == want
     with pytest.raises(ValueError):
-        elt.alike_pairs(spark.createDataFrame([("a",)], "s string"), spark.createDataFrame([("a",)], "s string"), 0.5)
+        alike.alike_pairs(spark.createDataFrame([("a",)], "s string"), spark.createDataFrame([("a",)], "s string"), 0.5)
 
 
 def plain_fold(keys):
@@ -312,3 +312,30 @@ def test_loaders(spark):
     members, review = loaders.load_members(spark.createDataFrame(rows, "line long, number string, name string, birth_date string, join_date string, male string, female string"))
     assert sorted((r["student_id"], r["name"], r["gender"], str(r["date_of_birth"])) for r in members.collect()) == [(12, "Asha Rao", "Female", "1990-02-01"), (15, "Anil", None, "None")]
     assert sorted(map(tuple, review.collect())) == [(3, "duplicate number"), (4, "birth date"), (4, "join date"), (6, "birth date"), (6, "gender")]
+
+
+@pytest.mark.parametrize("letters, least", [("ab", 0.78), ("abc", 0.84), ("abcdefgh", 0.9), ("ab", 0.55)])
+def test_edited_strings_meet_by_a_segment(spark, letters, least):
+    """Strings and edits of them over few letters, where segments and their shifts collide most."""
+    rng = random.Random(len(letters))
+    left = words(rng, 120, letters, 0, 14)
+    right = set(left[:20])
+    for x in left:
+        for _ in range(rng.randrange(5)):
+            k, c = rng.randrange(len(x) + 1), rng.choice(letters)
+            x = rng.choice((x[:k] + x[k + 1 :], x[:k] + c + x[k:], x[:k] + c + x[k + 1 :], x[k:] + x[:k]))
+        right.add(x)
+    df = lambda some: spark.createDataFrame([(x,) for x in some], "s string")
+    got = alike.alike_pairs(df(left), df(sorted(right)), least).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in left for b in right if a and b and difflib.SequenceMatcher(None, a, b).ratio() >= least}
+
+
+def test_few_pairs_reach_the_ratio(spark):
+    """Of names that look random at most 2 of 100 pairs are compared letter by letter."""
+    rng = random.Random(12)
+    names = ["".join(rng.choice("0123456789abcdef") for _ in range(12)) + " " + "".join(rng.choice("0123456789abcdef") for _ in range(12)) for _ in range(300)]
+    df = lambda some: spark.createDataFrame([(x,) for x in some], "s string")
+    slips = ["x" + n[1:] for n in names[:100]]
+    met = alike.candidates(df(names), df(slips), 0.84)
+    assert met.join(df(names[:100]).withColumnRenamed("s", "a"), "a").filter("substring(a, 2) = substring(b, 2)").count() == 100
+    assert met.count() <= 0.02 * len(names) * len(slips)
