@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,7 +126,7 @@ QUERIES = {
 
 #: The others are permutations by hash, trained models, packings and digests in base 32, which are tested otherwise.
 ORACLE_SQL: dict[str, str] = {
-    "op2_url_trust": oracles.url_trust(URL_RULES, url_graph.DAMPING, url_graph.ITERATIONS, url_graph.EXCESS),
+    "op2_url_trust": oracles.url_trust(URL_RULES, url_graph.DAMPING, math.ceil(math.log(url_graph.TOLERANCE, url_graph.DAMPING)), url_graph.EXCESS),
     "op3_lm_scoring": oracles.lm_scoring(lm_scoring.BACKOFF, lm_scoring.UNSEEN),
     "op8_decontamination": oracles.decontamination(decontaminate.WINDOW),
     "op10_ngram_jaccard": oracles.ngram_jaccard(4, 85),

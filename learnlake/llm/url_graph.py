@@ -22,7 +22,6 @@ from learnlake.llm.common import materialize
 #: Rules that are matched as a literal in the plan; more are joined.
 LITERAL_RULES = 1_000
 DAMPING = 0.85
-ITERATIONS = 20
 TOLERANCE = 1e-6
 #: Excess of distrust over trust, as a share of a blocked host's own, from which on a host is blocked.
 EXCESS = 0.5
@@ -97,7 +96,8 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, source: str, target: s
     """(host, score) with score = (1 - d) * seed + d * what source hosts pass on in proportion to their edges.
 
     Scores of hosts that nothing reaches are left out. A round is written to
-    the checkpoint folder; it ends when no score moves by TOLERANCE.
+    the checkpoint folder; it ends when no score moves by TOLERANCE, which comes
+    after some log(TOLERANCE) / log(DAMPING) rounds at most.
     """
     out = edges.groupBy(source).agg(F.sum("pages").alias("all"))
     flow = materialize(edges.join(out, source).select(F.col(source).alias("from"), F.col(target).alias("to"), (F.col("pages") / F.col("all")).alias("share")))
@@ -105,14 +105,13 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, source: str, target: s
     score = base = materialize(base)
     if not flow.limit(1).count():
         return base
-    for _ in range(ITERATIONS):
+    while True:
         passed = flow.join(score.withColumnRenamed("host", "from"), "from").groupBy(F.col("to").alias("host")).agg((DAMPING * F.sum(F.col("share") * F.col("score"))).alias("score"))
         new = materialize(base.unionByName(passed).groupBy("host").agg(F.sum("score").alias("score")))
         moved = new.withColumnRenamed("score", "now").join(score, "host", "left").agg(F.max(F.abs(F.col("now") - F.coalesce("score", F.lit(0.0))))).first()[0]
         score = new
         if not moved or moved < TOLERANCE:
-            break
-    return score
+            return score
 
 
 def host_scores(judged: DataFrame, edges: DataFrame) -> DataFrame:
