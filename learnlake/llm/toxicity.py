@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from learnlake.llm.common import ALNUM_LOWER, lower_words, materialize, small_batches
 from learnlake.llm.sampling import held_out, pick
 
-#: Bounds of the training sample: confirmed toxic documents, unlabelled documents.
+#: Bounds of the training sample, which parameters of fit() can change: confirmed toxic documents, unlabelled documents.
 POSITIVES, UNLABELLED = 2_000, 6_000
 FEATURES = 1_024
 #: Lengths of beginnings, in bytes.
@@ -191,8 +191,8 @@ def train(sample: DataFrame, prior: float) -> ToxicityModel:
     return ToxicityModel({f: float(w[i]) for i, f in enumerate(names)}, b, prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> ToxicityModel:
-    """Trains on at most POSITIVES toxic and UNLABELLED other documents, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicityModel:
+    """Trains on at most ``positives`` toxic and ``unlabelled`` other documents, none of them held out.
 
     The prior, where none is given, is the share of toxic among the labelled
     documents that aren't held out. A document with several labels is toxic if
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Toxic
         prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     prior = float(min(max(prior, 0.001), 0.5))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return train(materialize(sampled(plain, pick(known.filter("toxic = 1"), POSITIVES), pick(plain.filter(~held_out(F.col("doc_id"))), UNLABELLED))), prior)
+    return train(materialize(sampled(plain, pick(known.filter("toxic = 1"), positives), pick(plain.filter(~held_out(F.col("doc_id"))), unlabelled))), prior)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
