@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlake.llm.common import BROADCAST_ROWS, by_range, checked_broadcast, hash_ranges, lower_words, materialize, mix64, release, small_batches, unused_name
+from learnlake.llm.common import BROADCAST_ROWS, by_range, checked_broadcast, hash_ranges, lower_words, materialize, mix64, quoted, release, small_batches, unused_name
 
 #: Documents and characters that are hashed together.
 BATCH_DOCS, BATCH_CHARS = 1_500, 2_500_000
@@ -456,24 +456,33 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component with all its columns: the smallest doc_id, null ones last.
 
-    A document is known by a 64-bit hash of doc_id and text, so rows that repeat
-    a doc_id, or have none, are judged by their own text. Of rows that repeat
-    both one stays. Documents without words stay; those of them that have no
-    doc_id stay as often as they occur.
+    A document is known by 128 bits of hashes of doc_id and text, so rows that
+    repeat a doc_id, or have none, are judged by their own text. Of rows that
+    repeat both the first stays, in the order of all their columns, nulls first.
+    Documents without words stay; those of them that have no doc_id stay as
+    often as they occur. An empty table gives an empty one.
     """
     doc_id, name = F.col("doc_id").cast("long"), unused_name(docs, "_row")
-    identity = F.xxhash64(doc_id, F.col("text").cast("string"))
-    named = docs.select(identity.alias("doc_id"), "text")
+    first, second = unused_name(docs, "_first"), unused_name(docs, "_second")
+    hashes = {first: F.xxhash64(doc_id, F.col("text").cast("string")), second: F.xxhash64(F.col("text").cast("string"), doc_id)}
+    rows = materialize(docs.select(*[h.alias(c) for c, h in hashes.items()], doc_id.alias("own")).distinct())
+    # the first 64 bits name a row, but where those of two rows meet the second are mixed in
+    met = materialize(rows.groupBy(first).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(first))
+    known_by = lambda df: df.withColumn(name, F.col(first))
+    if met.limit(1).count():
+        twice = checked_broadcast(met.withColumnRenamed(first, second + "_"))
+        known_by = lambda df: df.join(twice, F.col(first) == F.col(second + "_"), "left").withColumn(name, F.when(F.col(second + "_").isNull(), F.col(first)).otherwise(F.xxhash64(first, second))).drop(second + "_")
+    marked = known_by(docs.withColumns(hashes)).drop(first, second)
+    named = marked.select(F.col(name).alias("doc_id"), "text")
     found = materialize(jaccard_components(named, size, percent).select(F.col("doc_id").alias(name), "component_id", "n_shingles"))
-    ids = docs.select(identity.alias(name), doc_id.alias("own")).distinct()
     known = found.groupBy(name, "component_id", "n_shingles").agg(F.count(F.lit(1)).alias("copies"))
-    known = materialize(known.join(ids, name))
+    known = materialize(known.join(known_by(rows).select(name, "own"), name))
     stays = known.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", name)).alias("x")).select(f"x.{name}")
     gone = known.select(name).join(stays, name, "left_anti")
-    marked = docs.withColumn(name, identity)
     kept = marked.join(gone, name, "left_anti")
     repeated = known.filter("copies > 1 and (n_shingles > 0 or own is not null)").select(name)
     if repeated.limit(1).count():
-        once = kept.join(repeated, name, "left_semi").dropDuplicates([name])
-        kept = kept.join(repeated, name, "left_anti").unionByName(once)
+        order = [F.to_json(F.struct(quoted(f.name))) if "map<" in f.dataType.simpleString() else quoted(f.name) for f in docs.schema]
+        again = kept.join(repeated, name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*map(quoted, docs.columns)), F.struct(*order)).alias(name + "_"))
+        kept = kept.join(repeated, name, "left_anti").select(docs.columns).unionByName(again.select(f"{name}_.*"))
     return kept.select(docs.columns)
