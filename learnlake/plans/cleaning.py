@@ -28,7 +28,7 @@ _TOPIC_SQL = """raw AS (SELECT c_custkey, n_nationkey, n_regionkey, n_name, c_mk
 
 def _topics(spark, sf_dir):
     c = roles.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    c = c.join(F.broadcast(roles.table(spark, sf_dir, "nation").filter("n_nationkey < 100")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.join(rel.checked_broadcast(roles.table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("c_custkey") % 6
     raw = (
         F.when(k == 0, F.concat(F.lit('"'), "n_name", F.lit(' Exam"'))).when(k == 1, F.concat(F.lit("N. "), F.col("n_nationkey").cast("string"), F.lit(" (11)")))

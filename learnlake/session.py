@@ -28,7 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     own = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="learnlake-")
     if not spark.sparkContext.getCheckpointDir():
