@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,52 +65,45 @@ def prune(ledger: DataFrame, today, oldest, days: int = 30) -> DataFrame:
     return ledger.filter(~gone)
 
 
-OUTCOMES = "student_id long, day date, kind string, punch_id long, outcome string, session string, m_in int, m_out int, minutes int"
-
-
-def _live(start: int, end: int) -> tuple[str, int]:
-    """sessions.live_session and live_duration of one pair."""
-    if start >= sessions.LUNCH:
-        return "Afternoon", end - start
-    if end <= sessions.AFTER:
-        return "Morning", min(end, sessions.LUNCH) - start
-    return "Full Day", (sessions.LUNCH - start) + (end - sessions.AFTER)
-
-
-def _day(punches: list[tuple[int, int]], rows: list[list], is_today: bool, window: int) -> tuple[list[tuple[int, str]], list[list]]:
-    """Outcomes (punch_id, outcome) of a day's punches (punch_id, minute) and its rows (session, in, out, minutes) after them."""
-    latest = pending = None
-    outcomes: dict[int, str] = {}
-    for punch, m in punches:
-        if latest is not None and 0 <= m - latest <= window:
-            outcomes[punch], latest = "debounced", m
-            continue
-        latest = m if latest is None else max(latest, m)
-        spanned = any(r[2] is not None and r[1] <= m <= r[2] for r in rows)
-        waiting = next((r for r in rows if r[2] is None), None) if is_today else pending
-        start = None if waiting is None else waiting[1]
-        if waiting is None:
-            session = "Afternoon" if m >= sessions.LUNCH else "Morning"
-            if spanned or (is_today and any(m in (r[1], r[2]) or r[0] == session for r in rows)):
-                outcomes[punch] = "duplicate"
-                continue
-            outcomes[punch] = "pending"
-            waiting = [session, m, None, None, punch]
-            if is_today:
-                rows.append(waiting)
-            else:
-                pending = waiting
-        elif m <= start:
-            outcomes[punch] = "duplicate"
-        else:
-            session, minutes = _live(start, m)
-            rows[:] = [r for r in rows if r is not waiting and r[0] != session]  # what the scanner saw replaces a standing row
-            rows.append([session, start, m, minutes])
-            outcomes[punch] = "applied"
-            if len(waiting) > 4:
-                outcomes[waiting[4]] = "applied"
-            pending = None
-    return list(outcomes.items()), rows
+#: What a student's day is folded into: the latest minute, the past day's check-in that waits, rows and outcomes.
+ROW = "session string, m_in int, m_out int, minutes int, punch_id long"
+DAY = f"struct<latest: int, waiting: int, waiting_id: long, rows: array<struct<{ROW}>>, outcomes: array<struct<punch_id: long, outcome: string>>>"
+
+
+def _row(session: Column, m_in: Column, m_out: Column, minutes: Column, punch_id: Column) -> Column:
+    return F.struct(session.alias("session"), m_in.cast("int").alias("m_in"), m_out.cast("int").alias("m_out"), minutes.cast("int").alias("minutes"), punch_id.cast("long").alias("punch_id"))
+
+
+def _judged(day: Column, punch: Column, window: int) -> Column:
+    """A day after one more punch (m, punch_id), by the rules of ``with_standing_rows``."""
+    m, rows, today = punch["m"], day["rows"], F.col("today")
+    none, long_none = F.lit(None).cast("int"), F.lit(None).cast("long")
+    again = F.coalesce((m - day["latest"]).between(0, window), F.lit(False))
+    open_ = F.get(F.filter(rows, lambda r: r["m_out"].isNull()), F.lit(0))
+    start = F.when(today, open_["m_in"]).otherwise(day["waiting"])
+    start_id = F.when(today, open_["punch_id"]).otherwise(day["waiting_id"])
+    early = F.when(m >= sessions.LUNCH, "Afternoon").otherwise("Morning")
+    spanned = F.exists(rows, lambda r: F.coalesce((r["m_in"] <= m) & (m <= r["m_out"]), F.lit(False)))
+    taken = today & F.exists(rows, lambda r: (r["m_in"] == m) | F.coalesce(r["m_out"] == m, F.lit(False)) | (r["session"] == early))
+    final, minutes = sessions.live_session(start, m), sessions.live_duration(start, m)
+
+    def after(outcome: str, waiting: Column = day["waiting"], waiting_id: Column = day["waiting_id"], kept: Column = rows, told: Column = day["outcomes"]) -> Column:
+        own = F.struct(punch["punch_id"].alias("punch_id"), F.lit(outcome).alias("outcome"))
+        return F.struct(
+            F.greatest(day["latest"], m).alias("latest"), waiting.alias("waiting"), waiting_id.alias("waiting_id"), kept.alias("rows"), F.array_append(told, own).alias("outcomes")
+        ).cast(DAY)
+
+    opened = F.when(today, F.array_append(rows, _row(early, m, none, none, punch["punch_id"]))).otherwise(rows)
+    closed = F.filter(rows, lambda r: ~(today & r["m_out"].isNull() & (r["m_in"] == start)) & (r["session"] != final))
+    closed = F.array_append(closed, _row(final, start, m, minutes, long_none))
+    told = F.transform(day["outcomes"], lambda o: F.when(o["punch_id"] == start_id, F.struct(o["punch_id"].alias("punch_id"), F.lit("applied").alias("outcome"))).otherwise(o))
+    return (
+        F.when(again, after("debounced"))
+        .when(start.isNull() & (spanned | taken), after("duplicate"))
+        .when(start.isNull(), after("pending", F.when(~today, m), F.when(~today, punch["punch_id"]), opened))
+        .when(m <= start, after("duplicate"))
+        .otherwise(after("applied", none, long_none, closed, told))
+    )
 
 
 def with_standing_rows(punches: DataFrame, standing: DataFrame, today, window: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -122,27 +114,29 @@ def with_standing_rows(punches: DataFrame, standing: DataFrame, today, window: i
     completed pair replaces the standing row of its session. A past day's first
     punch waits in the ledger; today's opens a row. Rows open on an earlier day
     close at 23:59 when a later day brings a check-in, or go beside a closed
-    row of that session. What a punch means depends on those before it, so a
-    student's day is one small ordered fold; days are independent of each other.
-    """
-    p = punches.select("student_id", F.to_date("punch_time").alias("day"), "punch_id", "punch_time", times.minute_of(F.col("punch_time")).alias("m"))
-    s = standing.select("student_id", F.col("date").alias("day"), "session", "m_in", "m_out", "minutes")
-
-    def fold(key, own, rows):
-        own = own.sort_values(["punch_time", "punch_id"])
-        rows = rows.sort_values(["m_in", "session"])
-        whole = lambda v: None if v is None or v != v else int(v)
-        before = [[r.session, whole(r.m_in), whole(r.m_out), whole(r.minutes)] for r in rows.itertuples()]
-        found, after = _day([(int(i), int(m)) for i, m in zip(own["punch_id"], own["m"])], before, key[1] == today, window)
-        out = [(*key, "punch", i, o, None, None, None, None) for i, o in found] + [(*key, "row", None, None, *r[:4]) for r in after]
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in OUTCOMES.split(", ")])
-        return frame.astype({c: "Int64" for c in ("punch_id", "m_in", "m_out", "minutes")})
+    row of that session.
 
+    What a punch means depends on what those before it left, so each student's
+    day is one ordered fold, as an expression over an array. Of one minute the
+    first punch decides and all others repeat it: they are counted before
+    anything is shuffled, and no day has more than 1,440 minutes.
+    """
     keys = ["student_id", "day"]
-    folded = stored(p.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInPandas(fold, OUTCOMES))
-    outcomes = folded.filter("kind = 'punch'").select(*keys, "punch_id", "outcome")
-    rows = folded.filter("kind = 'row'").drop("kind", "punch_id", "outcome")
-    checks_in = outcomes.filter("outcome in ('pending', 'applied')").select(*keys).distinct()
+    p = punches.select("student_id", F.to_date("punch_time").alias("day"), "punch_id", "punch_time", times.minute_of(F.col("punch_time")).alias("m"))
+    first = p.groupBy(*keys, "m").agg(F.min(F.struct("punch_time", "punch_id")).alias("x")).select(*keys, "m", F.col("x.punch_id").alias("punch_id"))
+    clock = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("m", "punch_id"))).alias("punches"))
+    held = F.sort_array(F.collect_list(F.struct("m_in", "session", "m_out", "minutes")))
+    rows = standing.withColumnRenamed("date", "day").groupBy(*keys).agg(held.alias("held"))
+    rows = rows.withColumn("held", F.transform("held", lambda r: _row(r["session"], r["m_in"], r["m_out"], r["minutes"], F.lit(None)))).withColumn("held", F.col("held").cast(f"array<struct<{ROW}>>"))
+    met = clock.join(rows, keys, "full").withColumn("today", F.col("day") == F.lit(today))
+    start = F.struct(F.lit(None), F.lit(None), F.lit(None), F.coalesce("held", F.array().cast(f"array<struct<{ROW}>>")), F.array()).cast(DAY)
+    days = met.withColumn("after", F.aggregate(F.coalesce("punches", F.array().cast("array<struct<m: int, punch_id: long>>")), start, lambda day, punch: _judged(day, punch, window)))
+    folded = stored(days.select(*keys, "after.rows", "after.outcomes"))
+    told = folded.select(*keys, F.inline("outcomes"))
+    again = p.select(*keys, "punch_id").join(first, [*keys, "punch_id"], "left_anti").withColumn("outcome", F.lit("debounced"))
+    outcomes = told.unionByName(again)
+    rows = folded.select(*keys, F.inline("rows")).drop("punch_id")
+    checks_in = told.filter("outcome in ('pending', 'applied')").select(*keys).distinct()
     last = checks_in.groupBy("student_id").agg(F.max("day").alias("last"))
     own = Window.partitionBy(*keys)
     met = rows.join(last, "student_id", "left")

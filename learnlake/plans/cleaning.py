@@ -186,7 +186,22 @@ def names_by_evidence(spark, sf_dir):
     return elt.resolve_by_evidence(o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("row_id"), named(45).alias("name"), day), roster, o.select(F.col("o_custkey").alias("student_id"), day))
 
 
-@query()
+#: A student's day, minute by minute, beside the rows that stand: what waits, what is closed.
+_STANDING = """, p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY student_id, date ORDER BY m) AS k FROM (SELECT DISTINCT user_id AS student_id, CAST(ts AS DATE) AS date, hour(ts) * 60 + minute(ts) AS m FROM events)),
+    r AS (SELECT coalesce(d.student_id, h.student_id) AS student_id, coalesce(d.date, h.date) AS date, 0 AS k, CAST(NULL AS BIGINT) AS latest, CAST(NULL AS BIGINT) AS start, coalesce(h.rows, []) AS rows
+            FROM (SELECT DISTINCT student_id, date FROM p) d FULL JOIN (SELECT student_id, date, list({'s': session, 'a': CAST(m_in + 5 AS BIGINT), 'b': CAST(m_out AS BIGINT), 'n': CAST(minutes AS BIGINT)}) AS rows FROM sessions WHERE student_id % 3 = 0 GROUP BY ALL) h ON h.student_id = d.student_id AND h.date = d.date
+        UNION ALL SELECT student_id, date, k, m AS latest,
+            CASE WHEN again OR (start IS NOT NULL AND m <= start) THEN start WHEN start IS NOT NULL THEN NULL
+                WHEN len(list_filter(rows, lambda x: x.a <= m AND m <= x.b OR (date = DATE '2024-01-30' AND (x.a = m OR x.s = CASE WHEN m >= 780 THEN 'Afternoon' ELSE 'Morning' END)))) > 0 THEN NULL ELSE m END,
+            CASE WHEN again OR start IS NULL OR m <= start THEN rows ELSE list_append(list_filter(rows, lambda x: x.s <> made), {'s': made, 'a': start, 'b': m, 'n': CASE WHEN start >= 780 OR m <= 780 THEN m - start WHEN m <= 840 THEN 780 - start ELSE 780 - start + m - 840 END}) END
+        FROM (SELECT r.student_id, r.date, p.k, p.m, r.start, r.rows, coalesce(p.m - r.latest BETWEEN 0 AND 1, FALSE) AS again, CASE WHEN r.start >= 780 THEN 'Afternoon' WHEN p.m <= 840 THEN 'Morning' ELSE 'Full Day' END AS made
+            FROM r JOIN p ON p.student_id = r.student_id AND p.date = r.date AND p.k = r.k + 1)),
+    e AS MATERIALIZED (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY student_id, date ORDER BY k DESC) = 1)
+    SELECT student_id, date, s AS session, CAST(a AS INTEGER) AS m_in, CAST(b AS INTEGER) AS m_out, CAST(n AS INTEGER) AS minutes FROM (SELECT student_id, date, unnest(rows, recursive := true) FROM e)
+    UNION ALL SELECT student_id, date, CASE WHEN start >= 780 THEN 'Afternoon' ELSE 'Morning' END, CAST(start AS INTEGER), NULL, NULL FROM e WHERE start IS NOT NULL AND date = DATE '2024-01-30'"""
+
+
+@query(with_roles(_STANDING, "sessions").replace("WITH ", "WITH RECURSIVE ", 1))
 def standing_rows(spark, sf_dir):
     """The punch machine where attendance rows stand already."""
     p = roles.punches(spark, sf_dir)

@@ -339,3 +339,63 @@ def test_few_pairs_reach_the_ratio(spark):
     met = alike.candidates(df(names), df(slips), 0.84)
     assert met.join(df(names[:100]).withColumnRenamed("s", "a"), "a").filter("substring(a, 2) = substring(b, 2)").count() == 100
     assert met.count() <= 0.02 * len(names) * len(slips)
+
+
+def plain_day(clock, rows, today, window):
+    """Outcomes by punch and rows (session, in, out) after a day's punches (id, minute), one after the other."""
+    rows, outcomes, latest, past = [[*r, None] for r in rows], {}, None, None
+    for punch, m in clock:
+        if latest is not None and m - latest <= window:
+            outcomes[punch], latest = "debounced", m
+            continue
+        latest = m
+        waiting = next((r for r in rows if r[2] is None), None) if today else past
+        if waiting is None:
+            session = "Afternoon" if m >= 780 else "Morning"
+            spanned = any(r[2] is not None and r[1] <= m <= r[2] for r in rows)
+            if spanned or (today and any(m in r[1:3] or r[0] == session for r in rows)):
+                outcomes[punch] = "duplicate"
+                continue
+            outcomes[punch] = "pending"
+            if today:
+                rows.append([session, m, None, punch])
+            else:
+                past = [session, m, None, punch]
+        elif m <= waiting[1]:
+            outcomes[punch] = "duplicate"
+        else:
+            session = "Afternoon" if waiting[1] >= 780 else "Morning" if m <= 840 else "Full Day"
+            rows = [r for r in rows if r is not waiting and r[0] != session] + [[session, waiting[1], m, None]]
+            outcomes[punch], past = "applied", None
+            if waiting[3] is not None:
+                outcomes[waiting[3]] = "applied"
+    return outcomes, sorted(tuple(r[:3]) for r in rows)
+
+
+@pytest.mark.parametrize("window", [0, 1, 10])
+def test_standing_rows_equal_one_punch_after_the_other(spark, window):
+    """Days with standing rows of every kind, an open one today, days with rows alone, and many punches of one minute."""
+    rng, today, day0 = random.Random(window), dt.date(2024, 1, 3), dt.date(2024, 1, 2)
+    punched, standing, want_rows, want = [], [], set(), {}
+    for student in range(60):
+        for day in (day0, today):
+            rows = []
+            for session, lo, hi in (("Morning", 480, 700), ("Full Day", 500, 900), ("Afternoon", 800, 1100)):
+                if rng.random() < 0.3:
+                    start = rng.randrange(lo, hi)
+                    rows.append((session, start, start + rng.randrange(1, 200)))
+            if day == today and student % 5 == 0 and not any(r[0] == "Morning" for r in rows):
+                rows.append(("Morning", rng.randrange(480, 600), None))
+            clock = sorted(rng.choices(range(460, 1200, rng.choice((1, 7))), k=rng.randrange(0, 12)))
+            clock = [(1000 * student + 100 * (day == today) + k, m) for k, m in enumerate(clock)]
+            punched += [(i, student, dt.datetime.combine(day, dt.time(m // 60, m % 60)), "0") for i, m in clock]
+            standing += [(student, day, s, a, b, None if b is None else 1) for s, a, b in rows]
+            outcomes, after = plain_day(clock, sorted(rows, key=lambda r: (r[1], r[0])), day == today, window)
+            want |= outcomes
+            want_rows |= {(student, day, *r) for r in after}
+    p = spark.createDataFrame(punched, "punch_id long, student_id long, punch_time timestamp, status string")
+    s = spark.createDataFrame(standing, "student_id long, date date, session string, m_in int, m_out int, minutes int")
+    outcomes, rows = punches.with_standing_rows(p, s, today, window)
+    assert {r["punch_id"]: r["outcome"] for r in outcomes.collect()} == want
+    got = [(r["student_id"], r["date"], r["session"], r["m_in"], r["m_out"]) for r in rows.collect()]
+    assert set(got) == want_rows and len(got) == len(want_rows)
