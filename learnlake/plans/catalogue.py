@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from learnlake.plans import analytics, cleaning, elt, lists, relations, scalars, scanner
+from learnlake.plans import analytics, cleaning, elt, lists, relations, scalars, scanner, texts
 from learnlake.plans.registry import ORACLE_SQL, QUERIES, Query
 
-GROUPS = (lists, relations, analytics, scanner, scalars, elt, cleaning)
+GROUPS = (lists, relations, analytics, scanner, scalars, elt, cleaning, texts)
 
 
 def queries() -> dict[str, Query]:

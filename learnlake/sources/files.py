@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from learnlake.operators import scan
+from learnlake.session import stored
+
 #: The columns by which the header row of a daily export is known (fixed values).
 DAILY_HEADER = ("ID NO", "Name of the Student", "Gender", "Date", "IN", "OUT")
 
@@ -18,27 +21,62 @@ MEMBER_COLUMNS = {0: "number", 1: "name", 2: "father", 3: "address", 4: "birth_d
 MOST_CELLS = 100_000
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(block, line, value) of the text files under a path: a row a physical line, which count from 1 over all files by name.
+
+    Files are read in the splits that Spark makes of them; each split is a
+    block, and lines are numbered by a scan over the blocks.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    raw = stored(raw.withColumn("at", F.monotonically_increasing_id()))  # rises with the lines of a split
+    blocks = raw.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    number = F.row_number().over(Window.orderBy("file", "start"))  # one row a split
+    blocks = blocks.select("file", "start", number.alias("block"))
+    numbered = scan.totals_before(raw.join(F.broadcast(blocks), ["file", "start"]), {"line": F.lit(1)}, "at", part="block")
+    bare = F.when(F.col("line") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    return numbered.select("block", (F.col("line") + 1).alias("line"), bare.alias("value"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a single small text file; lines count from 1."""
-    lines = spark.read.text(path, wholetext=True)
-    each = lines.select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n")).alias("line", "value"))
-    return each.withColumn("line", F.col("line") + 1)
+    """(block, line, value) of the records of delimited text files; a record is known by its first line.
+
+    A line break within quotes belongs to the record. Whether a line begins
+    within quotes follows from how many there are before it, which is a scan; only
+    the lines of records of several lines are gathered. A quote that is never closed is an
+    error.
+    """
+    lines = read_lines(spark, path).withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'))))
+    lines = scan.totals_before(lines, {"before": F.col("quotes")}, "line", part="block")
+    lines = stored(lines.withColumns({"inside": F.col("before") % 2 == 1, "open": (F.col("before") + F.col("quotes")) % 2 == 1}))
+    if (lines.agg(F.sum("quotes")).first()[0] or 0) % 2:
+        raise ValueError(f"a quote is left open in {path}")
+    several = lines.filter("inside or open")
+    if several.isEmpty():
+        return lines.select("block", "line", "value")
+    begun = scan.carried_down(several, {"record": F.when(~F.col("inside"), F.col("line")), "first": F.when(~F.col("inside"), F.col("block"))}, "line", part="block")
+    parts = F.sort_array(F.collect_list(F.struct("line", "value")))
+    whole = begun.groupBy("first", "record").agg(F.array_join(parts["value"], "\n").alias("value"))
+    return lines.filter("not inside and not open").select("block", "line", "value").unionByName(whole.select(F.col("first").alias("block"), F.col("record").alias("line"), "value"))
+
+
+def _parsed(records: DataFrame, width: int) -> DataFrame:
+    """block, line and cells c0, c1 ... of records."""
+    ddl = ", ".join(f"c{k} string" for k in range(width))
+    options = {"escape": '"', "multiLine": "true"}
+    return records.select("block", "line", F.from_csv("value", F.lit(ddl), options).alias("r")).select("block", "line", "r.*")
 
 
 def read_daily_export(spark: SparkSession, path: str, header: tuple[str, ...] = DAILY_HEADER) -> DataFrame:
     """An export whose header stands somewhere below the top: trimmed strings, source_row, no blank rows or unnamed columns."""
-    lines = numbered_lines(spark, path)
+    lines = stored(numbered_lines(spark, path))
     has_all = reduce(lambda a, b: a & b, [F.contains("value", F.lit(h)) for h in header])
-    top = lines.filter(has_all).orderBy("line").limit(1).collect()
-    if not top:
+    top = lines.filter(has_all).agg(F.min_by("value", "line"), F.min("line")).first()
+    if top[1] is None:
         raise ValueError(f"no header row with {', '.join(header)} in {path}")
-    names = [n.strip().strip('"') for n in _cells(top[0]["value"])]
-    schema = StructType([StructField(f"c{k}", StringType()) for k in range(len(names))])
-    body = lines.filter(F.col("line") > top[0]["line"])
-    ddl = ", ".join(f"{f.name} string" for f in schema)
-    parsed = body.select("line", F.from_csv("value", F.lit(ddl)).alias("r"))
+    names = [n.strip().strip('"') for n in _cells(top[0])]
     kept = [(k, n) for k, n in enumerate(names) if n and not n.startswith("Unnamed")]
-    rows = parsed.select(F.col("line").alias("source_row"), *[F.coalesce(F.trim(F.col(f"r.c{k}")), F.lit("")).alias(n) for k, n in kept])
+    rows = _parsed(lines.filter(F.col("line") > top[1]), len(names))
+    rows = rows.select(F.col("line").alias("source_row"), *[F.coalesce(F.trim(F.col(f"c{k}")), F.lit("")).alias(n) for k, n in kept])
     return rows.filter(reduce(or_, [F.col(f"`{n}`") != "" for _, n in kept]))
 
 
@@ -62,25 +100,40 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.trim(f"c{k}").alias(n) for k, n in MEMBER_COLUMNS.items()])
 
 
-def read_register(spark: SparkSession, path: str) -> DataFrame:
+#: What the first cell of a register's label row says, without dots (fixed values).
+SERIAL_LABELS = ("sl no", "slno", "s no")
+
+
+def read_register(spark: SparkSession, path: str, corrections: dict[tuple[str, str, str], str] | None = None) -> DataFrame:
     """A ragged register of six cells: header rows (no serial or name, a topic or date) give exam, date and maximum to the rows below.
 
     A date in c2 beside a topic in c3 is a swap; a maximum is the first number of
-    c4, or else of c5. A part that a header lacks stays as it was.
+    c4, or else of c5. A part that a header lacks stays as it was. A student's row
+    may name a topic instead of the number of the student; it holds from there on. Label
+    rows and rows without any cell are left out. ``corrections`` gives marks for
+    (date, exam, marks) that were mistyped.
     """
-    lines = numbered_lines(spark, path).select("line", F.from_csv("value", F.lit(", ".join(f"c{k} string" for k in range(6)))).alias("r")).select("line", "r.*")
-    cells = lines.select("line", *[F.coalesce(F.trim(f"c{k}"), F.lit("")).alias(f"c{k}") for k in range(6)])
+    lines = _parsed(numbered_lines(spark, path), 6)
+    cells = lines.select("block", "line", *[F.coalesce(F.trim(f"c{k}"), F.lit("")).alias(f"c{k}") for k in range(6)])
+    cells = cells.filter(~F.lower(F.trim(F.replace("c0", F.lit("."), F.lit("")))).isin(*SERIAL_LABELS))
     letters = lambda c: F.col(c).rlike("[A-Za-z]")
     swapped = F.col("c2").rlike(r"^\d{1,2}[.\-/ ]\d{1,2}[.\-/ ]\d{2,4}$") & letters("c3")
     cells = cells.withColumns({"c2": F.when(swapped, F.col("c3")).otherwise(F.col("c2")), "c3": F.when(swapped, F.col("c2")).otherwise(F.col("c3"))})
-    head = (F.col("c0") == "") & (F.col("c1") == "") & ((F.col("c2") != "") | (F.col("c3") != ""))
+    person = (F.col("c0") != "") | (F.col("c1") != "")
+    head = ~person & ((F.col("c2") != "") | (F.col("c3") != ""))
     number = lambda c: F.nullif(F.regexp_extract(c, r"\d+(?:\.\d+)?", 0), F.lit(""))
-    w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    down = lambda c: F.last(F.when(head, c), ignorenulls=True).over(w)
-    exam, date = F.when(letters("c2"), F.col("c2")), F.nullif("c3", F.lit(""))
-    filled = cells.select("*", head.alias("is_head"), down(exam).alias("exam"), down(date).alias("date"), down(F.coalesce(number("c4"), number("c5"))).alias("most"))
-    body = filled.filter(~F.col("is_head") & F.col("c0").rlike(r"^\d+$"))
-    return body.select("line", F.col("c0").alias("serial"), F.col("c1").alias("name"), F.col("c2").alias("student_id"), "exam", "date", "most", F.col("c5").alias("marks"))
+    topic = letters("c2")
+    given = {
+        "exam": F.when((head | person) & topic, F.col("c2")),
+        "date": F.when(head | (person & topic), F.nullif("c3", F.lit(""))),
+        "most": F.when(head, F.coalesce(number("c4"), number("c5"))).when(person & topic, number("c4")),
+    }
+    filled = scan.carried_down(cells.withColumn("person", person), given, "line", part="block").filter("person")
+    marks = F.col("c5")
+    for (date, exam, wrong), right in (corrections or {}).items():
+        marks = F.when((F.col("date") == date) & (F.col("exam") == exam) & (F.col("c5") == wrong), F.lit(right)).otherwise(marks)
+    student = F.when(F.col("c2").rlike(r"^\d+$"), F.col("c2")).otherwise(F.lit(""))
+    return filled.select("line", F.col("c0").alias("serial"), F.col("c1").alias("name"), student.alias("student_id"), "exam", "date", "most", marks.alias("marks"))
 
 
 def write_csv(df: DataFrame, path: str) -> bool:
@@ -94,8 +147,8 @@ def write_csv(df: DataFrame, path: str) -> bool:
 def sheet_chunks(df: DataFrame, *order: str, most_cells: int = MOST_CELLS) -> DataFrame:
     """Rows with the chunk in which a spreadsheet of limited cells a request takes them."""
     rows = max(1, most_cells // max(1, len(df.columns)))
-    n = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("chunk", F.floor((n - 1) / rows).cast("int"))
+    placed = scan.totals_before(scan.ranges(df, *order), {"_place": F.lit(1)}, *order)
+    return placed.select(*df.columns, F.floor(F.col("_place") / rows).cast("int").alias("chunk"))
 
 
 def append_review(rows: DataFrame, path: str) -> None:
