@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnlake.functions import dates
+from learnlake.operators import calendars
 from learnlake.operators import punches as machine
 from learnlake.operators import relational as rel
 from learnlake.plans.registry import query
@@ -128,3 +131,19 @@ def dashboard_flat(spark, sf_dir):
     joined = roles.students(spark, sf_dir).select("student_id", "name").join(m, "student_id", "left").join(u, "student_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return joined.select("student_id", "name", zero("exams"), "mean", zero("sessions"), zero("minutes"), "last", F.col("t.delta").alias("delta"), F.coalesce("t.label", F.lit("Insufficient data")).alias("trend"))
+
+
+_YEARS = """SELECT k.instructor_id, (SELECT count(*) FROM near) AS open_days, count(DISTINCT n.date) AS attended, round(count(DISTINCT n.date) * 100.0 / (SELECT count(*) FROM near), 2) AS rate, any_value(s.streak) AS streak
+    FROM (SELECT DISTINCT instructor_id FROM marks) k JOIN (SELECT r.instructor_id, count(*) FILTER (WHERE c.date > coalesce(r.missed, DATE '1900-01-01') AND d.date IS NOT NULL) AS streak FROM
+        (SELECT k.instructor_id, max(c.date) FILTER (WHERE d.date IS NULL AND c.date <> DATE '1997-06-30') AS missed FROM (SELECT DISTINCT instructor_id FROM marks) k CROSS JOIN cal c LEFT JOIN own d ON d.instructor_id = k.instructor_id AND d.date = c.date GROUP BY 1) r
+        CROSS JOIN cal c LEFT JOIN own d ON d.instructor_id = r.instructor_id AND d.date = c.date GROUP BY 1) s ON s.instructor_id = k.instructor_id
+    LEFT JOIN own o ON o.instructor_id = k.instructor_id LEFT JOIN near n ON n.date = o.date GROUP BY 1"""
+_CALENDAR = """cal AS (SELECT date FROM (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '1997-06-30' - 3649, DATE '1997-06-30', INTERVAL 1 DAY) g(d)) WHERE NOT (dayofweek(date) = 0 OR (dayofweek(date) = 6 AND ceil(day(date) / 7.0) IN (2, 4, 5))) AND date <> DATE '1997-05-01'),
+    near AS (SELECT date FROM cal WHERE date > DATE '1997-06-30' - 365), own AS (SELECT DISTINCT instructor_id, date FROM marks)"""
+
+
+@query(with_roles(_YEARS, "marks").replace(" SELECT k.instructor_id, (SELECT", f", {_CALENDAR} SELECT k.instructor_id, (SELECT", 1))
+def attendance_years(spark, sf_dir):
+    """Rate of a year and streak over ten years of open days, by bitmaps."""
+    m = roles.marks(spark, sf_dir).select("instructor_id", "date")
+    return calendars.statistics(m, dt.date(1997, 6, 30), "instructor_id", window=365, holidays=(dt.date(1997, 5, 1),))
