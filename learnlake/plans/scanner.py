@@ -200,3 +200,80 @@ def live_attendance(spark, sf_dir):
     raw = punches.stream_of(spark, f"{sf_dir}/events.parquet")
     changed = machine.drained(spark, machine.changes(machine.captured(raw, F.col("punch_time"))))
     return machine.rows_of(changed)
+
+
+@query(_LIVE)
+def live_table(spark, sf_dir):
+    """The live capture's changes merged into a table by day, batch by batch."""
+    import uuid
+
+    from learnlake.session import shared_folder
+    from learnlake.streaming import machine, punches, sink
+
+    folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    table = sink.ChangedTable(f"{folder}/table", ("student_id", "date", "session"), "date")
+    raw = punches.stream_of(spark, f"{sf_dir}/events.parquet")
+    changed = machine.changes(machine.captured(raw, F.col("punch_time"))).filter("change <> 'punch'")
+    run = changed.writeStream.foreachBatch(table.apply).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return table.rows(spark, machine.CHANGES).drop("punch_id", "outcome")
+
+
+_COPY = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date"
+
+
+def _copies(spark, sf_dir, *key):
+    """Two stored copies of orders: in the second some are changed, removed and added."""
+    import uuid
+
+    from learnlake.operators import hashtree
+    from learnlake.session import shared_folder
+
+    folder = f"{shared_folder(spark)}/copies-{uuid.uuid4().hex}"
+    o = roles.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("o_orderdate"))
+    o = o.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in _COPY.split(", ")])
+    k = F.col("o_orderkey")
+    status = F.when(k % 997 == 0, "Z").otherwise(F.col("o_orderstatus"))
+    added = o.filter(k % 1999 == 0).withColumn("o_orderkey", k + 1_000_000_000)
+    hashtree.write_copy(o, f"{folder}/old", *key)
+    hashtree.write_copy(o.filter(k % 1009 != 0).withColumn("o_orderstatus", status).unionByName(added), f"{folder}/new", *key)
+    return folder
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 1009 = 0 THEN 'removed' ELSE 'changed' END AS kind FROM orders WHERE o_orderkey % 1009 = 0 OR (o_orderkey % 997 = 0 AND o_orderstatus <> 'Z') UNION ALL SELECT o_orderkey + 1000000000, 'added' FROM orders WHERE o_orderkey % 1999 = 0")
+def copies_compared(spark, sf_dir):
+    """Differing keys of two copies, found by digests from the root down."""
+    from learnlake.operators import hashtree
+
+    folder = _copies(spark, sf_dir, "o_orderkey")
+    return hashtree.differences(spark, f"{folder}/old", f"{folder}/new", _COPY, "o_orderkey")
+
+
+@query("SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderstatus = 'Z' THEN 1 ELSE 0 END)::BIGINT AS marked, max(o_orderdate) AS last FROM (SELECT o_custkey, CASE WHEN o_orderkey % 997 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE o_orderkey % 1009 <> 0 UNION ALL SELECT o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 1999 = 0) GROUP BY 1")
+def summary_refreshed(spark, sf_dir):
+    """A summary a student brought up to date from what changed between two versions alone."""
+    from learnlake.operators import hashtree
+
+    folder = _copies(spark, sf_dir, "o_custkey")
+    summary = lambda facts: facts.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "Z").alias("marked"), F.max("o_orderdate").alias("last"))
+    old = spark.read.schema(_COPY).parquet(f"{folder}/old/rows")
+    hashtree.write_summary(old, f"{folder}/state", summary, "o_custkey")
+    hashtree.refresh(spark, f"{folder}/state", f"{folder}/old", f"{folder}/new", _COPY, summary, "o_custkey")
+    return hashtree.read_summary(spark, f"{folder}/state")
+
+
+@query("""SELECT CASE WHEN GROUPING(status) = 0 THEN 'status' WHEN GROUPING(priority) = 0 THEN 'priority' WHEN GROUPING(month) = 0 THEN 'month' ELSE 'all' END AS facet, coalesce(status, priority, month, '') AS value, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 200000) AS large, count(DISTINCT o_custkey) AS students, round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2)::DOUBLE AS total
+    FROM (SELECT o_orderstatus AS status, o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m') AS month, o_totalprice, o_custkey FROM orders) GROUP BY GROUPING SETS ((), (status), (priority), (month))""")
+def dashboard_counters(spark, sf_dir):
+    """All counters and distributions of a dashboard in one scan, by grouping sets."""
+    o = roles.table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice", "o_custkey"
+    )
+    facets = ["status", "priority", "month"]
+    of = lambda c: F.grouping(c) == 0
+    facet = F.when(of("status"), "status").when(of("priority"), "priority").when(of("month"), "month").otherwise("all")
+    counted = o.groupingSets([[], *[[c] for c in facets]], *facets).agg(
+        facet.alias("facet"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") > 200_000).alias("large"),
+        F.countDistinct("o_custkey").alias("students"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"),
+    )
+    return counted.select("facet", F.coalesce(*facets, F.lit("")).alias("value"), "n", "large", "students", "total")
