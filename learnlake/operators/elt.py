@@ -228,8 +228,10 @@ def resolve_by_evidence(rows: DataFrame, roster: DataFrame, activity: DataFrame,
     met = met.withColumn("bearers", F.count(F.lit(1)).over(own)).withColumn("n_joined", F.count_if("joined").over(own))
     left = met.filter(F.col("joined") | (F.col("n_joined") == 0) | F.col("date").isNull()).withColumn("left", F.count(F.lit(1)).over(own))
     days = activity.select("student_id", F.col("date").alias("day")).distinct()
+    # a row asks for the few days about its own, so that the join has a student and a day for its key
+    asked = left.filter("date is not null").withColumn("day", F.explode(F.sequence(F.date_sub("date", window), F.date_add("date", window))))
     gap = F.abs(F.datediff("day", "date"))
-    near = left.join(days, "student_id").filter(gap <= window).groupBy("row_id", "student_id").agg(F.min(gap).alias("gap"))
+    near = asked.join(days, ["student_id", "day"]).groupBy("row_id", "student_id").agg(F.min(gap).alias("gap"))
     seen = left.join(near, ["row_id", "student_id"], "left")
     on_day, about = F.count_if(F.col("gap") == 0), F.count_if(F.col("gap").isNotNull())
     pick = lambda c: F.min(F.when(c, F.col("student_id")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnlake.functions import dates, text
+from learnlake.operators import topics
 
 
 def load_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,3 +67,51 @@ def attendance_section(rows: DataFrame, in_time: Column, out_time: Column) -> tu
     problem = F.when(F.col("m_in").isNull(), "no arrival").when(F.col("m_out") <= F.col("m_in"), "departure before arrival").when(F.col("m_out").isNull(), "open")
     checked = checked.withColumn("problem", problem)
     return checked.filter(F.coalesce(F.col("problem") == "open", F.lit(True))).drop("problem"), checked.filter("problem is not null")
+
+
+def apply_marks(exams: DataFrame, marks: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(exams, marks, review) after rows (line, student_id, exam_id, marks_obtained, max_marks) are applied in the order of their lines.
+
+    A mark above its own row's maximum is refused. An exam keeps the maximum
+    that it has; without one the first row that states one sets it. A student's
+    mark that stands stays; without one the first row's counts. Rows that say
+    otherwise go to review as conflicts. All is decided by the first line of an exam,
+    and of a student in it, which needs no order among the rest.
+    """
+    above = F.coalesce(F.col("marks_obtained") > F.col("max_marks"), F.lit(False))
+    read = rows.filter("marks_obtained is not null")
+    good = read.filter(~above)
+    first = good.filter("max_marks is not null").groupBy("exam_id").agg(F.min_by("max_marks", "line").alias("stated"))
+    exams_after = exams.join(first, "exam_id", "full").withColumn("max_marks", F.coalesce("max_marks", "stated")).drop("stated")
+    keys = ["student_id", "exam_id"]
+    given = good.groupBy(*keys).agg(F.min_by("marks_obtained", "line").alias("given"))
+    held = marks.withColumn("stands", F.lit(True)).join(given, keys, "full")
+    how = F.when(F.col("stands").isNull(), "inserted").when(F.col("marks_obtained").isNull() & F.col("given").isNotNull(), "filled").otherwise("kept")
+    marks_after = held.withColumn("how", how).withColumn("marks_obtained", F.coalesce("marks_obtained", "given")).select(*keys, "marks_obtained", "how")
+    known = good.join(exams_after.select("exam_id", F.col("max_marks").alias("_most")), "exam_id", "left").join(marks_after.select(*keys, F.col("marks_obtained").alias("_mark")), keys)
+    problems = F.array_compact(F.array(F.when(F.col("max_marks") != F.col("_most"), "max_marks_conflict"), F.when(F.col("marks_obtained") != F.col("_mark"), "marks_conflict")))
+    review = known.select("line", F.explode(problems).alias("problem")).unionByName(read.filter(above).select("line", F.lit("marks_above_max").alias("problem")))
+    return exams_after, marks_after, review
+
+
+def load_digital(rows: DataFrame, aliases: DataFrame, opens: int = 9 * 60, closes: int = 19 * 60) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(subscriptions, usage, review) of rows (line, student_id, date, m_in, m_out, platform, purpose, account).
+
+    Rows without a platform or an arrival are left out; an arrival outside the
+    opening hours and a missing departure go to review. Only what says Library
+    Subscription, and is no free platform, belongs to a subscription: it is
+    known by its slug, bears its commonest name (of equals the one seen first) and
+    starts on the date of the first row that names it.
+    """
+    named = topics.resolve_platforms(rows.withColumn("platform", text.collapse_ws(F.col("platform"))).withColumnRenamed("platform", "_cell"), "_cell", aliases)
+    usable = named.filter((F.coalesce("_cell", F.lit("")) != "") & F.col("m_in").isNotNull())
+    problem = F.when(~F.col("m_in").between(opens, closes), "outside_operating_hours").when(F.col("m_out").isNull(), "missing_out_time")
+    usable = usable.withColumn("problem", problem)
+    own = (F.trim("account") == "Library Subscription") & F.col("subscription")
+    slug = F.when(F.coalesce(own, F.lit(False)), text.slugify(F.col("platform")))
+    purpose = F.nullif(text.collapse_ws(F.coalesce("purpose", F.lit(""))), F.lit(""))
+    usage = usable.filter("problem is null").select("line", "student_id", "date", "m_in", "m_out", F.when(slug.isNotNull(), "Library Subscription").otherwise("Own Account").alias("account_type"), slug.alias("subscription_id"), "platform", purpose.alias("purpose"))
+    spelt = usage.filter("subscription_id is not null").groupBy("subscription_id", "platform").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line", "date")).alias("first"))
+    best = F.max_by("platform", F.struct("n", -F.col("first.line")))
+    subscriptions = spelt.groupBy("subscription_id").agg(best.alias("name"), F.lit("Active").alias("status"), F.min("first")["date"].alias("start_date"))
+    return subscriptions, usage, usable.filter("problem is not null").select("line", "problem")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from learnlake.functions import dates, text, times
-from learnlake.operators import elt, library, punches, topics, upkeep
+from learnlake.operators import elt, library, loaders, punches, topics, upkeep
 from learnlake.operators import relational as rel
 from learnlake.plans.registry import query
 from learnlake.sources import roles
@@ -78,10 +78,8 @@ def platform_names(spark, sf_dir):
     raw = F.when(k == 0, F.lit(' "You tube"')).when(k == 1, F.lit(" ")).when(k == 2, F.lit("2-HIGH")).otherwise(F.col("o_orderpriority"))
     o = roles.table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"), F.col("o_orderpriority").alias("keep"))
     names = spark.createDataFrame([("youtube", "YouTube"), ("2high", "High Priority")], "alias string, canonical string")
-    found = topics.resolve_platforms(o, "raw", names.filter("alias <> '2high'"))
-    high = topics.resolve_platforms(found.select("o_orderkey", F.col("raw").alias("cell"), F.col("platform").alias("was"), "subscription"), "cell", names).select("o_orderkey", F.col("platform").alias("named"))
-    joined = found.join(high, "o_orderkey")
-    return joined.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 2, F.col("named")).otherwise(F.col("platform")).alias("platform"), "subscription")
+    # what is typed as an alias is named by it; a platform that only looks like one keeps its own name
+    return topics.resolve_platforms(o, "raw", names).select("o_orderkey", F.when((F.col("o_orderkey") % 5 > 2) & (F.col("keep") == "2-HIGH"), F.col("keep")).otherwise(F.col("platform")).alias("platform"), "subscription")
 
 
 _WELL = "well AS (SELECT s_suppkey + 1000 AS id, s_name AS title FROM supplier)"
@@ -167,9 +165,9 @@ def catalogue_final(spark, sf_dir):
     return library.finalise_catalogue(p.select(ident.alias("id"), title.alias("title")))
 
 
-_NAMESAKES = """people AS (SELECT c_custkey AS student_id, 'n' || CAST(c_custkey % 40 AS VARCHAR) AS name, DATE '1994-06-01' + CAST(c_custkey % 700 AS INTEGER) AS join_date FROM customer WHERE c_custkey < 90),
+_NAMESAKES = """people AS (SELECT c_custkey AS student_id, 'n' || CAST(c_custkey // 3 AS VARCHAR) AS name, DATE '1994-06-01' + CAST(c_custkey % 700 AS INTEGER) AS join_date FROM customer),
     act AS (SELECT DISTINCT o_custkey AS student_id, CAST(o_orderdate AS DATE) AS day FROM orders),
-    rws AS (SELECT o_orderkey AS row_id, 'n' || CAST(o_custkey % 45 AS VARCHAR) AS name, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey % 3 = 0),
+    rws AS (SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE 'n' END || CAST(o_custkey // 3 AS VARCHAR) AS name, CAST(o_orderdate AS DATE) AS date FROM orders),
     met AS (SELECT row_id, date, p.student_id, join_date <= date AS joined, count(*) OVER (PARTITION BY row_id) AS bearers, count(*) FILTER (WHERE join_date <= date) OVER (PARTITION BY row_id) AS nj FROM rws JOIN people p USING (name)),
     lft AS (SELECT *, count(*) OVER (PARTITION BY row_id) AS lf FROM met WHERE joined OR nj = 0),
     gap AS (SELECT row_id, l.student_id, any_value(bearers) AS bearers, any_value(lf) AS lf, min(abs(day - date)) AS gap FROM lft l LEFT JOIN act a ON a.student_id = l.student_id AND abs(day - date) <= 2 GROUP BY row_id, l.student_id),
@@ -180,10 +178,11 @@ _NAMESAKES = """people AS (SELECT c_custkey AS student_id, 'n' || CAST(c_custkey
 def names_by_evidence(spark, sf_dir):
     """Of several bearers of a name the one who had joined, or was there that day."""
     c, o = roles.table(spark, sf_dir, "customer"), roles.table(spark, sf_dir, "orders")
-    named = lambda n: F.concat(F.lit("n"), (F.col("c_custkey" if n == 40 else "o_custkey") % n).cast("string"))
-    roster = c.filter("c_custkey < 90").select(F.col("c_custkey").alias("student_id"), named(40).alias("roster_name"), F.date_add(F.lit("1994-06-01").cast("date"), (F.col("c_custkey") % 700).cast("int")).alias("join_date"))
+    named = lambda k, letter: F.concat(letter, F.floor(F.col(k) / 3).cast("string"))
+    roster = c.select(F.col("c_custkey").alias("student_id"), named("c_custkey", F.lit("n")).alias("roster_name"), F.date_add(F.lit("1994-06-01").cast("date"), (F.col("c_custkey") % 700).cast("int")).alias("join_date"))
     day = F.to_date("o_orderdate").alias("date")
-    return elt.resolve_by_evidence(o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("row_id"), named(45).alias("name"), day), roster, o.select(F.col("o_custkey").alias("student_id"), day))
+    letter = F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise("n")
+    return elt.resolve_by_evidence(o.select(F.col("o_orderkey").alias("row_id"), named("o_custkey", letter).alias("name"), day), roster, o.select(F.col("o_custkey").alias("student_id"), day))
 
 
 #: A student's day, minute by minute, beside the rows that stand: what waits, what is closed.
@@ -246,11 +245,11 @@ def completeness_pass(spark, sf_dir):
     return upkeep.missing_punches(p.unionByName(p.filter("punch_id % 7 = 0")), p.filter("punch_id % 13 <> 0"), "punch_id", "student_id")
 
 
-@query("SELECT topic, date, student_id, min(quiz) OVER (PARTITION BY topic, date) AS quiz_id FROM (SELECT p_type AS topic, CAST(l_shipdate AS DATE) AS date, l_suppkey AS student_id, min((l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000) AS quiz FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 30 GROUP BY ALL)")
+@query("SELECT topic, date, student_id, min(quiz) OVER (PARTITION BY topic, date) AS quiz_id FROM (SELECT p_type AS topic, CAST(l_shipdate AS DATE) AS date, l_suppkey AS student_id, min((l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000) AS quiz FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)")
 def quiz_load(spark, sf_dir):
     """One quiz for a topic and date, one open score for each student in it."""
     p = roles.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("topic"))
-    lines = roles.table(spark, sf_dir, "lineitem").filter("l_quantity > 30").join(p, "l_partkey")
+    lines = roles.table(spark, sf_dir, "lineitem").join(p, "l_partkey")
     _, scores = upkeep.load_quizzes(lines.select((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000) + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("line"), F.col("l_suppkey").alias("student_id"), "topic", F.to_date("l_shipdate").alias("date")))
     return scores.select("topic", "date", "student_id", "quiz_id")
 
@@ -403,8 +402,6 @@ def id_corrector(spark, sf_dir):
 @query("SELECT line, CASE WHEN k THEN 'duplicate number' WHEN line % 7 = 0 THEN 'join date' END AS problem FROM (SELECT c_custkey AS line, c_custkey % 100 >= 90 AND c_custkey >= 100 AS k FROM customer) WHERE k OR line % 7 = 0 UNION ALL SELECT c_custkey, 'gender' FROM customer WHERE NOT (c_custkey % 100 >= 90 AND c_custkey >= 100) AND c_custkey % 7 <> 0 AND c_custkey % 4 > 1 UNION ALL SELECT c_custkey, 'birth date' FROM customer WHERE NOT (c_custkey % 100 >= 90 AND c_custkey >= 100) AND c_custkey % 11 = 0")
 def members_load(spark, sf_dir):
     """Which member rows are refused or left open, and why."""
-    from learnlake.operators import loaders
-
     k = F.col("c_custkey")
     # the last ten of each hundred repeat the numbers of the first hundred's
     number = F.when((k % 100 >= 90) & (k >= 100), k % 100).otherwise(k)
@@ -418,8 +415,6 @@ def members_load(spark, sf_dir):
 @query("SELECT title, class_date, student_id, class_id FROM (SELECT p_type AS title, CAST(l_shipdate AS DATE) AS class_date, l_suppkey AS student_id FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL) JOIN (SELECT p_type AS title, CAST(l_shipdate AS DATE) AS class_date, min((l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000) AS class_id FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL) USING (title, class_date)")
 def coaching_load(spark, sf_dir):
     """A class for a topic and date, and a student in it once."""
-    from learnlake.operators import loaders
-
     p = roles.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit(" "), "p_type", F.lit("  ")).alias("topic"))
     lines = roles.table(spark, sf_dir, "lineitem").join(p, "l_partkey")
     line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000
@@ -430,8 +425,6 @@ def coaching_load(spark, sf_dir):
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'fewer names' WHEN 1 THEN 'fewer ids' END AS problem, b.book_id, b.book_name FROM (SELECT o_orderkey, unnest(CASE o_orderkey % 3 WHEN 0 THEN [{'book_id': 'a', 'book_name': 'X'}, {'book_id': 'b', 'book_name': 'Y'}, {'book_id': 'c', 'book_name': 'Y'}] WHEN 1 THEN [{'book_id': 'a', 'book_name': 'X'}, {'book_id': '', 'book_name': 'Y'}] ELSE [{'book_id': 'a', 'book_name': 'X'}] END) AS b FROM orders)")
 def offline_section(spark, sf_dir):
     """One row for each book of a visit."""
-    from learnlake.operators import loaders
-
     k = F.col("o_orderkey") % 3
     o = roles.table(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 0, "a, b,c").otherwise("a").alias("ids"), F.when(k == 2, "X").otherwise("X,Y").alias("names"))
     return loaders.offline_section(o, text.split_list(F.col("ids")), text.split_list(F.col("names"))).select("o_orderkey", "problem", "book_id", "book_name")
@@ -440,8 +433,55 @@ def offline_section(spark, sf_dir):
 @query(with_roles("SELECT student_id, day, pair, CASE WHEN m_in % 10 = 0 THEN 'no arrival' WHEN m_out IS NULL THEN 'open' WHEN m_in % 10 = 1 THEN 'departure before arrival' END AS problem FROM pairs WHERE m_in % 10 < 2 OR m_out IS NULL", "pairs"))
 def attendance_section(spark, sf_dir):
     """Attendance rows that need a look."""
-    from learnlake.operators import loaders
-
     p = punches.pairs(roles.punches(spark, sf_dir)).withColumnRenamed("m_in", "a").withColumnRenamed("m_out", "b")
     _, review = loaders.attendance_section(p, F.when(F.col("a") % 10 != 0, F.col("a")), F.when(F.col("a") % 10 == 1, F.when(F.col("b").isNotNull(), F.col("a") - 1)).otherwise(F.col("b")))
     return review.select("student_id", "day", "pair", "problem")
+
+
+_ROWS = """rws AS (SELECT (l_orderkey * 10 + l_linenumber) AS line, o_custkey % 50 AS student_id, l_partkey AS exam_id, CAST(l_quantity AS BIGINT) AS marks, CASE l_linenumber % 3 WHEN 0 THEN 30 WHEN 1 THEN 50 END AS most FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    line AS (SELECT line, rank() OVER (ORDER BY line, student_id, exam_id, marks) AS ord, student_id, exam_id, marks, most FROM rws), good AS (SELECT * FROM line WHERE NOT coalesce(marks > most, FALSE)),
+    ex AS (SELECT p_partkey AS exam_id, CASE WHEN p_partkey % 4 = 0 THEN 50 ELSE (SELECT arg_min(most, ord) FROM good WHERE exam_id = p_partkey AND most IS NOT NULL) END AS most FROM part),
+    old AS (SELECT DISTINCT student_id, exam_id, CASE WHEN exam_id % 2 = 0 THEN CAST(exam_id % 40 AS BIGINT) END AS marks FROM rws WHERE (student_id + exam_id) % 3 = 0),
+    new AS (SELECT coalesce(o.student_id, g.student_id) AS student_id, coalesce(o.exam_id, g.exam_id) AS exam_id, coalesce(o.marks, g.marks) AS marks, CASE WHEN o.student_id IS NULL THEN 'inserted' WHEN o.marks IS NULL AND g.marks IS NOT NULL THEN 'filled' ELSE 'kept' END AS how
+        FROM old o FULL JOIN (SELECT student_id, exam_id, arg_min(marks, ord) AS marks FROM good GROUP BY ALL) g ON g.student_id = o.student_id AND g.exam_id = o.exam_id)"""
+
+
+def _applied(spark, sf_dir):
+    o = roles.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("student_id"))
+    n = F.col("l_linenumber") % 3
+    rows = roles.table(spark, sf_dir, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "student_id", F.col("l_partkey").alias("exam_id"), F.col("l_quantity").cast("long").alias("m")).alias("line"),
+        "student_id", F.col("l_partkey").alias("exam_id"), F.col("l_quantity").cast("long").alias("marks_obtained"), F.when(n == 0, 30).when(n == 1, 50).alias("max_marks"),
+    )
+    exams = roles.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("exam_id"), F.when(F.col("p_partkey") % 4 == 0, 50).alias("max_marks"))
+    old = rows.filter((F.col("student_id") + F.col("exam_id")) % 3 == 0).select("student_id", "exam_id", F.when(F.col("exam_id") % 2 == 0, (F.col("exam_id") % 40).cast("long")).alias("marks_obtained")).distinct()
+    return loaders.apply_marks(exams, old, rows)
+
+
+@query(f"WITH {_ROWS} SELECT student_id, exam_id, marks AS marks_obtained, how, most AS max_marks FROM new JOIN ex USING (exam_id)")
+def marks_applied(spark, sf_dir):
+    """Marks after a file: what stands is kept, first marks and maxima count."""
+    exams, marks, _ = _applied(spark, sf_dir)
+    return marks.join(exams, "exam_id").select("student_id", "exam_id", "marks_obtained", "how", "max_marks")
+
+
+@query(f"WITH {_ROWS}, p AS (SELECT line, 'marks_above_max' AS problem FROM line WHERE marks > most UNION ALL SELECT line, 'max_marks_conflict' FROM good JOIN ex USING (exam_id) WHERE good.most <> ex.most UNION ALL SELECT good.line, 'marks_conflict' FROM good JOIN new USING (student_id, exam_id) WHERE good.marks <> new.marks) SELECT problem, count(*) AS n, min(line) AS first_line FROM p GROUP BY 1")
+def marks_review(spark, sf_dir):
+    """Rows that go to review, by problem."""
+    return _applied(spark, sf_dir)[2].groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.min("line.line").alias("first_line"))
+
+
+_DIGITAL = """raw AS (SELECT usage_id AS line, date, 400 + minutes * 4 AS m_in, CASE WHEN usage_id % 11 <> 0 THEN 1 END AS m_out, CASE usage_id % 4 WHEN 0 THEN 'YouTube' WHEN 1 THEN upper(platform) || ' Library' ELSE platform || ' library' END AS platform, account FROM usage),
+    own AS (SELECT *, regexp_replace(lower(platform), '[^a-z0-9]+', '_', 'g') AS slug FROM raw WHERE m_in BETWEEN 540 AND 1140 AND m_out IS NOT NULL AND account = 'F' AND platform <> 'YouTube')"""
+
+
+@query(with_roles("SELECT slug AS subscription_id, arg_max(platform, (n, -first)) AS name, 'Active' AS status, arg_min(day, first) AS start_date FROM (SELECT slug, platform, count(*) AS n, min(line) AS first, arg_min(date, line) AS day FROM own GROUP BY ALL) GROUP BY slug", "usage").replace(" SELECT slug AS", f", {_DIGITAL} SELECT slug AS", 1))
+def subscription_rows(spark, sf_dir):
+    """The subscriptions that a digital section brings: slug, commonest name, first date."""
+    u, k = roles.usage(spark, sf_dir), F.col("usage_id") % 4
+    platform = F.when(k == 0, ' "YouTube"').when(k == 1, F.concat(F.upper("platform"), F.lit("  Library"))).otherwise(F.concat("platform", F.lit(" library ")))
+    rows = u.select(
+        F.col("usage_id").alias("line"), "student_id", "date", (F.lit(400) + F.col("minutes") * 4).alias("m_in"), F.when(F.col("usage_id") % 11 != 0, 1200).alias("m_out"), platform.alias("platform"),
+        F.lit("study").alias("purpose"), F.when(F.col("account") == "F", " Library Subscription").otherwise("Own").alias("account"),
+    )
+    return loaders.load_digital(rows, spark.createDataFrame([("you tube", "YouTube")], "alias string, canonical string"))[0]
