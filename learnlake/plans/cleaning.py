@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from learnlake.functions import dates, text, times
-from learnlake.operators import elt, library, loaders, punches, topics, upkeep
+from learnlake.operators import elt, library, loaders, punches, sections, topics, upkeep
 from learnlake.operators import relational as rel
 from learnlake.plans.registry import query
 from learnlake.sources import roles
@@ -485,3 +485,35 @@ def subscription_rows(spark, sf_dir):
         F.lit("study").alias("purpose"), F.when(F.col("account") == "F", " Library Subscription").otherwise("Own").alias("account"),
     )
     return loaders.load_digital(rows, spark.createDataFrame([("you tube", "YouTube")], "alias string, canonical string"))[0]
+
+
+_USES = """r AS (SELECT o_orderkey AS line, 480 + o_orderkey % 400 AS a, 580 + o_orderkey % 400 + o_orderkey % 500 AS b,
+        CASE WHEN o_orderkey % 8 = 0 OR o_orderkey % 4 = 1 THEN ['Alpha', 'Beta'] WHEN o_orderkey % 4 = 2 THEN ['Alpha', 'Beta', 'Gamma'] ELSE ['Alpha'] END AS p,
+        CASE WHEN o_orderkey % 4 = 1 THEN ['one', 'two'] WHEN o_orderkey % 4 = 3 THEN ['p'] ELSE ['one', 'one', 'one'] END AS q FROM orders),
+    f AS (SELECT *, a < 780 AND b > 780 AS whole, len(p) AS n, coalesce(sum(CASE WHEN a < 780 AND b > 780 AND len(p) = 1 THEN 1 ELSE 0 END) OVER (ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM r),
+    u AS (SELECT *, unnest(range(len(p))) AS i FROM f),
+    w AS (SELECT *, whole AND b > 840 AND CASE WHEN n = 1 THEN turn % 2 = 1 ELSE i >= (n + 1) // 2 END AS late FROM u)"""
+
+
+def _uses(spark, sf_dir):
+    k = F.col("o_orderkey")
+    platform = F.when(k % 8 == 0, "AlphaBeta").when(k % 4 == 0, " Alpha").when(k % 4 == 1, "Alpha, Beta,").when(k % 4 == 2, "Alpha,Beta , Gamma").otherwise("Alpha , Alpha")
+    purpose = F.when(k % 4 == 1, "one,two").when(k % 4 == 3, "p , p").otherwise("one")
+    start = (F.lit(480) + k % 400).cast("int")
+    rows = roles.table(spark, sf_dir, "orders").select(
+        k.alias("line"), F.col("o_custkey").alias("student_id"), F.to_date("o_orderdate").alias("date"), start.alias("m_in"), (start + 100 + k % 500).cast("int").alias("m_out"), platform.alias("platform"), purpose.alias("purpose")
+    )
+    return sections.digital_section(rows, spark.createDataFrame([(n, n) for n in ("Alpha", "Beta", "Gamma")], "alias string, canonical string"))
+
+
+@query(f"WITH {_USES} SELECT line, CAST(i AS INTEGER) AS item, p[i + 1] AS platform, q[i + 1] AS purpose, CAST(CASE WHEN late THEN 840 ELSE a END AS INTEGER) AS m_in, CAST(CASE WHEN whole AND NOT late THEN 780 ELSE b END AS INTEGER) AS m_out FROM w")
+def digital_section(spark, sf_dir):
+    """A digital section from its rows in one call: lists, jammed names, repeated pairs, halves of the day by order and by turns."""
+    return _uses(spark, sf_dir)[0].drop("student_id", "date")
+
+
+@query(f"""WITH {_USES}, x AS (SELECT unnest([CASE WHEN line % 4 = 2 OR line % 8 = 0 THEN 'lists_differ' END, CASE WHEN n > 1 OR line % 4 = 3 THEN 'split' END, CASE WHEN line % 4 = 3 THEN 'repeated_pair' END,
+    CASE WHEN NOT whole THEN NULL WHEN n > 1 AND b > 840 THEN 'halves_by_order' WHEN n > 1 THEN 'morning_alone' ELSE 'one_half' END]) AS problem FROM f) SELECT problem, count(*) AS n FROM x WHERE problem IS NOT NULL GROUP BY 1""")
+def digital_section_review(spark, sf_dir):
+    """What a person should look at in a digital section, by problem."""
+    return _uses(spark, sf_dir)[1].groupBy("problem").agg(F.count(F.lit(1)).alias("n"))

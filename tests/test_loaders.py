@@ -64,3 +64,26 @@ def test_digital_rows_and_the_subscriptions_that_they_name(spark):
         4: ("Own Account", None, "x"), 5: ("Own Account", None, "x"), 10: ("Library Subscription", "testbook", "x"),
     }
     assert sorted(map(tuple, review.collect())) == [(8, "outside_operating_hours"), (9, "missing_out_time")]
+
+
+def test_a_digital_section_in_one_call(spark):
+    from learnlake.operators import sections
+
+    day, names = dt.date(2024, 1, 1), [(n, n) for n in ("Unacademy", "Testbook")]
+    cells = [
+        (1, 600, 700, "Unacademy", "maths"), (2, 600, 900, "Unacademy", "maths"), (3, 600, 900, "Testbook", ""), (4, 600, 800, "Testbook", "a"), (5, 600, 900, "Unacademy", "x"),
+        (6, 600, 1000, "Unacademy, Testbook, Other", "a, b"), (7, 600, 800, "Unacademy,Testbook", "a,b"), (8, 900, 950, "UnacademyTestbook", "a"), (9, 600, 700, "X , X", "h , h"), (10, 600, 700, " , ", None), (11, 600, 700, "", "only"),
+        (12, 600, None, "X", "open"),
+    ]
+    df = spark.createDataFrame([(n, n, day, a, b, p, q) for n, a, b, p, q in cells], "line long, student_id long, date date, m_in int, m_out int, platform string, purpose string")
+    section, review = sections.digital_section(df.repartition(3), spark.createDataFrame(names, "alias string, canonical string"))
+    got = sorted((r["line"], r["item"], r["platform"], r["purpose"], r["m_in"], r["m_out"]) for r in section.collect())
+    assert got == sorted([
+        (1, 0, "Unacademy", "maths", 600, 700), (2, 0, "Unacademy", "maths", 600, 780), (3, 0, "Testbook", "", 840, 900), (4, 0, "Testbook", "a", 600, 780), (5, 0, "Unacademy", "x", 840, 900),
+        (6, 0, "Unacademy", "a", 600, 780), (6, 1, "Testbook", "b", 600, 780), (6, 2, "Other", "b", 840, 1000), (7, 0, "Unacademy", "a", 600, 780), (7, 1, "Testbook", "b", 600, 780),
+        (8, 0, "Unacademy", "a", 900, 950), (8, 1, "Testbook", "a", 900, 950), (9, 0, "X", "h", 600, 700), (11, 0, "", "only", 600, 700), (12, 0, "X", "open", 600, None),
+    ], key=lambda r: r[:2])
+    problems = {}
+    for r in review.collect():
+        problems.setdefault(r["line"], set()).add(r["problem"])
+    assert problems == {2: {"one_half"}, 3: {"one_half"}, 4: {"one_half"}, 5: {"one_half"}, 6: {"lists_differ", "split", "halves_by_order"}, 7: {"split", "morning_alone"}, 8: {"lists_differ", "split"}, 9: {"split", "repeated_pair"}, 10: {"no_platform"}}
