@@ -62,3 +62,44 @@ def sheet_chunk_rows(spark, sf_dir):
     """The request in which each row reaches a spreadsheet, by a scan over ranges."""
     o = roles.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     return files.sheet_chunks(o, "o_orderdate", "o_orderkey", most_cells=1000).select("o_orderkey", "chunk")
+
+
+@query("SELECT problem, count(*) AS n, min(row) AS first_row FROM (SELECT o_orderkey AS row, 'status ' || o_orderstatus AS problem FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey, 'large' FROM orders WHERE o_totalprice > 300000) GROUP BY 1")
+def review_ledger(spark, sf_dir):
+    """What a load reset, two steps appended and a report reads of the review ledger."""
+    folder = f"{shared_folder(spark)}/review-{uuid.uuid4().hex}"
+    o = roles.table(spark, sf_dir, "orders")
+    step = lambda where, problem: o.filter(where).select(F.col("o_orderkey").alias("row"), problem.alias("problem"))
+    files.append_review(step("o_orderstatus = 'F'", F.lit("of a load before")), folder)
+    files.reset_review(spark, folder)
+    files.append_review(step("o_orderstatus = 'P'", F.concat(F.lit("status "), "o_orderstatus")), folder)
+    files.append_review(step("o_totalprice > 300000", F.lit("large")), folder)
+    return files.read_review(spark, folder, "row long, problem string").groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"))
+
+
+@query("SELECT CAST(ts AS DATE) AS archive_day, count(*) AS punches, count(DISTINCT user_id) AS students FROM events GROUP BY 1")
+def archive_once(spark, sf_dir):
+    """Punches archived by day in batches that overlap, one of them again; each fingerprint is there once."""
+    from learnlake.streaming import sink
+
+    folder = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    p = roles.punches(spark, sf_dir).select(F.col("punch_id").cast("string").alias("fingerprint"), "student_id", F.to_date("punch_time").alias("archive_day"))
+    add, number = sink.archive_batch(folder), F.col("fingerprint").cast("long") % 4
+    for k, part in enumerate((number < 2, number.isin(1, 2), number.isin(1, 2), number >= 2)):
+        add(p.filter(part), min(k, 1) if k < 3 else 2)
+    return spark.read.parquet(folder).groupBy("archive_day").agg(F.count(F.lit(1)).alias("punches"), F.countDistinct("student_id").alias("students"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'changed' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def newest_version(spark, sf_dir):
+    """Snapshots under names that sort by age: one too small is refused, the oldest are pruned, readers see the newest whole one."""
+    folder = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    o = roles.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    files.write_version(o.filter("o_orderkey % 2 = 0"), folder, "2024-01-01")
+    files.write_version(o, folder, "2024-01-02")
+    files.write_version(o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "changed").otherwise(F.col("o_orderstatus"))), folder, "2024-01-03")
+    try:
+        files.write_version(o.limit(0), folder, "2024-01-04", least_rows=1)
+    except ValueError:
+        files.prune_versions(spark, folder, keep=2)
+    return files.read_version(spark, folder)
