@@ -76,5 +76,5 @@ def test_query_equals_sql(spark, con, name):
 
 def test_whole_tables_are_registered():
     names = {q.split("_")[0] for q in queries.QUERIES}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert len(corpus_pipeline.STAGES) == 5
