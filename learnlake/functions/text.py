@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+#: How a bare date, a remark in brackets at the end, an exam's suffix and a head count at the end are written.
+BARE_DATE = r"^\d{1,2}[.\-/ ]\d{1,2}[.\-/ ]\d{2,4}$"
+END_BRACKET = r"\s*[\(\[][^\)\]]*[\)\]]\s*$"
+EXAM_SUFFIX = r"(?i)\b(grand\s*test|exam|test)\b\s*$"
+HEAD_COUNT = r"\(\s*(\d+)\s*\)\s*$"
+
 
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
@@ -39,13 +45,13 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 def strip_exam_suffix(c: Column) -> Column:
     """Without a trailing (...) or [...], a trailing exam, test or grand test, and dots and dashes around; the input where nothing is left."""
-    core = F.regexp_replace(c, r"\s*[\(\[][^\)\]]*[\)\]]\s*$", "")
-    core = F.btrim(F.regexp_replace(core, r"(?i)\b(grand\s*test|exam|test)\b\s*$", ""), F.lit(" .-"))
+    core = F.regexp_replace(c, END_BRACKET, "")
+    core = F.btrim(F.regexp_replace(core, EXAM_SUFFIX, ""), F.lit(" .-"))
     return F.when(core == "", c).otherwise(core)
 
 
 def is_bare_date(c: Column) -> Column:
-    return F.trim(c).rlike(r"^\d{1,2}[.\-/ ]\d{1,2}[.\-/ ]\d{2,4}$")
+    return F.trim(c).rlike(BARE_DATE)
 
 
 def exam_identity_key(c: Column) -> Column:
@@ -151,7 +157,7 @@ def template_key(c: Column) -> Column:
 
 def head_count(c: Column) -> Column:
     """The number in a trailing (n); null without one."""
-    return F.regexp_extract(c, r"\(\s*(\d+)\s*\)\s*$", 1).try_cast("int")
+    return F.regexp_extract(c, HEAD_COUNT, 1).try_cast("int")
 
 
 def without_head_count(c: Column) -> Column:

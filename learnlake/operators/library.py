@@ -21,7 +21,8 @@ AGREEMENT, MARGIN = 0.6, 0.05
 PIECES, PIECE_DIGITS, CELL_DIGITS = 4, 4, (4, 16)
 #: Agreement and length from which on a name alone finds its title.
 NAME_AGREEMENT, NAME_LETTERS = 0.9, 4
-JUNK = ("P", "Youtube", "`")
+#: Cells that are no id, and how a copy of a numbered book is written.
+JUNK, COPY = ("P", "Youtube", "`"), r"^(\d+|P-\d+)/\d+$"
 
 
 def canonical_id(c: Column) -> Column:
@@ -114,7 +115,7 @@ def normalise_ids(records: DataFrame) -> DataFrame:
     moved = moved.withColumn("moved", F.col("known").isNotNull()).withColumn("id0", F.when(F.col("known").isNotNull(), F.col("as_id")).otherwise(F.col("raw"))).drop("known")
     # a copy's mark
     cell = canonical_id(text.collapse_ws(F.col("id0")))
-    base = F.regexp_extract("cell", r"^(\d+|P-\d+)/\d+$", 1)
+    base = F.regexp_extract("cell", COPY, 1)
     copy = moved.withColumn("cell", cell).withColumn("base", F.when(base != "", base)).join(valid, F.col("base") == F.col("known"), "left")
     copy = copy.withColumn("cell", F.when(F.col("known").isNotNull(), F.col("base")).otherwise(F.col("cell"))).withColumn("copied", F.col("known").isNotNull()).drop("known", "base")
     # a number in the name's place

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from learnlake.functions import text
 from learnlake.operators import scan
 from learnlake.session import stored
 
@@ -117,7 +118,7 @@ def read_register(spark: SparkSession, path: str, corrections: dict[tuple[str, s
     cells = lines.select("block", "line", *[F.coalesce(F.trim(f"c{k}"), F.lit("")).alias(f"c{k}") for k in range(6)])
     cells = cells.filter(~F.lower(F.trim(F.replace("c0", F.lit("."), F.lit("")))).isin(*SERIAL_LABELS))
     letters = lambda c: F.col(c).rlike("[A-Za-z]")
-    swapped = F.col("c2").rlike(r"^\d{1,2}[.\-/ ]\d{1,2}[.\-/ ]\d{2,4}$") & letters("c3")
+    swapped = text.is_bare_date(F.col("c2")) & letters("c3")
     cells = cells.withColumns({"c2": F.when(swapped, F.col("c3")).otherwise(F.col("c2")), "c3": F.when(swapped, F.col("c2")).otherwise(F.col("c3"))})
     person = (F.col("c0") != "") | (F.col("c1") != "")
     head = ~person & ((F.col("c2") != "") | (F.col("c3") != ""))
