@@ -25,11 +25,24 @@ def bucket_of(*key: str, levels: int = LEVELS) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(FAN**levels)).cast("int")
 
 
+def levels_for(rows: int, most: int = 1_000_000) -> int:
+    """Levels below the root, one at least, at which a bucket has ``most`` rows on average or fewer."""
+    levels = 1
+    while FAN**levels * most < rows:
+        levels += 1
+    return levels
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """Rows dealt by bucket over as many tasks as the session shuffles to: small ones aren't put together, as each bucket is a file."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKET)
+
+
 def write_copy(df: DataFrame, folder: str, *key: str, levels: int = LEVELS) -> None:
     """df in buckets of its key under folder/rows, its digests under folder/tree."""
     columns = sorted(df.columns)
     rows = df.withColumn(BUCKET, bucket_of(*key, levels=levels))
-    rows.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{folder}/rows")
+    _by_bucket(rows).write.partitionBy(BUCKET).parquet(f"{folder}/rows")
     spark = df.sparkSession
     one, two = F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
     kept = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
@@ -91,14 +104,14 @@ def refresh(spark: SparkSession, state: str, old: str, new: str, schema: str, su
         made = summary(rows_in(spark, new, buckets, held))
         gone = rows_in(spark, old, buckets, held).select(*key).distinct().join(made, list(key), "left_anti").withColumn("n", F.lit(0).cast("long"))
         rows = stored(made.unionByName(gone, allowMissingColumns=True).withColumn(BUCKET, bucket_of(*key, levels=levels)))
-        rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(state)
+        _by_bucket(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(state)
     return buckets
 
 
 def write_summary(copy: DataFrame, state: str, summary: Callable[[DataFrame], DataFrame], *key: str, levels: int = LEVELS) -> None:
     """The summary of a whole copy, to be refreshed later."""
     made = summary(copy).withColumn(BUCKET, bucket_of(*key, levels=levels))
-    made.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(state)
+    _by_bucket(made).write.mode("overwrite").partitionBy(BUCKET).parquet(state)
 
 
 def read_summary(spark: SparkSession, state: str) -> DataFrame:

@@ -223,7 +223,7 @@ _COPY = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice dou
 
 
 def _copies(spark, sf_dir, *key):
-    """Two stored copies of orders: in the second some are changed, removed and added."""
+    """Two stored copies of orders, in the second of which some are changed, removed and added: their folder, and the levels of their trees."""
     import uuid
 
     from learnlake.operators import hashtree
@@ -235,9 +235,10 @@ def _copies(spark, sf_dir, *key):
     k = F.col("o_orderkey")
     status = F.when(k % 997 == 0, "Z").otherwise(F.col("o_orderstatus"))
     added = o.filter(k % 1999 == 0).withColumn("o_orderkey", k + 1_000_000_000)
-    hashtree.write_copy(o, f"{folder}/old", *key)
-    hashtree.write_copy(o.filter(k % 1009 != 0).withColumn("o_orderstatus", status).unionByName(added), f"{folder}/new", *key)
-    return folder
+    levels = hashtree.levels_for(o.count())
+    hashtree.write_copy(o, f"{folder}/old", *key, levels=levels)
+    hashtree.write_copy(o.filter(k % 1009 != 0).withColumn("o_orderstatus", status).unionByName(added), f"{folder}/new", *key, levels=levels)
+    return folder, levels
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 1009 = 0 THEN 'removed' ELSE 'changed' END AS kind FROM orders WHERE o_orderkey % 1009 = 0 OR (o_orderkey % 997 = 0 AND o_orderstatus <> 'Z') UNION ALL SELECT o_orderkey + 1000000000, 'added' FROM orders WHERE o_orderkey % 1999 = 0")
@@ -245,8 +246,8 @@ def copies_compared(spark, sf_dir):
     """Differing keys of two copies, found by digests from the root down."""
     from learnlake.operators import hashtree
 
-    folder = _copies(spark, sf_dir, "o_orderkey")
-    return hashtree.differences(spark, f"{folder}/old", f"{folder}/new", _COPY, "o_orderkey")
+    folder, levels = _copies(spark, sf_dir, "o_orderkey")
+    return hashtree.differences(spark, f"{folder}/old", f"{folder}/new", _COPY, "o_orderkey", levels=levels)
 
 
 @query("SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderstatus = 'Z' THEN 1 ELSE 0 END)::BIGINT AS marked, max(o_orderdate) AS last FROM (SELECT o_custkey, CASE WHEN o_orderkey % 997 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE o_orderkey % 1009 <> 0 UNION ALL SELECT o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 1999 = 0) GROUP BY 1")
@@ -254,11 +255,11 @@ def summary_refreshed(spark, sf_dir):
     """A summary a student brought up to date from what changed between two versions alone."""
     from learnlake.operators import hashtree
 
-    folder = _copies(spark, sf_dir, "o_custkey")
+    folder, levels = _copies(spark, sf_dir, "o_custkey")
     summary = lambda facts: facts.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "Z").alias("marked"), F.max("o_orderdate").alias("last"))
     old = spark.read.schema(_COPY).parquet(f"{folder}/old/rows")
-    hashtree.write_summary(old, f"{folder}/state", summary, "o_custkey")
-    hashtree.refresh(spark, f"{folder}/state", f"{folder}/old", f"{folder}/new", _COPY, summary, "o_custkey")
+    hashtree.write_summary(old, f"{folder}/state", summary, "o_custkey", levels=levels)
+    hashtree.refresh(spark, f"{folder}/state", f"{folder}/old", f"{folder}/new", _COPY, summary, "o_custkey", levels=levels)
     return hashtree.read_summary(spark, f"{folder}/state")
 
 

@@ -127,3 +127,7 @@ def test_a_refreshed_summary_equals_a_full_run(spark, tmp_path):
         raise AssertionError("no fact of an unchanged table is read")
 
     assert hashtree.refresh(spark, state, new, new, SCHEMA, refused, "k") == []
+
+
+def test_trees_grow_with_the_rows():
+    assert [hashtree.levels_for(n, 100) for n in (0, 1600, 1601, 25_600, 25_601)] == [1, 1, 2, 2, 3]
