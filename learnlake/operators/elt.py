@@ -44,8 +44,9 @@ def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
     exploded = [df.select("s", "keep", F.explode("parts").alias("part")) for df in (left, right)]
     often = exploded[0].unionByName(exploded[1]).groupBy("part").agg(F.count(F.lit(1)).alias("often"))
     rank = Window.partitionBy("s").orderBy("often", "part")
-    first = [e.join(often, "part").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= F.col("keep")) for e in exploded]
-    return first[0].select("part", F.col("s").alias("a")).join(first[1].select("part", F.col("s").alias("b")), "part").select("a", "b").distinct()
+    # sizes are estimated as if nothing had been exploded, so no side may be broadcast by them
+    first = [e.hint("merge").join(often, "part").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= F.col("keep")) for e in exploded]
+    return first[0].select("part", F.col("s").alias("a")).hint("merge").join(first[1].select("part", F.col("s").alias("b")), "part").select("a", "b").distinct()
 
 
 def _by_dice(df: DataFrame, parts: Column, least: float) -> DataFrame:
@@ -208,7 +209,7 @@ def match_names(names: DataFrame, roster: DataFrame, least: float = 0.84) -> Dat
     exact = only(n.join(r.select("norm", "student_id"), "norm"), "exact")
     rest = n.join(exact, "name", "left_anti")
     words = only(rest.join(r.select("words", "student_id"), "words"), "words")
-    rest = rest.join(words, "name", "left_anti")
+    r, rest = stored(r), stored(rest.join(words, "name", "left_anti"))
     close = alike.alike_pairs(r.select(F.col("norm").alias("s")).distinct(), rest.select(F.col("norm").alias("s")).distinct(), least)
     close = rest.select("name", F.col("norm").alias("b")).join(close, "b").join(r.select("student_id", F.col("norm").alias("a")), "a")
     return exact.unionByName(words).unionByName(only(close, "similar"))
