@@ -133,7 +133,8 @@ def correct_ids(rows: DataFrame, roster: DataFrame) -> DataFrame:
     own = own.withColumn("reason", first).select("row_id", "student_id", "entered", "reason")
     names = own.filter("reason is null").select("entered").distinct().withColumn("mark", F.explode(_signatures("entered")))
     people = roster.withColumn("mark", F.explode(_name_signatures("roster_name"))).select("mark", F.col("student_id").alias("cid"), "roster_name")
-    met = names.join(people, "mark").select("entered", "cid", "roster_name").distinct()
+    # sizes are estimated as if nothing had been exploded, so neither side may be broadcast by them
+    met = names.hint("merge").join(people, "mark").select("entered", "cid", "roster_name").distinct()
     # a candidate begins with the letter that a tail begins with, and is the name by the wide and by the strict rule
     begins = F.array_contains(F.split(F.substring("entered", 1, INITIALS + 1), ""), F.substring(text.normalize_key(F.col("roster_name")), 1, 1))
     sure = _judge(strong)
