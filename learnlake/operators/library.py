@@ -130,7 +130,8 @@ def normalise_ids(records: DataFrame) -> DataFrame:
     rest = asked.filter(~F.col("left") & (F.col("cell") != "")).select("cell").distinct()
     cuts = rest.filter("length(cell) > 3").withColumn("cut", F.explode(F.sequence(F.lit(1), F.length("cell") - 3)))
     cuts = cuts.withColumn("head", F.substr("cell", F.lit(1), F.col("cut"))).withColumn("tail", F.lower(F.substr("cell", F.col("cut") + 1)))
-    lowered = names.select(F.lower("known_name").alias("tail")).filter("length(tail) >= 3").distinct()
+    # a number in the name's place is an id typed there, no title, and would cut longer ids that end in it
+    lowered = names.filter(~F.col("known_name").rlike(number)).select(F.lower("known_name").alias("tail")).filter("length(tail) >= 3").distinct()
     cuts = cuts.filter(F.col("head").rlike(r"^(\d+|P-?\d*)$")).join(lowered, "tail")
     cuts = cuts.groupBy("cell").agg(F.min_by("head", "cut").alias("head"))
     # two ids in one cell
