@@ -17,8 +17,8 @@ from learnlake.session import stored
 
 #: Agreement with the recorded names that a repair needs, and its lead over the next best.
 AGREEMENT, MARGIN = 0.6, 0.05
-#: Ids that a torn cell holds at most, letters of an id, and digits of a cell.
-PIECES, PIECE_DIGITS, CELL_DIGITS = 4, 4, (4, 16)
+#: Ids that a torn cell holds at most, digits of an id where nothing else is said, and least digits of a cell.
+PIECES, PIECE_DIGITS, CELL_DIGITS = 4, 4, 4
 #: Agreement and length from which on a name alone finds its title.
 NAME_AGREEMENT, NAME_LETTERS = 0.9, 4
 #: Cells that are no id, and how a copy of a numbered book is written.
@@ -34,15 +34,15 @@ def _tokens(c: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def references(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def references(rows: DataFrame, digits: int = PIECE_DIGITS) -> tuple[DataFrame, DataFrame]:
     """(titles, verified) of rows (line, ids, names).
 
     titles: id, title, n and top (its commonest title, of equals the first seen)
-    from rows of one numeric id of up to four digits and one name. verified:
+    from rows of one numeric id of up to ``digits`` digits and one name. verified:
     ids that stand alone in a cell and look like ids.
     """
     t = rows.select("line", F.trim(F.coalesce("ids", F.lit(""))).alias("id"), _tokens(F.col("names"), ",").alias("names"))
-    well = t.filter(F.col("id").rlike(r"^[1-9]\d{0,3}$") & (F.size("names") == 1)).select("line", "id", F.element_at("names", 1).alias("title"))
+    well = t.filter(F.col("id").rlike(rf"^[1-9]\d{{0,{digits - 1}}}$") & (F.size("names") == 1)).select("line", "id", F.element_at("names", 1).alias("title"))
     n = well.groupBy("id", "title").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
     order = Window.partitionBy("id").orderBy(F.desc("n"), "line")
     titles = n.withColumn("top", F.row_number().over(order) == 1).select("id", "title", "n", "top")
@@ -60,22 +60,23 @@ def expand_cells(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.explode(single))
 
 
-def repair_torn(rows: DataFrame, titles: DataFrame) -> DataFrame:
+def repair_torn(rows: DataFrame, titles: DataFrame, digits: int = PIECE_DIGITS) -> DataFrame:
     """cell, names and ids: how a cell whose digits were torn apart by commas reads as known ids, or null.
 
     All readings of as many known ids as there are names are scored by the
     least agreement of an id's titles with the name in its place; the best is
     taken from AGREEMENT on, if it leads the next by more than MARGIN. Every
-    reading is tried.
+    reading is tried whose ids have up to ``digits`` digits.
     """
     cells = rows.select("cell", "names").distinct()
     parts = _tokens(F.col("cell"), "[,;]")
     given = cells.withColumn("parts", parts).withColumn("name", _tokens(F.col("names"), ",")).withColumn("m", F.size("name"))
-    digits = F.array_join("parts", "")
-    fit = (F.size("parts") >= 2) & F.forall("parts", lambda x: x.rlike(r"^\d{1,6}$")) & F.length(digits).between(*CELL_DIGITS) & F.col("m").between(1, PIECES)
-    open_ = given.filter(fit).withColumn("digits", digits)
-    # a reading is the lengths of its pieces, of which there are 4 ** 4 at most
-    lengths = [(m, sum(x), list(x)) for m in range(1, PIECES + 1) for x in product(range(1, PIECE_DIGITS + 1), repeat=m)]
+    joined = F.array_join("parts", "")
+    part = rf"^\d{{1,{2 * digits - 2}}}$"  # up to six digits where ids have four
+    fit = (F.size("parts") >= 2) & F.forall("parts", lambda x: x.rlike(part)) & F.length(joined).between(CELL_DIGITS, PIECES * digits) & F.col("m").between(1, PIECES)
+    open_ = given.filter(fit).withColumn("digits", joined)
+    # a reading is the lengths of its pieces, of which there are digits ** 4 at most
+    lengths = [(m, sum(x), list(x)) for m in range(1, PIECES + 1) for x in product(range(1, digits + 1), repeat=m)]
     lengths = rows.sparkSession.createDataFrame(lengths, "m int, total int, sizes array<int>")
     total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
     read = open_.withColumn("total", F.length("digits")).join(F.broadcast(lengths), ["m", "total"])
@@ -86,7 +87,7 @@ def repair_torn(rows: DataFrame, titles: DataFrame) -> DataFrame:
     scored = piece.join(titles.select("id", "title"), "id").withColumn("agree", text.title_agreement(F.col("title"), F.element_at("name", F.col("k") + 1)))
     each = scored.groupBy("cell", "names", "m", "ids", "k").agg(F.max("agree").alias("agree"))
     whole = each.groupBy("cell", "names", "m", "ids").agg(F.min("agree").alias("agree"), F.count(F.lit(1)).alias("known")).filter("known = m")
-    top = whole.groupBy("cell", "names").agg(F.slice(F.reverse(F.array_sort(F.collect_list("agree"))), 1, 2).alias("best"), F.max(F.struct("agree", "ids")).alias("x"))  # at most 4 ** 3 readings a cell
+    top = whole.groupBy("cell", "names").agg(F.slice(F.reverse(F.array_sort(F.collect_list("agree"))), 1, 2).alias("best"), F.max(F.struct("agree", "ids")).alias("x"))  # at most digits ** 3 readings a cell
     sure = (F.col("x.agree") >= AGREEMENT) & ((F.size("best") == 1) | (F.element_at("best", -1) < F.col("x.agree") - MARGIN))
     fixed = top.filter(sure).select("cell", "names", F.array_join("x.ids", ", ").alias("ids"))
     return cells.join(fixed, ["cell", "names"], "left")
