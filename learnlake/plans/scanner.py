@@ -198,7 +198,7 @@ def live_attendance(spark, sf_dir):
     from learnlake.streaming import machine, punches
 
     raw = punches.stream_of(spark, f"{sf_dir}/events.parquet")
-    changed = machine.drained(spark, machine.changes(machine.captured(raw, F.col("punch_time"))))
+    changed = machine.drained(spark, machine.changes(machine.captured(raw, F.col("punch_time")), outcomes=False))
     return machine.rows_of(changed)
 
 
@@ -213,7 +213,7 @@ def live_table(spark, sf_dir):
     folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
     table = sink.ChangedTable(f"{folder}/table", ("student_id", "date", "session"), "date")
     raw = punches.stream_of(spark, f"{sf_dir}/events.parquet")
-    changed = machine.changes(machine.captured(raw, F.col("punch_time"))).filter("change <> 'punch'")
+    changed = machine.changes(machine.captured(raw, F.col("punch_time")), outcomes=False)
     run = changed.writeStream.foreachBatch(table.apply).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start()
     run.awaitTermination()
     return table.rows(spark, machine.CHANGES).drop("punch_id", "outcome")

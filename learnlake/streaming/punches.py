@@ -30,7 +30,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 def drained_attendance(spark: SparkSession, path: str, captured_at: Column, window: int = 1) -> DataFrame:
     """The complete rows of a full read of the scanner's files at ``captured_at``: all days before it are past days."""
-    changed = machine.drained(spark, machine.changes(machine.captured(stream_of(spark, path), captured_at), window=window))
+    changed = machine.drained(spark, machine.changes(machine.captured(stream_of(spark, path), captured_at), window=window, outcomes=False))
     return machine.rows_of(changed).filter("m_out is not null")
 
 

@@ -130,3 +130,41 @@ def test_span_is_the_columns_rule(spark, start, end, want):
 
     row = spark.range(1).select(sessions.live_session(F.lit(start), F.lit(end)).alias("s"), sessions.live_duration(F.lit(start), F.lit(end)).alias("n")).first()
     assert (row["s"], row["n"]) == want == machine.span(start, end)
+
+
+def test_a_batch_reads_and_writes_a_students_state_once():
+    """Thirty days of punches cost one read, one write and one timer, and each row is told as the batch leaves it."""
+    calls = Counter()
+
+    class State:
+        value = None
+
+        def exists(self):
+            calls["exists"] += 1
+            return self.value is not None
+
+        def get(self):
+            calls["get"] += 1
+            return self.value
+
+        def update(self, value):
+            calls["update"] += 1
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        def registerTimer(self, due):
+            calls["timer"] += 1
+
+    from pyspark.sql import Row
+
+    punches = [at(clock, DAY + dt.timedelta(days=k)) for k in range(30) for clock in ("09:00", "11:00")]
+    rows = [Row(punch_id=k, punch_time=p, fingerprint=str(k), captured_at=p) for k, p in enumerate(punches)]
+    student = machine.Machine(outcomes=False)
+    student.init(Handle())
+    told = list(student.handleInputRows((1,), iter(rows), None))
+    assert [(r["change"], r["date"], r["m_in"], r["m_out"]) for r in told] == [("put", p.date(), 540, 660) for p in punches[::2]]
+    assert calls == {"exists": 1, "update": 1, "timer": 1}
+    assert list(student.handleInputRows((1,), iter(rows), None)) == [] and calls == {"exists": 2, "get": 1, "update": 2, "timer": 1}
