@@ -21,19 +21,24 @@ MEMBER_COLUMNS = {0: "number", 1: "name", 2: "father", 3: "address", 4: "birth_d
 
 MOST_CELLS = 100_000
 
+#: Lines of a block at most; a block is a row of the scan over all of them.
+BLOCK_LINES = 100_000
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(block, line, value) of the text files under a path: a row a physical line, which count from 1 over all files by name.
 
-    Files are read in the splits that Spark makes of them; each split is a
-    block, and lines are numbered by a scan over the blocks.
+    Files are read in the splits that Spark makes of them; each split is cut
+    into blocks of BLOCK_LINES at most, so that what a task sorts doesn't grow
+    with the splits, and lines are numbered by a scan over the blocks.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     raw = stored(raw.withColumn("at", F.monotonically_increasing_id()))  # rises with the lines of a split
-    blocks = raw.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
-    number = F.row_number().over(Window.orderBy("file", "start"))  # one row a split
-    blocks = blocks.select("file", "start", number.alias("block"))
-    numbered = scan.totals_before(raw.join(F.broadcast(blocks), ["file", "start"]), {"line": F.lit(1)}, "at", part="block")
+    raw = raw.withColumn("cut", F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / BLOCK_LINES))  # the lower 33 bits count the lines of a task
+    blocks = raw.select("file", "start", "cut").distinct()
+    number = F.row_number().over(Window.orderBy("file", "start", "cut"))  # one row a block
+    blocks = blocks.select("file", "start", "cut", number.alias("block"))
+    numbered = scan.totals_before(raw.join(F.broadcast(blocks), ["file", "start", "cut"]), {"line": F.lit(1)}, "at", part="block")
     bare = F.when(F.col("line") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
     return numbered.select("block", (F.col("line") + 1).alias("line"), bare.alias("value"))
 

@@ -2,6 +2,7 @@
 
 import csv
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,14 @@ def test_a_register_over_several_splits_is_read_as_one(small_splits, tmp_path):
 def test_chunks_are_numbered_over_ranges(small_splits):
     got = files.sheet_chunks(small_splits.range(1000).repartition(9), "id", most_cells=7).orderBy("id").collect()
     assert [r["chunk"] for r in got] == [k // 7 for k in range(1000)]
+
+
+def test_blocks_of_lines_are_bounded(spark, tmp_path, monkeypatch):
+    """One split is cut into blocks; lines and records over their ends stay whole."""
+    monkeypatch.setattr(files, "BLOCK_LINES", 7)
+    path = tmp_path / "lines.csv"
+    path.write_text("\n".join(f'{k},"two\nlines"' if k % 3 == 0 else f"{k},one" for k in range(60)) + "\n")
+    lines = files.read_lines(spark, str(path)).collect()
+    assert sorted(r["line"] for r in lines) == list(range(1, 81)) and max(Counter(r["block"] for r in lines).values()) <= 7
+    records = [r["value"] for r in files.numbered_lines(spark, str(path)).orderBy("line").collect()]
+    assert records == [f'{k},"two\nlines"' if k % 3 == 0 else f"{k},one" for k in range(60)]
