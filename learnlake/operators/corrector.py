@@ -114,7 +114,7 @@ def _name_signatures(name: pd.Series) -> pd.Series:
     return name.map(lambda x: name_signatures(x or ""))
 
 
-def correct_ids(rows: DataFrame, roster: DataFrame) -> DataFrame:
+def correct_ids(rows: DataFrame, roster: DataFrame, whole: bool = False) -> DataFrame:
     """row_id, new_id and reason of rows (row_id, student_id, name) by a roster (student_id, roster_name).
 
     Nothing changes where the id is unknown (notfound), where the name is that
@@ -122,12 +122,18 @@ def correct_ids(rows: DataFrame, roster: DataFrame) -> DataFrame:
     name it strongly is takes the row (unique), of several the only one whose
     id is one slip away (nearid); otherwise nocand or ambiguous. Names meet
     students by signatures that every strong match shares, so each meets few.
+
+    With ``whole`` every student of the roster whose name it strongly is counts.
+    Without, as the study centre's index has it, only those whose name begins
+    with one of the first letters entered and is it by the wide rule too: a
+    match by a later word is passed over, and a rival may stay unseen.
     """
     entered = rows.select("row_id", "student_id", text.normalize_key(F.coalesce("name", F.lit(""))).alias("entered"))
     own = entered.join(roster, "student_id", "left")
     asked = own.select("entered", "roster_name").filter("roster_name is not null").distinct()
-    fits, may = _judge(own_name), _judge(variant)
-    judged = asked.withColumn("fits", fits("entered", "roster_name")).withColumn("may", may("entered", "roster_name"))
+    fits, may, sure = _judge(own_name), _judge(variant), _judge(strong)
+    own_fits = _judge(lambda entered, name: own_name(entered, name) or strong(entered, name)) if whole else fits
+    judged = asked.withColumn("fits", own_fits("entered", "roster_name")).withColumn("may", may("entered", "roster_name"))
     own = own.join(judged, ["entered", "roster_name"], "left")
     first = F.when(F.col("roster_name").isNull(), "notfound").when(F.col("fits"), "valid").when(F.col("may"), "variant")
     own = own.withColumn("reason", first).select("row_id", "student_id", "entered", "reason")
@@ -135,10 +141,11 @@ def correct_ids(rows: DataFrame, roster: DataFrame) -> DataFrame:
     people = roster.withColumn("mark", F.explode(_name_signatures("roster_name"))).select("mark", F.col("student_id").alias("cid"), "roster_name")
     # sizes are estimated as if nothing had been exploded, so neither side may be broadcast by them
     met = names.hint("merge").join(people, "mark").select("entered", "cid", "roster_name").distinct()
-    # a candidate begins with the letter that a tail begins with, and is the name by the wide and by the strict rule
-    begins = F.array_contains(F.split(F.substring("entered", 1, INITIALS + 1), ""), F.substring(text.normalize_key(F.col("roster_name")), 1, 1))
-    sure = _judge(strong)
-    met = met.filter(begins).filter(fits("entered", "roster_name") & sure("entered", "roster_name")).select("entered", "cid")
+    if not whole:
+        # a candidate begins with the letter that a tail begins with, and is the name by the wide and by the strict rule
+        begins = F.array_contains(F.split(F.substring("entered", 1, INITIALS + 1), ""), F.substring(text.normalize_key(F.col("roster_name")), 1, 1))
+        met = met.filter(begins).filter(fits("entered", "roster_name"))
+    met = met.filter(sure("entered", "roster_name")).select("entered", "cid")
     found = own.filter("reason is null").select("row_id", "student_id", "entered").join(met, "entered").filter("cid <> student_id")
     found = found.withColumn("close", similarity.osa_distance(F.col("student_id").cast("string"), F.col("cid").cast("string")) <= 1)
     one = found.groupBy("row_id").agg(F.count(F.lit(1)).alias("k"), F.count_if("close").alias("c"), F.min("cid").alias("only"), F.min(F.when(F.col("close"), F.col("cid"))).alias("near"))
